@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import line_dedup, mixing, sharding
-from stemma.plans.storage import read_table
+from stemma.llm import line_dedup, mixing, packing, sharding, simhash, token_counts
+from stemma.plans.storage import materialise, read_table
+
+
+def _tokenizer() -> str:
+    """The vocabulary file of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: Queries of searches are the rows whose id this divides.
+QUERY_STEP = 50
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts; ``near_docs`` counts a search's other documents within the radius."""
+    marked = materialise(simhash.fingerprint_edits(read_table(spark, sf_dir, "documents")), "fingerprints")
+    sought = marked.filter(F.col("row_id") % QUERY_STEP == 0)
+    copies = marked.groupBy(F.col("fingerprint").alias("found_fp")).agg(F.count(F.lit(1)).alias("rows"))
+    found = simhash.radius_search(sought, marked).join(copies, "found_fp").groupBy(F.col("query_fp").alias("fingerprint")).agg(F.sum("rows").alias("near_docs"))
+    counted = marked.join(found, "fingerprint", "left")
+    return counted.select(
+        F.col("row_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.when(F.col("row_id") % QUERY_STEP == 0, F.col("near_docs") - 1).alias("near_docs"),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +40,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "removed_lines", F.col("text").alias("clean_text"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer())
+    return packed.select(
+        F.col("row_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -34,10 +65,28 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after an edit in each text's middle: 16 code points there give way to the text's last 24."""
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    edit = F.struct(
+        F.floor(F.length(text) / 2).cast("int").alias("start"), F.lit(16).alias("delete"), F.right(text, F.lit(24)).alias("insert")
+    )
+    before = counted.select("*", F.col("n_tokens").alias("tokens_before"), F.length(text).cast("long").alias("n_chars"), F.array(edit).alias("edits"))
+    after = token_counts.apply_edits(before, _tokenizer())
+    return after.select(
+        "doc_id", "n_chars", F.col("tokens_before").alias("n_tokens"), F.length("text").cast("long").alias("edited_chars"),
+        F.col("n_tokens").alias("edited_tokens"), "reencoded_chars", F.size("token_tree.leaf_chars").alias("leaves"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_packing": op3_packing,
     "op6_mix_sources": op6_mix_sources,
     "op7_shards": op7_shards,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
