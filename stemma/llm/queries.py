@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import line_dedup, mixing, packing, sharding, simhash, token_counts
+from stemma.llm import line_dedup, minhash, mixing, packing, sharding, simhash, token_counts
 from stemma.plans.storage import materialise, read_table
 
 
@@ -80,6 +80,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_shards": op7_shards,
     "op8_token_counts": op8_token_counts,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,5 +156,32 @@ WITH docs AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(whole * size + greatest(0, least(size, extra - passed)) AS BIGINT) AS taken
 FROM placed
+""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS gram
+  FROM split WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION
+  SELECT ways.b AS v, reach.r FROM reach JOIN ways ON ways.a = reach.v
+), roots AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d JOIN roots r ON r.v = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """,
 }
