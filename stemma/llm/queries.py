@@ -168,10 +168,10 @@ WITH RECURSIVE split AS (
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
 ), pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id
 ), links AS (
-  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
 ), ways AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
