@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import line_dedup, minhash, mixing, packing, sharding, simhash, token_counts
+from stemma.llm import anisotropic, line_dedup, minhash, mixing, packing, quality, sharding, simhash, suffixes, token_counts
 from stemma.plans.storage import materialise, read_table
 
 
@@ -47,6 +47,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return anisotropic.search(anisotropic.build(vectors), vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").drop("n_chars")
+    return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "evidence", "site_rate", "posterior", "accepted")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -85,14 +95,22 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "start_word", "n_words", F.col("first_id").alias("first_doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_nearest": op4_nearest,
+    "op5_quality": op5_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_shards": op7_shards,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
