@@ -11,7 +11,7 @@ from stemma.llm import anisotropic, line_dedup, minhash, mixing, packing, qualit
 from stemma.plans.storage import materialise, read_table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     """The vocabulary file of the token queries."""
     import public_tokenizers
 
@@ -41,7 +41,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer())
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select(
         F.col("row_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
@@ -77,13 +77,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after an edit in each text's middle: 16 code points there give way to the text's last 24."""
-    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     text = F.coalesce(F.col("text"), F.lit(""))
     edit = F.struct(
         F.floor(F.length(text) / 2).cast("int").alias("start"), F.lit(16).alias("delete"), F.right(text, F.lit(24)).alias("insert")
     )
     before = counted.select("*", F.col("n_tokens").alias("tokens_before"), F.length(text).cast("long").alias("n_chars"), F.array(edit).alias("edits"))
-    after = token_counts.apply_edits(before, _tokenizer())
+    after = token_counts.apply_edits(before, tokenizer_path())
     return after.select(
         "doc_id", "n_chars", F.col("tokens_before").alias("n_tokens"), F.length("text").cast("long").alias("edited_chars"),
         F.col("n_tokens").alias("edited_tokens"), "reencoded_chars", F.size("token_tree.leaf_chars").alias("leaves"),
