@@ -179,7 +179,7 @@ def image_name_version(filename: Column) -> Column:
 
 def without_macro(text: Column, name: str, value: Column) -> Column:
     """``text`` with the first ``%{name}`` or ``%{?name}`` replaced by ``value``."""
-    return F.expr("regexp_replace(__t, __p, __v, 1)") if False else F.regexp_replace(text, F.lit(rf"^(.*?)%\{{\??{name}\}}"), F.concat(F.lit("$1"), value))
+    return F.regexp_replace(text, F.lit(rf"^(.*?)%\{{\??{name}\}}"), F.concat(F.lit("$1"), value))
 
 
 def deb_pool_url(mirror: Column, package: Column, filename: Column) -> Column:
@@ -215,7 +215,7 @@ def purl(kind: str, namespace: Column, name: Column, version: Column, arch: Colu
 
 
 def cpe23(vendor: Column, product: Column, version: Column) -> Column:
-    escaped = lambda c: F.regexp_replace(F.lower(c), r"([^a-z0-9_.\-])", r"\\\\$1")
+    escaped = lambda c: F.regexp_replace(F.lower(c), r"([^a-z0-9_.\-])", r"\\$1")
     return F.concat(F.lit("cpe:2.3:a:"), escaped(vendor), F.lit(":"), escaped(product), F.lit(":"), escaped(version), F.lit(":*:*:*:*:*:*:*"))
 
 
