@@ -19,7 +19,7 @@ from stemma.sources import schemas
 
 def _whole(spark: SparkSession, path: str, name: str = "text") -> DataFrame:
     """(file, text) of whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias(name))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias(name))
 
 
 # ---- databases and documents
@@ -54,7 +54,7 @@ _STORED = r"/([0-9a-f]{2})/([0-9a-f]{38}|[0-9a-f]{62})$"
 
 def read_doc_store(spark: SparkSession, path: str) -> DataFrame:
     """(bom_id, doc) of a document store, at any depth; hidden folders are skipped."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     rows = docs.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc")).filter(F.col("file").rlike(_STORED) & ~F.col("file").rlike(r"/\.git/"))
     return rows.select(F.concat(F.regexp_extract("file", _STORED, 1), F.regexp_extract("file", _STORED, 2)).alias("bom_id"), "doc")
 
