@@ -14,12 +14,16 @@ Buckets of equal keys are worked off without writing out all their pairs:
 1. Each class meets the smallest class of the bucket it shares most keys with.
    Links that hold on the full sets make first components.
 2. A bucket inside one component is done.  In others, up to ``BUCKET`` classes,
-   pairs from different components are compared by signature where they lie,
-   and only those under the threshold leave the task.
+   pairs from different components are compared where they lie.  A pair under
+   the threshold leaves the task from the first of its keys only, and only if
+   its odd sketches, parities of the sets' members in ``ODD`` cells, allow the
+   similarity: their difference counts the sets' symmetric difference closely,
+   and the bound leaves out a linked pair less than once in a billion.
 3. Larger mixed buckets come from passages that many documents share.  Their
    classes are joined again, exactly, by the prefix filter: sorted by how rare
    they are, the first quarter and one of their shingles must meet.  Lists of
-   any length are dealt in blocks.
+   any length are dealt in blocks, and a pair counts under the smallest of the
+   first shingles that both have.
 4. All pairs found are confirmed on the full sets, and components are joined.
 
 Defined results: a null or blank text has no shingles and no links; fewer than
@@ -41,10 +45,14 @@ from stemma.llm.words import gram_hashes, mix64, word_hashes, words
 from stemma.plans.storage import broadcast_if_small, materialise
 
 SHINGLE, PARTS, CHUNKS, MOST = 5, 96, 24, 47
+#: Cells of an odd sketch, and deviations by which it may exceed what a linked pair has on average.
+ODD, ODD_SLACK = 2048, 6.5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Largest bucket compared by signature key, rows of a block of a longer list, ids that may be broadcast.
 BUCKET, BLOCK, SMALL = 200, 20_000, 500_000
+#: First shingles that go with a class to tell under which of them its pairs count; pairs of longer ones may repeat.
+LISTED = 256
 
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,6 +85,20 @@ def keys(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(wide), -1)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of how many members fall in each of ``ODD`` cells."""
+    cells = np.bincount((found >> np.uint64(40)).astype(np.int64) % ODD, minlength=ODD)
+    return np.packbits((cells & 1).astype(np.uint8))
+
+
+def odd_limit(sizes: np.ndarray) -> np.ndarray:
+    """Most cells in which the odd sketches of a linked pair differ, from the sum of its sets' sizes."""
+    apart = np.floor(sizes * (100 - PERCENT) / (100 + PERCENT))
+    a, b = (1 - 2 / ODD) ** apart, (1 - 4 / ODD) ** apart
+    variance = (ODD * (1 - a * a) + ODD * (ODD - 1) * (b - a * a)) / 4
+    return ODD * (1 - a) / 2 + ODD_SLACK * np.sqrt(np.maximum(variance, 0)) + 2
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets meet the similarity."""
     if not len(a) or not len(b):
@@ -92,19 +114,20 @@ def _signed(batches):
             found = shingles(text.as_py())
             counts.append(len(found))
             classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            signatures.append(signature(found).tobytes() if len(found) else None)
+            signatures.append(signature(found).tobytes() + odd_sketch(found).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], ["row_id", "n_shingles", "cls", "sig"])
 
 
-def _stacked(column) -> np.ndarray:
-    """Signatures of equal length as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PARTS)
+def _stacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and odd sketches as matrices."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * PARTS + ODD // 8)
+    return np.ascontiguousarray(both[:, : 2 * PARTS]).view("<u2"), np.ascontiguousarray(both[:, 2 * PARTS :]).view(np.uint64)
 
 
 def _keyed(batches):
     for batch in batches:
         if batch.num_rows:
-            own = keys(_stacked(batch.column(1))).view(np.int64)
+            own = keys(_stacked(batch.column(1))[0]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), own.shape[1]))], ["key", "rep"])
 
 
@@ -122,53 +145,92 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], ["a", "b"])
 
 
-def _compared(batches):
-    """Pairs in a run of equal keys, from different components, whose sizes and signatures may be similar enough.
+def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of signatures the first key that both have."""
+    wrong = (a != b).reshape(-1, CHUNKS, 4)
+    chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
+    rows = np.arange(len(a))
+    return keys(a)[rows, chunk * 4 + wrong[rows, chunk].argmax(axis=1)].view(np.int64)
+
+
+def _compared(by_signature: bool):
+    """Pairs in a run of equal keys, from different components, whose sizes and sketches may be similar enough.
 
     Rows come sorted by key.  In a bucket of which this task has the blocks
-    ``side`` and another, only pairs across them count.
+    ``side`` and another, only pairs across them count.  With ``by_signature``
+    the keys are those of ``keys``, and a pair counts under its first one;
+    otherwise they are shingles, of which ``own`` lists those of a class.
     """
     names = ("key", "rep", "root", "n_shingles", "cross", "side")
-    held: dict[str, np.ndarray] | None = None
+
+    def least_shared(x, i, j):
+        sets = {}
+
+        def of(k):
+            if k not in sets:
+                own = x["own"][k]
+                sets[k] = None if own is None else frozenset(own.tolist())
+            return sets[k]
+
+        return np.array([of(a) is None or of(b) is None or min(of(a) & of(b)) == key for a, b, key in zip(i.tolist(), j.tolist(), x["shingle"][i].tolist(), strict=True)], bool)
 
     def pairs(x):
-        out_a, out_b = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for d in range(1, len(x["key"])):
             i = np.flatnonzero(x["key"][d:] == x["key"][:-d])
             if not len(i):
                 break
             j = i + d
-            small, large = np.minimum(x["n_shingles"][i], x["n_shingles"][j]), np.maximum(x["n_shingles"][i], x["n_shingles"][j])
-            may = (x["root"][i] != x["root"][j]) & (100 * small >= PERCENT * large) & (~x["cross"][i] | (x["side"][i] != x["side"][j]))
+            size_i, size_j = x["n_shingles"][i], x["n_shingles"][j]
+            may = (x["root"][i] != x["root"][j]) & (100 * np.minimum(size_i, size_j) >= PERCENT * np.maximum(size_i, size_j)) & (~x["cross"][i] | (x["side"][i] != x["side"][j]))
             i, j = i[may], j[may]
+            odd = np.bitwise_count(x["odd"][i] ^ x["odd"][j]).sum(axis=1, dtype=np.int64) <= odd_limit(x["n_shingles"][i] + x["n_shingles"][j])
+            i, j = i[odd], j[odd]
             near = (x["sig"][i] != x["sig"][j]).sum(axis=1) <= MOST
-            out_a.append(np.minimum(x["rep"][i][near], x["rep"][j][near]))
-            out_b.append(np.maximum(x["rep"][i][near], x["rep"][j][near]))
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)} | {"sig": _stacked(batch.column(len(names)))}
-        held = rows if held is None else {n: np.concatenate([held[n], v]) for n, v in rows.items()}
-        last = int(np.searchsorted(held["key"], held["key"][-1]))  # where the run that may go on begins
-        if last:
-            yield pairs({n: v[:last] for n, v in held.items()})
-            held = {n: v[last:] for n, v in held.items()}
-    if held is not None:
-        yield pairs(held)
-
-
-def _candidates(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (a, b) from buckets (key, rep, root, n) by comparing signatures inside each."""
+            i, j = i[near], j[near]
+            if by_signature and len(i):
+                first = _first_key(x["sig"][i], x["sig"][j]) == x["key"][i]
+                i, j = i[first], j[first]
+            if not by_signature and len(i):
+                first = least_shared(x, i, j)
+                i, j = i[first], j[first]
+            found.append(np.stack([np.minimum(x["rep"][i], x["rep"][j]), np.maximum(x["rep"][i], x["rep"][j])], axis=1))
+        once = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
+            rows["sig"], rows["odd"] = _stacked(batch.column(len(names)))
+            if not by_signature:
+                rows["shingle"] = batch.column(len(names) + 1).to_numpy()
+                rows["own"] = np.empty(batch.num_rows, object)
+                rows["own"][:] = [None if v is None else np.frombuffer(v, ">i8") for v in batch.column(len(names) + 2).to_pylist()]
+            held = rows if held is None else {n: np.concatenate([held[n], v]) for n, v in rows.items()}
+            last = int(np.searchsorted(held["key"], held["key"][-1]))  # where the run that may go on begins
+            if last:
+                yield pairs({n: v[:last] for n, v in held.items()})
+                held = {n: v[last:] for n, v in held.items()}
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def _candidates(buckets: DataFrame, classes: DataFrame, by_signature: bool) -> DataFrame:
+    """Distinct (a, b) from buckets (key, rep, root, n) by comparing signatures inside each; shingles also have ``own``."""
+    more = [] if by_signature else ["shingle", "own"]
+    buckets = buckets if by_signature else buckets.withColumn("shingle", F.col("key"))
     dealt = buckets.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.withColumn("cross", F.col("side") != F.col("other")).withColumn(
         "key", F.when(F.col("parts") > 1, F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("key"))
     )
-    full = dealt.join(classes, "rep").select("key", "rep", "root", "n_shingles", "cross", "side", "sig")
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "a long, b long").distinct()
+    full = dealt.join(classes, "rep").select("key", "rep", "root", "n_shingles", "cross", "side", "sig", *more)
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(by_signature), "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -190,7 +252,7 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, rep): the first quarter and one of each class's shingles, the rarest first."""
+    """(key, rep, own): the first quarter and one of each class's shingles, the rarest first, and all of these as bytes."""
     sets = texts.join(broadcast_if_small(hot, SMALL), F.col("row_id") == F.col("rep"), "left_semi")
 
     def grams(batches):
@@ -205,7 +267,10 @@ def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
     # Sets of similarity p share a shingle among the first n - ceil(p * n) + 1 of either in a common order.
     first = F.col("own").getField("key")
     size = F.size("own")
-    return ordered.select("rep", F.explode(F.slice(first, 1, size - F.ceil(size * PERCENT / 100).cast("int") + 1)).alias("key"))
+    front = ordered.select("rep", F.slice(first, 1, size - F.ceil(size * PERCENT / 100).cast("int") + 1).alias("front"))
+    # Each shingle as eight bytes, one after another.
+    packed = F.unhex(F.array_join(F.transform("front", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
+    return front.select("rep", F.when(F.size("front") <= LISTED, packed).alias("own"), F.explode("front").alias("key"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,12 +295,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     roots = components(links)
 
     mixed = materialise(_mixed(buckets.select("key", "rep", "n"), roots), "mixed")
-    near = _candidates(mixed.filter(F.col("n") <= BUCKET), classes)
+    near = _candidates(mixed.filter(F.col("n") <= BUCKET), classes, by_signature=True)
     hot = materialise(mixed.filter(F.col("n") > BUCKET).select("rep").distinct(), "hot")
     if not hot.isEmpty():
         prefixes = materialise(_prefixes(hot, texts), "prefixes")
         lists = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        near = near.unionByName(_candidates(_mixed(prefixes.join(lists, "key"), roots), classes)).distinct()
+        near = near.unionByName(_candidates(_mixed(prefixes.join(lists, "key"), roots), classes, by_signature=False)).distinct()
     more = _confirm(near, texts, members)
     if not more.isEmpty():
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))

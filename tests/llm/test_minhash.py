@@ -61,10 +61,11 @@ def corpus(seed=1):
     return list(zip(ids, texts)) + [(None, texts[0]), (None, None), (ids[0], texts[0]), (ids[1], texts[50])]
 
 
-@pytest.mark.parametrize("bucket,block", [(200, 20_000), (4, 6), (1, 3)])
+@pytest.mark.parametrize("bucket,block", [(200, 20_000), (4, 6), (2, 3)])
 def test_same_as_all_pairs(spark, monkeypatch, bucket, block):
     monkeypatch.setattr(minhash, "BUCKET", bucket)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LISTED", 8 if bucket == 2 else 256)
     rows = corpus(bucket)
     got = minhash.near_duplicates(docs(spark, rows)).collect()
     assert sorted(str(tuple(r)) for r in got) == by_force(rows)
@@ -94,6 +95,18 @@ def test_signatures_estimate_similarity():
     assert abs(equal - 0.75) < 0.15
 
 
+def test_odd_sketches_never_leave_out_a_linked_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 20, 170, 900, 6000):
+        for _ in range(150):
+            x = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+            gone = n // 7
+            a, b = x[:n], np.concatenate([x[gone:n], x[n : n + (n - gone) * 4 // 3 - (n - gone)]])
+            if minhash.linked(np.sort(a), np.sort(b)):
+                apart = np.bitwise_count(minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).sum()
+                assert apart <= minhash.odd_limit(np.array([len(a) + len(b)]))[0]
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(k, k + 1) for k in range(100, 140)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)] + [(5, 5)]
