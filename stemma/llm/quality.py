@@ -2,8 +2,9 @@
 
 A logistic classifier gives each document its evidence: the log odds that it is
 good, less those of the training rows.  Its features are the presence of the
-words that tell good from bad labels best and a few shares of a text's shape.
-It is trained on a bounded sample of the labelled rows.
+words, and of the beginnings of words, that tell good from bad labels best, and
+a few shares of a text's shape.  It is trained on a bounded sample of the
+labelled rows.
 
 The evidence of all documents, labelled or not, is then summed up by host and
 by path in grouped aggregations.  A host's share of good documents is shrunk to
@@ -31,13 +32,16 @@ from pyspark.sql import types as T
 from stemma.plans.storage import broadcast_if_small, materialise
 
 #: Labelled rows to train on, words kept as features, the ridge penalty, posterior needed, groups that may be broadcast.
-SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 8000, 600, 3.0, 0.5, 200_000
+SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 8000, 600, 3.0, 0.4, 200_000
 #: A word is a feature if the sample has it in this many documents and it tells the labels apart by so many deviations.
 LEAST_DOCS, LEAST_Z = 8, 4.0
+#: Bytes of the beginnings of words.
+BEGINNINGS = (5, 6, 7)
 #: Bounds of the strength with which a group is shrunk, in documents.
 STRENGTH = (2.0, 1000.0)
 
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
+_AROUND = b".,;:'\"()!?"
 _SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()|!?")
 
 
@@ -59,14 +63,25 @@ def features(text: str | None) -> tuple[set[bytes], list[float]] | None:
     if not found:
         return None
     distinct = set(raw.lower().split())
-    return distinct, shape(raw, found, len(distinct))
+    form = shape(raw, found, len(distinct))
+    return {w.strip(_AROUND) for w in distinct} - {b""}, form
+
+
+def begun(own: set[bytes], size: int) -> set[bytes]:
+    """Beginnings of ``size`` bytes of longer words, told from words by the space behind them."""
+    return {w[:size] + b" " for w in own if len(w) > size}
+
+
+def terms(own: set[bytes]) -> set[bytes]:
+    return own.union(*(begun(own, k) for k in BEGINNINGS))
 
 
 class Model:
     """A logistic model: weights of words and of standardised shape features, and the training rows' log odds."""
 
     def __init__(self, vocabulary: dict[bytes, float], centre, scale, weights, bias: float, prior: float):
-        self.vocabulary, self.words = vocabulary, set(vocabulary)
+        self.vocabulary, self.words = vocabulary, {w for w in vocabulary if w[-1:] != b" "}
+        self.begun = {k: {w for w in vocabulary if w[-1:] == b" " and len(w) == k + 1} for k in BEGINNINGS}
         self.centre, self.scale, self.weights, self.bias, self.prior = centre, scale, weights, bias, prior
 
     def evidence(self, text: str | None) -> float:
@@ -75,7 +90,12 @@ class Model:
             return 0.0
         own, form = made
         z = np.clip((np.array(form) - self.centre) / self.scale, -6, 6)
-        score = self.bias + float(z @ self.weights) + sum(map(self.vocabulary.__getitem__, self.words & own))
+        found = self.words & own
+        for k, wanted in self.begun.items():
+            if wanted:
+                found |= wanted & begun(own, k)
+        # In a fixed order, so that equal texts have equal evidence wherever they are scored.
+        score = self.bias + float(z @ self.weights) + sum(map(self.vocabulary.__getitem__, sorted(found)))
         return float(np.clip(score - self.prior, -30, 30))
 
 
@@ -86,7 +106,7 @@ def fit(rows: list[tuple[set[bytes], list[float], bool]]) -> Model | None:
         return None
     counts: dict[bytes, list[int]] = {}
     for own, _, is_good in rows:
-        for w in own:
+        for w in terms(own):
             counts.setdefault(w, [0, 0])[is_good] += 1
     n_bad, n_good = int((~good).sum()), int(good.sum())
     told = []
@@ -100,7 +120,7 @@ def fit(rows: list[tuple[set[bytes], list[float], bool]]) -> Model | None:
     place = {w: k for k, w in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for k, (own, _, _) in enumerate(rows):
-        x[k, [place[w] for w in place.keys() & own]] = 1
+        x[k, [place[w] for w in place.keys() & terms(own)]] = 1
     form = np.array([r[1] for r in rows])
     centre, scale = form.mean(axis=0), form.std(axis=0) + 1e-3
     x = np.concatenate([x, np.clip((form - centre) / scale, -6, 6), np.ones((len(rows), 1))], axis=1)
