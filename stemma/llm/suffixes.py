@@ -15,6 +15,9 @@ aggregation, and stretches that overlap merge into spans.  So a span is exactly
 a maximal run of words each of which lies in a stretch of ``LEAST`` words that
 another document also has.
 
+Texts that are equal form a class, and only the one with the smallest id is
+extended: it and its copies are one span each, from end to end.
+
 Words are split at ASCII white space and compared as they are, but for A-Z in
 lower case.  Defined results: null and short texts have no spans; rows without
 an id take no part; rows that repeat an id are one document and are no
@@ -31,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.mixing import word_count
 from stemma.llm.words import gram_hashes, word_hashes, words
-from stemma.plans.storage import broadcast_if_small, materialise
+from stemma.plans.storage import materialise
 
 #: Words of the shortest passage, of a suffix's head and of the grams that select positions.
 LEAST, HEAD, GRAM = 50, 17, 8
 #: Positions of which one is selected: any passage of LEAST words then holds a selected head.
 WINDOW = LEAST - HEAD + 1
-#: Documents with hits that may be broadcast.
-SMALL = 200_000
+#: Documents, and hits in all of them (four bytes each), that may be broadcast.
+SMALL, SMALL_HITS = 200_000, 4_000_000
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 
@@ -94,6 +98,17 @@ def _hits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in pending], names)
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(row_id, rep, n_words) of texts that a smaller id has too; ids of several rows are left to the general way."""
+    marked = texts.filter(F.col("text").isNotNull()).select("row_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), word_count(F.col("text")).alias("n_words"))
+    marked = marked.filter(F.col("n_words") >= LEAST)
+    classes = marked.groupBy("t1", "t2").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).filter("rep <> last").drop("last")
+    several = texts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_id")
+    members = marked.join(classes, ["t1", "t2"]).filter("row_id <> rep").select("row_id", "rep", "n_words")
+    alone = members.join(several, "row_id", "left_anti").join(several.withColumnRenamed("row_id", "rep"), "rep", "left_anti")
+    return materialise(alone.select("row_id", "rep", "n_words"), "copies")
+
+
 def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, start_word, n_words, first_id): the spans that other documents repeat.
 
@@ -103,7 +118,11 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     suffixes = materialise(texts.mapInArrow(_suffixes, "head long, row_id long, pos int"), "suffixes")
     ranged = suffixes.repartitionByRange("head", "row_id", "pos").sortWithinPartitions("head", "row_id", "pos")
     hits = ranged.mapInArrow(_hits, "head long, row_id long, pos int")
-    wanted = materialise(hits.groupBy("row_id").agg(F.collect_set("pos").alias("hits")), "hits")
+    copies = _copies(texts)
+    wanted = hits.groupBy("row_id").agg(F.collect_set("pos").alias("hits")).join(copies, "row_id", "left_anti")
+    wanted = materialise(wanted, "hits")
+    total = wanted.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("hits")).alias("hits")).first()
+    small = total["docs"] <= SMALL and (total["hits"] or 0) <= SMALL_HITS
 
     def stretches(batches):
         for batch in batches:
@@ -123,16 +142,22 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 starts.append(here)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32))], ["stretch", "row_id", "start"])
 
-    rows = materialise(texts.join(broadcast_if_small(wanted, SMALL), "row_id").mapInArrow(stretches, "stretch long, row_id long, start int"), "stretches")
+    rows = materialise(texts.join(F.broadcast(wanted) if small else wanted, "row_id").mapInArrow(stretches, "stretch long, row_id long, start int"), "stretches")
     shared = rows.groupBy("stretch").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id")).filter("first_id <> last_id").drop("last_id")
-    found = rows.join(shared, "stretch").groupBy("row_id", "start").agg(F.min("first_id").alias("first_id"))
+    found = rows.join(shared, "stretch").select("row_id", "start", "first_id")
     # Stretches that overlap or touch make one span.
     order = Window.partitionBy("row_id").orderBy("start")
     opens = F.coalesce(F.col("start") - F.lag("start").over(order) > LEAST, F.lit(True))
     spans = found.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(order))
-    return spans.groupBy("row_id", "span").agg(
+    spans = spans.groupBy("row_id", "span").agg(
         F.min("start").alias("start_word"), (F.max("start") - F.min("start") + LEAST).alias("n_words"), F.min("first_id").alias("first_id")
     ).drop("span")
+    spans = materialise(spans, "spans")
+    reps = copies.groupBy("rep").agg(F.max("n_words").alias("n_words"))
+    firsts = spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi").groupBy(F.col("row_id").alias("rep")).agg(F.min("first_id").alias("first_id"))
+    whole = reps.select("rep", F.col("rep").alias("row_id"), "n_words").unionByName(copies.select("rep", "row_id", "n_words")).join(firsts, "rep", "left")
+    whole = whole.select("row_id", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("n_words"), F.least("rep", "first_id").alias("first_id"))
+    return spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_anti").unionByName(whole)
 
 
 def span_texts(df: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,10 +112,12 @@ def test_passages_same_as_all_pairs(spark, seed):
         rows.append((rng.randint(0, 10**6), rng.choice([" ", "\n"]).join(w).title()))
     rows += [(2_000_000 + i, " ".join(passages[3] + [f"own{i}"] * 3)) for i in range(40)]
     rows += [(3_000_000, None), (3_000_001, ""), (3_000_002, "spam " * 300), (3_000_003, "spam " * 120), (None, rows[0][1]), rows[5], (rows[7][0], rows[8][1])]
+    rows += [(4_000_000 + i, rows[10 + i % 3][1]) for i in range(9)] + [(5_000_000, " ".join(passages[4])), (-5, " ".join(passages[4])), (7_000_000, "few words"), (7_000_001, "few words")]
+    rows += [(rows[11][0], "an id again")]
     got = suffixes.repeats(docs(spark, rows))
     assert got.columns == ["row_id", "start_word", "n_words", "first_id"]
     want = passages_by_force(rows)
-    many = {rows[7][0]}  # an id of two texts: its spans are those of both, merged
+    many = {rows[7][0], rows[11][0]}  # an id of two texts: its spans are those of both, merged
     assert sorted(tuple(r) for r in got.collect() if r["row_id"] not in many) == [w for w in want if w[0] not in many]
     assert any(w[0] in many for w in want) == (got.filter(F.col("row_id").isin(list(many))).count() > 0)
 
