@@ -1,9 +1,10 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A logistic classifier gives each document its evidence: the log odds that it is
-good, less those of the training rows.  Its features are the presence of the
+Two logistic classifiers, one for quality and one for toxicity, give each
+document its evidence: the smaller of their log odds that it is good, less the
+log odds of the training rows.  Their features are the presence of the
 words, and of the beginnings of words, that tell good from bad labels best, and
-a few shares of a text's shape.  It is trained on a bounded sample of the
+a few shares of a text's shape.  They are trained on a bounded sample of the
 labelled rows.
 
 The evidence of all documents, labelled or not, is then summed up by host and
@@ -32,9 +33,9 @@ from pyspark.sql import types as T
 from stemma.plans.storage import broadcast_if_small, materialise
 
 #: Labelled rows to train on, words kept as features, the ridge penalty, posterior needed, groups that may be broadcast.
-SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 8000, 600, 3.0, 0.4, 200_000
+SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 8000, 1200, 0.3, 0.5, 200_000
 #: A word is a feature if the sample has it in this many documents and it tells the labels apart by so many deviations.
-LEAST_DOCS, LEAST_Z = 8, 4.0
+LEAST_DOCS, LEAST_Z = 8, 3.0
 #: Bytes of the beginnings of words.
 BEGINNINGS = (5, 6, 7)
 #: Bounds of the strength with which a group is shrunk, in documents.
@@ -77,26 +78,43 @@ def terms(own: set[bytes]) -> set[bytes]:
 
 
 class Model:
-    """A logistic model: weights of words and of standardised shape features, and the training rows' log odds."""
+    """A logistic model: weights of words and of standardised shape features."""
 
-    def __init__(self, vocabulary: dict[bytes, float], centre, scale, weights, bias: float, prior: float):
+    def __init__(self, vocabulary: dict[bytes, float], centre, scale, weights, bias: float):
         self.vocabulary, self.words = vocabulary, {w for w in vocabulary if w[-1:] != b" "}
         self.begun = {k: {w for w in vocabulary if w[-1:] == b" " and len(w) == k + 1} for k in BEGINNINGS}
-        self.centre, self.scale, self.weights, self.bias, self.prior = centre, scale, weights, bias, prior
+        self.centre, self.scale, self.weights, self.bias = centre, scale, weights, bias
 
-    def evidence(self, text: str | None) -> float:
-        made = features(text)
-        if made is None:
-            return 0.0
-        own, form = made
+    def log_odds(self, own: set[bytes], form: list[float]) -> float:
         z = np.clip((np.array(form) - self.centre) / self.scale, -6, 6)
         found = self.words & own
         for k, wanted in self.begun.items():
             if wanted:
                 found |= wanted & begun(own, k)
         # In a fixed order, so that equal texts have equal evidence wherever they are scored.
-        score = self.bias + float(z @ self.weights) + sum(map(self.vocabulary.__getitem__, sorted(found)))
-        return float(np.clip(score - self.prior, -30, 30))
+        return self.bias + float(z @ self.weights) + sum(map(self.vocabulary.__getitem__, sorted(found)))
+
+
+class Judge:
+    """Models that must all find a document good, and the training rows' log odds that they do."""
+
+    def __init__(self, models: list[Model], prior: float):
+        self.models, self.prior = models, prior
+
+    def evidence(self, text: str | None) -> float:
+        made = features(text)
+        if made is None or not self.models:
+            return 0.0
+        return float(np.clip(min(m.log_odds(*made) for m in self.models) - self.prior, -30, 30))
+
+
+def judge(rows: list[tuple[set[bytes], list[float], bool, bool]]) -> Judge | None:
+    """Train on (words, shape, quality, clean); None unless some rows are good in both and some are not."""
+    n_good = sum(q and c for *_, q, c in rows)
+    if n_good in (0, len(rows)):
+        return None
+    models = [fit([(own, form, verdict[k]) for own, form, *verdict in rows]) for k in (0, 1)]
+    return Judge([m for m in models if m], float(np.log(n_good / (len(rows) - n_good))))
 
 
 def fit(rows: list[tuple[set[bytes], list[float], bool]]) -> Model | None:
@@ -135,31 +153,31 @@ def fit(rows: list[tuple[set[bytes], list[float], bool]]) -> Model | None:
         if np.abs(step).max() < 1e-4:
             break
     n = len(chosen)
-    return Model(dict(zip(chosen, w[:n].tolist(), strict=True)), centre, scale, w[n:-1], float(w[-1]), float(np.log(n_good / n_bad)))
+    return Model(dict(zip(chosen, w[:n].tolist(), strict=True)), centre, scale, w[n:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Judge | None:
     """Fit on at most ``sample`` labelled documents, chosen by the hash of their id."""
-    verdict = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    sound = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__q_id"), verdict.alias("good")).filter(F.col("good").isNotNull())
-    sound = sound.groupBy("__q_id").agg(F.min("good").alias("good"), F.max("good").alias("other")).filter("good = other")
-    picked = F.broadcast(sound.orderBy(F.xxhash64("__q_id"), "__q_id").limit(sample).select("__q_id", "good"))  # ``sample`` rows at most
+    verdicts = F.struct((F.col("quality") == 1).alias("q"), (F.col("toxic") == 0).alias("c"))
+    sound = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).alias("__q_id"), verdicts.alias("v"))
+    sound = sound.groupBy("__q_id").agg(F.min("v").alias("v"), F.max("v").alias("other")).filter("v = other")
+    picked = F.broadcast(sound.orderBy(F.xxhash64("__q_id"), "__q_id").limit(sample).select("__q_id", "v.q", "v.c"))  # ``sample`` rows at most
 
     def made(batches):
         for batch in batches:
             out = [features(t.as_py()) for t in batch.column(0)]
             kept = [k for k, f in enumerate(out) if f is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b" ".join(sorted(out[k][0])) for k in kept], pa.binary()), pa.array([out[k][1] for k in kept], pa.list_(pa.float64())), batch.column(1).take(pa.array(kept, pa.int64())), batch.column(2).take(pa.array(kept, pa.int64()))],
-                ["words", "shape", "good", "id"],
+                [pa.array([b" ".join(sorted(out[k][0])) for k in kept], pa.binary()), pa.array([out[k][1] for k in kept], pa.list_(pa.float64())), *(batch.column(c).take(pa.array(kept, pa.int64())) for c in (1, 2, 3))],
+                ["words", "shape", "q", "c", "id"],
             )
 
-    joined = docs.select(F.col(id_col).alias("__q_id"), F.col(text_col).alias("text")).join(picked, "__q_id").select("text", "good", F.col("__q_id").cast("long").alias("id"))
-    seen = joined.mapInArrow(made, "words binary, shape array<double>, good boolean, id long").orderBy("id", "words").toArrow().to_pylist()
-    return fit([(set(r["words"].split(b" ")), r["shape"], r["good"]) for r in seen])
+    joined = docs.select(F.col(id_col).alias("__q_id"), F.col(text_col).alias("text")).join(picked, "__q_id").select("text", "q", "c", F.col("__q_id").cast("long").alias("id"))
+    seen = joined.mapInArrow(made, "words binary, shape array<double>, q boolean, c boolean, id long").orderBy("id", "words").toArrow().to_pylist()
+    return judge([(set(r["words"].split(b" ")), r["shape"], r["q"], r["c"]) for r in seen])
 
 
-def _with_evidence(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+def _with_evidence(df: DataFrame, model: Judge, text_col: str) -> DataFrame:
     names, place = df.columns, df.columns.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("evidence", T.DoubleType())])
 
