@@ -21,7 +21,9 @@ Buckets of equal keys are worked off without writing out all their pairs:
    and the bound leaves out a linked pair less than once in a billion.
 3. Larger mixed buckets come from passages that many documents share.  Their
    classes are joined again, exactly, by the prefix filter: sorted by how rare
-   they are, the first quarter and one of their shingles must meet.  Lists of
+   they are, the first quarter and one of their shingles must meet.  Any order
+   is exact; rarity comes from a table of ``COUNTERS`` counters summed over all
+   these classes, and a shingle whose counter is 1 is nobody else's.  Lists of
    any length are dealt in blocks, and a pair counts under the smallest of the
    first shingles that both have.
 4. All pairs found are confirmed on the full sets, and components are joined.
@@ -53,6 +55,8 @@ PERCENT = 75
 BUCKET, BLOCK, SMALL = 200, 20_000, 500_000
 #: First shingles that go with a class to tell under which of them its pairs count; pairs of longer ones may repeat.
 LISTED = 256
+#: Counters of the rarity table, one byte each; its size does not depend on the data.
+COUNTERS = 2**22
 
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,26 +255,63 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(mixed, "key", "left_semi")
 
 
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> np.uint64(20)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _sparse(table: np.ndarray) -> pa.RecordBatch:
+    """A table of counters as one row: the places that count something, and their counts up to 255."""
+    at = np.flatnonzero(table)
+    return pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([np.minimum(table[at], 255).astype(np.uint8).tobytes()], pa.binary())], ["cells", "counts"])
+
+
+def _tallied(batches):
+    table = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        for own in batch.column(0):
+            table[_cells(np.frombuffer(own.as_py(), np.uint64))] += 1
+    yield _sparse(table)
+
+
+def _summed(batches):
+    table = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        for cells, counts in zip(batch.column(0), batch.column(1), strict=True):
+            table[np.frombuffer(cells.as_py(), "<u4")] += np.frombuffer(counts.as_py(), np.uint8)
+    yield _sparse(table)
+
+
 def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, rep, own): the first quarter and one of each class's shingles, the rarest first, and all of these as bytes."""
-    sets = texts.join(broadcast_if_small(hot, SMALL), F.col("row_id") == F.col("rep"), "left_semi")
+    """(key, rep, own): the first quarter and one of each class's shingles, the rarest first, and all of these as bytes.
 
-    def grams(batches):
+    Shingles that no other class has are left out: they are nobody's partner.
+    """
+    sets = materialise(texts.join(broadcast_if_small(hot, SMALL), F.col("row_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep long, grams binary"), "hot_sets")
+    schema = "cells binary, counts binary"
+    tallies = sets.select("grams").mapInArrow(_tallied, schema)
+    some = int(tallies.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5
+    # One row of bounded size is left, whatever the input.
+    total = tallies.repartition(max(1, round(some))).mapInArrow(_summed, schema).repartition(1).mapInArrow(_summed, schema).first()
+    table = np.zeros(COUNTERS, np.uint8)
+    table[np.frombuffer(total["cells"], "<u4")] = np.frombuffer(total["counts"], np.uint8)
+
+    def fronts(batches):
         for batch in batches:
-            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-            counts = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["rep", "key"])
-
-    rows = materialise(sets.mapInArrow(grams, "rep long, key long"), "grams")
-    rare = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ordered = rows.join(rare, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
-    # Sets of similarity p share a shingle among the first n - ceil(p * n) + 1 of either in a common order.
-    first = F.col("own").getField("key")
-    size = F.size("own")
-    front = ordered.select("rep", F.slice(first, 1, size - F.ceil(size * PERCENT / 100).cast("int") + 1).alias("front"))
-    # Each shingle as eight bytes, one after another.
-    packed = F.unhex(F.array_join(F.transform("front", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
-    return front.select("rep", F.when(F.size("front") <= LISTED, packed).alias("own"), F.explode("front").alias("key"))
+            reps, found, packed = [], [np.zeros(0, np.int64)], []
+            for rep, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.frombuffer(own.as_py(), np.uint64)
+                if not len(grams):
+                    continue
+                rarity = table[_cells(grams)]
+                # Sets of similarity p share a shingle among the first n - ceil(p * n) + 1 of either in a common order.
+                first = np.lexsort((grams, rarity))[: len(grams) - -(-len(grams) * PERCENT // 100) + 1]
+                front = np.sort(grams[first[rarity[first] > 1]]).view(np.int64)
+                reps.append(np.full(len(front), rep))
+                found.append(front)
+                packed += [front.astype(">i8").tobytes() if len(front) <= LISTED else None] * len(front)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *reps])), pa.array(np.concatenate(found)), pa.array(packed, pa.binary())], ["rep", "key", "own"])
+
+    return sets.mapInArrow(fronts, "rep long, key long, own binary")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
