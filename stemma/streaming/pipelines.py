@@ -11,17 +11,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from stemma.operators import dag
-from stemma.sources import rawlog
+from stemma.sources import rawlog, schemas
 
 
-def stream_records(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of build records from files that appear in ``folder``; ``seq`` is their place in time.
+def stream_stanzas(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of log stanzas (value, f, b) from files that appear in ``folder``, with their file and block."""
+    stanza = spark.readStream.text(folder, lineSep=rawlog.END)
+    return stanza.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
 
-    A file's stanzas are numbered by its modification time and their offset.
-    """
-    stanza = spark.readStream.option("lineSep", rawlog.END).text(folder)
-    when = F.unix_micros("_metadata.file_modification_time")
-    return rawlog.parse_stanzas(stanza.select((when * 1_000_000 + F.monotonically_increasing_id() % 1_000_000).alias("seq"), "value"))
+
+def batch_records(stanzas: DataFrame, number: int) -> DataFrame:
+    """Records of one micro-batch; their numbers follow those of all earlier batches."""
+    numbered = rawlog.number_stanzas(stanzas.withColumn("i", F.monotonically_increasing_id()))
+    return rawlog.parse_stanzas(numbered.withColumn("seq", F.col("seq") + F.lit(number * (1 << 40))))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -30,13 +32,12 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> Strea
     A batch that runs again replaces its own rows, so each record is ingested once.
     """
 
-    def batch(records: DataFrame, number: int) -> None:
-        records.persist()
-        for name, table in (("records", records), ("edges", dag.edges(records))):
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        records.unpersist()
+    def batch(stanzas: DataFrame, number: int) -> None:
+        batch_records(stanzas, number).write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+        kept = spark.read.schema(schemas.RECORD).parquet(f"{out}/records/batch={number}")
+        dag.edges(kept).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
 
-    return stream_records(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+    return stream_stanzas(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
 class PairOnce(StatefulProcessor):
