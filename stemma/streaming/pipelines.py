@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stemma.operators import dag
 from stemma.sources import rawlog, schemas
@@ -40,43 +40,36 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> Strea
     return stream_stanzas(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
-class PairOnce(StatefulProcessor):
-    """Keeps the last ``before`` row of each key until the next row under the key takes it or it grows too old."""
-
-    def __init__(self, before: str, after: str, keep_ms: int):
-        self.before, self.after, self.keep_ms = before, after, keep_ms
+def pair_stream(events: DataFrame, before: str, after: str, *, keep_ms: int = 3_600_000) -> DataFrame:
+    """(key, before_order, after_order) over a stream of (key, order, kind): ``dag.paired_once`` with state that expires.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "order long", self.keep_ms)
+    The state of a key is its last ``before`` row, until the next row under
+    the key takes it or no row comes for ``keep_ms``.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        out = []
+    def pair(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out, held = [], state.get[0] if state.exists else None
         found = pd.concat(list(rows)).sort_values("order")
-        held = self.held.get()[0] if self.held.exists() else None
         for order, kind in zip(found["order"], found["kind"], strict=True):
-            if kind == self.before:
+            if kind == before:
                 held = int(order)
             else:
                 if held is not None:
                     out.append((key[0], held, int(order)))
                 held = None
         if held is None:
-            self.held.clear()
+            if state.exists:
+                state.remove()
         else:
-            self.held.update((held,))
-        yield pd.DataFrame(out, columns=["key", "before_order", "after_order"])
-
-    def close(self) -> None:
-        pass
+            state.update((held,))
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame(out, columns=["key", "before_order", "after_order"]).astype("int64")
 
-
-def pair_stream(events: DataFrame, before: str, after: str, *, keep_ms: int = 3_600_000) -> DataFrame:
-    """(key, before_order, after_order) over a stream of (key, order, kind): ``dag.paired_once`` with state that expires.
-
-    Needs the RocksDB state store.
-    """
     own = events.filter(F.col("kind").isin(before, after)).groupBy("key")
-    return own.transformWithStateInPandas(PairOnce(before, after, keep_ms), "key long, before_order long, after_order long", "append", "processingTime")
+    return own.applyInPandasWithState(pair, "key long, before_order long, after_order long", "held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def pair_micro_batches(events: DataFrame, before: str, after: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -171,3 +171,12 @@ def test_streams(spark, tmp_path):
     timed = spark.read.parquet(str(tmp_path / "timed"))
     assert {(r["event_type"], r["n"], r["total"]) for r in pipelines.event_windows(timed).collect()} == {("v", 2, 3.0), ("w", 1, 3.0)}
     assert pipelines.event_windows(timed, slide="1 minute").count() == 12 and pipelines.event_sessions(timed).count() == 3
+
+
+def test_stateful_pairs(spark, tmp_path):
+    for part in ([(1, 1, "a"), (1, 2, "b"), (1, 3, "a")], [(1, 4, "b"), (2, 1, "b"), (1, 5, "b"), (2, 7, "x")]):
+        spark.createDataFrame(part, "key long, order long, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        events = spark.readStream.schema("key long, order long, kind string").parquet(str(tmp_path / "events"))
+        query = pipelines.pair_stream(events, "a", "b").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start()
+        assert query.awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 1, 2), (1, 3, 4)]
