@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The hash algorithms and the length of their hex digests.
 ALGORITHMS = {"sha1": 40, "sha256": 64}
+#: Fixed value: the owner name of the note section that holds a document's id.
+NOTE_OWNER = b"OMNIBOR\0"
 
 
 def _digest(content: Column, alg: str) -> Column:
@@ -78,7 +80,7 @@ def embedded_note(sha1_bom: Column, sha256_bom: Column) -> Column:
     """
 
     def entry(bom: Column, size: int, tag: int) -> Column:
-        fixed = (8).to_bytes(4, "little") + size.to_bytes(4, "little") + tag.to_bytes(4, "little") + b"OMNIBOR\0"
+        fixed = len(NOTE_OWNER).to_bytes(4, "little") + size.to_bytes(4, "little") + tag.to_bytes(4, "little") + NOTE_OWNER
         return F.when(bom.isNotNull() & (bom != ""), F.concat(F.unhex(F.lit(fixed.hex())), F.unhex(bom))).otherwise(F.unhex(F.lit("")))
 
     return F.concat(entry(sha1_bom, 20, 1), entry(sha256_bom, 32, 2))
@@ -87,7 +89,7 @@ def embedded_note(sha1_bom: Column, sha256_bom: Column) -> Column:
 def read_embedded_note(content: Column, alg: str = "sha1") -> Column:
     """The id that ``embedded_note`` put into binary content, or null."""
     size, tag = (20, "01") if alg == "sha1" else (32, "02")
-    mark = f"08000000{size:02x}000000{tag}0000004f4d4e49424f5200"
+    mark = f"08000000{size:02x}000000{tag}000000{NOTE_OWNER.hex()}"
     digits = F.lower(F.hex(content))
     at = F.instr(digits, mark)
     return F.when((at > 0) & (at % 2 == 1), F.substring(digits, at + len(mark), F.lit(2 * size)))
