@@ -266,3 +266,25 @@ def spdx_file_type(path: Column, head: Column) -> Column:
         F.when(kind.isin("elf", "class"), "BINARY").when(kind == "image", "IMAGE").when(kind.isin("archive", "zip", "gzip", "xz", "bzip2", "rpm"), "ARCHIVE")
         .when((kind == "script") | is_c_source(path) | is_source_file(path), "SOURCE").otherwise("TEXT")
     )
+
+
+#: Mirrors by distribution, and the distributions' releases.
+MIRRORS = {"ubuntu": "http://archive.ubuntu.com/ubuntu", "debian": "http://ftp.debian.org/debian", "debian-archive": "http://archive.debian.org/debian"}
+RELEASES = {
+    "ubuntu": ("trusty", "xenial", "bionic", "focal", "jammy", "kinetic", "lunar"),
+    "debian": ("buster", "bullseye", "bookworm", "trixie", "sid"),
+    "debian-archive": ("lenny", "squeeze", "wheezy", "jessie", "stretch"),
+}
+
+
+def release_mirror(release: Column) -> Column:
+    """The mirror of a well-known release; empty for others."""
+    out = F.lit("")
+    for kind, names in RELEASES.items():
+        out = F.when(release.isin(*names), F.lit(MIRRORS[kind])).otherwise(out)
+    return out
+
+
+def is_regular_mode(mode: Column) -> Column:
+    """Whether a file mode's type bits say regular file."""
+    return mode.bitwiseAND(F.lit(0o170000)) == F.lit(0o100000)

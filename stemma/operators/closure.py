@@ -99,3 +99,8 @@ def coverage(closed: DataFrame, known: DataFrame) -> DataFrame:
     return sums.select(
         "root", "n_blobs", "n_found", (F.col("n_found") * F.lit(100.0) / F.col("n_blobs")).alias("found_pct"), n_known.alias("n_known"), (F.col("n_found") * F.lit(100.0) / F.nullif(n_known, F.lit(0))).alias("known_pct")
     )
+
+
+def attach_paths(closed: DataFrame, files: DataFrame) -> DataFrame:
+    """A closure with the path of a local file of the same content, from files(path, blob): the first by name."""
+    return closed.join(files.groupBy("blob").agg(F.min("path").alias("local_path")), "blob", "left")

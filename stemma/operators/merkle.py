@@ -151,3 +151,12 @@ def collapse(leaves: DataFrame, *, alg: str = "sha1", **options) -> DataFrame:
     """(root, bom_id, n_leaves): one flat document of the distinct leaves under each root, from (root, blob)."""
     own = leaves.select("root", "blob").distinct().groupBy("root").agg(F.collect_list(ident.doc_line(F.col("blob"), F.lit(None).cast("string"))).alias("lines"))
     return own.select("root", ident.bom_id(F.col("lines"), alg, **options).alias("bom_id"), F.size("lines").alias("n_leaves"))
+
+
+def reembedded(edge: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """The edges of a graph some of whose files were rewritten with a new embedded id, from (new_blob, old_blob).
+
+    A rewritten file is made of the old one alone, so it takes over its document.
+    """
+    added = rewritten.filter("new_blob <> old_blob").select(F.col("new_blob").alias("out_blob"), F.col("old_blob").alias("in_blob"))
+    return edge.select("out_blob", "in_blob").unionByName(added).distinct()

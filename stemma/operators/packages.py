@@ -125,3 +125,37 @@ def packages_of_inputs(edge: DataFrame, node: DataFrame) -> DataFrame:
     """(blob, pkgs): the package infos of what each artifact is an input of."""
     owners = node.filter("size(pkg_infos) > 0").select(F.col("blob").alias("out_blob"), F.explode("pkg_infos").alias("pkg"))
     return edge.select("out_blob", F.col("in_blob").alias("blob")).distinct().join(owners, "out_blob").groupBy("blob").agg(F.array_sort(F.collect_set("pkg")).alias("pkgs"))
+
+
+#: Fixed value: the package of image files that none provides.
+NO_PROVIDER = "UNKNOWN_PATH UNKNOWN_PKG UNKNOWN_VERSION"
+
+
+def owned_image_files(entries: DataFrame, present: DataFrame) -> DataFrame:
+    """(line, blob, pkg_key): lines ``blob ...`` of an image that a package provides and whose file is present.
+
+    ``entries(line, prov_pkg, imag_pkg)``, ``present(blob)``; a providing
+    package goes before one told by the image.
+    """
+    from stemma.functions import ident
+
+    rows = entries.filter(F.startswith("line", F.lit("blob "))).select("line", ident.parse_line(F.col("line"))["blob"].alias("blob"), F.coalesce("prov_pkg", "imag_pkg").alias("pkg_key"))
+    known = rows.filter(F.col("pkg_key").isNotNull() & (F.col("pkg_key") != NO_PROVIDER))
+    return known.join(present.select("blob").distinct(), "blob", "left_semi").select("line", "blob", "pkg_key")
+
+
+def package_record(packages: DataFrame, members: DataFrame, seq_from: int = 1) -> DataFrame:
+    """Build records of packages: a package file is made of all its member files, and carries its info.
+
+    ``packages(archive, blob, pkg_info)``, ``members(archive, path, blob)``.
+    """
+    none = F.array().cast("array<string>")
+    entry = F.struct(F.lit(0).alias("pos"), "blob", "path", none.alias("has_cve"), none.alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg"))
+    lists = members.groupBy("archive").agg(F.array_sort(F.collect_list(entry)).alias("infiles"))
+    blank = lambda c: F.lit(None).cast("string").alias(c)
+    joined = packages.join(lists, "archive")
+    return joined.select(
+        (F.row_number().over(Window.orderBy("archive")) + seq_from - 1).cast("long").alias("seq"), blank("pid"), blank("exec_mode"), F.col("blob").alias("out_blob"), F.col("archive").alias("out_path"),
+        F.concat(F.lit("package "), "archive").alias("build_cmd"), blank("build_tool"), "pkg_info", blank("prune"), F.lit(False).alias("ignore"), "infiles",
+        F.array().cast("array<struct<pos:int,blob:string,path:string>>").alias("dynlibs"),
+    )

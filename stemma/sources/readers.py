@@ -18,8 +18,9 @@ from stemma.sources import schemas
 
 
 def _whole(spark: SparkSession, path: str, name: str = "text") -> DataFrame:
-    """(file, text) of whole files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias(name))
+    """(file, text) of whole files; Spark's file paths are percent-encoded, these are not."""
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return spark.read.text(path, wholetext=True).select(file.alias("file"), F.col("value").alias(name))
 
 
 # ---- databases and documents
@@ -181,12 +182,7 @@ def read_cve_info(spark: SparkSession, path: str) -> DataFrame:
     """(cve, kind, commit, src_files) of YAML notes named by commit: ``Added`` or ``Fixed``, then vulnerabilities and files."""
 
     def make(file, text):
-        commit = re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1])
-        for kind, cves in (small_yaml(text) or {}).items():
-            for cve, about in (cves if isinstance(cves, dict) else {c: None for c in cves or []}).items():
-                files = about.get("src_files") if isinstance(about, dict) else about
-                files = files.split() if isinstance(files, str) else list(files or [])
-                yield cve, kind, commit, files
+        yield from _notes(re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1]), text)
 
     return _texts(_whole(spark, path), make, "cve string, kind string, commit string, src_files array<string>")
 
@@ -426,3 +422,93 @@ def python_imports(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["path", "module", "lineno", "level", "in_except"])
 
     return files.select("path", "text").mapInArrow(run, "path string, module string, lineno int, level int, in_except boolean")
+
+
+# ---- what other tools print
+
+
+def cve_info_of_messages(messages: DataFrame) -> DataFrame:
+    """(cve, kind, commit, src_files) of annotated tags (commit, text) whose messages hold the same notes as files do."""
+
+    def make(commit, text):
+        body = "\n".join(x for x in (text or "").splitlines() if re.match(r"\s*(-|Added:|Fixed:|CVE-|src_files:|\S+\.\w+$)", x))
+        for cve, kind, _, files in _notes(commit, body):
+            yield cve, kind, commit, files
+
+    return _texts(messages.select("commit", "text"), make, "cve string, kind string, commit string, src_files array<string>")
+
+
+def _notes(commit: str, text: str):
+    for kind, cves in (small_yaml(text) or {}).items():
+        for cve, about in (cves if isinstance(cves, dict) else {c: None for c in cves or []}).items():
+            files = about.get("src_files") if isinstance(about, dict) else about
+            yield cve, kind, commit, files.split() if isinstance(files, str) else list(files or [])
+
+
+def read_library_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(soname, path) of a printed loader cache: a folder's line ends with a colon, and its libraries follow."""
+    rows = numbered_lines(spark, path).withColumn("folder", F.nullif(F.regexp_extract("raw", r"^(/[^:]*):(?:$|\s)", 1), F.lit("")))
+    from stemma.operators.dag import latest_before
+
+    links = rows.filter(F.contains("raw", F.lit(" -> "))).select("line_no", F.regexp_extract("raw", r"^\s*(\S+) -> (\S+)", 1).alias("soname"), F.regexp_extract("raw", r"^\s*(\S+) -> (\S+)", 2).alias("name"), F.lit(1).alias("cache"))
+    folders = rows.filter("folder IS NOT NULL").select("line_no", F.lit(1).alias("cache"), F.col("folder").alias("lib_dir"))
+    return latest_before(links, folders, ["cache"], "line_no", "lib_dir", "folder").select("soname", F.concat_ws("/", "folder", "name").alias("path"))
+
+
+def read_dynamic_sections(spark: SparkSession, path: str, folder: str = "/") -> DataFrame:
+    """(path, needed, rpath) of printed dynamic sections, one file for each object, named after it; ``$ORIGIN`` is its folder."""
+    values = lambda kind: F.flatten(F.transform(F.regexp_extract_all("text", F.lit(rf"\((?:{kind})\)[^\[\n]*\[([^\]]*)\]"), F.lit(1)), lambda v: F.split(v, ":")))
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.txt$", "")
+    own = F.concat(F.lit(folder.rstrip("/") + "/"), F.replace(name, F.lit("%"), F.lit("/")))
+    here = F.regexp_replace("path", "/[^/]*$", "")
+    rows = _whole(spark, path).select(own.alias("path"), values("NEEDED").alias("needed"), values("RPATH|RUNPATH").alias("rpath"))
+    return rows.withColumn("rpath", F.transform("rpath", lambda p: F.replace(F.replace(p, F.lit("${ORIGIN}"), here), F.lit("$ORIGIN"), here)))
+
+
+def class_files(files: DataFrame) -> DataFrame:
+    """(path, class_name, source_file) of compiled classes (path, content), from their constant pools."""
+    import struct
+
+    def about(raw: bytes):
+        if raw[:4] != b"\xca\xfe\xba\xbe":
+            return None, None
+        at, pool, k = 10, {}, 1
+        count = struct.unpack_from(">H", raw, 8)[0]
+        sizes = {3: 4, 4: 4, 5: 8, 6: 8, 7: 2, 8: 2, 9: 4, 10: 4, 11: 4, 12: 4, 15: 3, 16: 2, 17: 4, 18: 4, 19: 2, 20: 2}
+        while k < count:
+            tag = raw[at]
+            if tag == 1:
+                n = struct.unpack_from(">H", raw, at + 1)[0]
+                pool[k] = raw[at + 3 : at + 3 + n].decode("utf-8", "replace")
+                at += 3 + n
+            else:
+                pool[k] = struct.unpack_from(">H", raw, at + 1)[0]
+                at += 1 + sizes[tag]
+            k += 2 if tag in (5, 6) else 1
+        name = pool.get(pool.get(struct.unpack_from(">H", raw, at + 2)[0]))
+        at += 6
+        at += 2 + 2 * struct.unpack_from(">H", raw, at)[0]
+
+        def attributes(at):
+            found = {}
+            n, at = struct.unpack_from(">H", raw, at)[0], at + 2
+            for _ in range(n):
+                key, size = struct.unpack_from(">HI", raw, at)
+                found[pool.get(key)] = at + 6
+                at += 6 + size
+            return found, at
+
+        for _ in range(2):  # fields, then methods
+            n, at = struct.unpack_from(">H", raw, at)[0], at + 2
+            for _ in range(n):
+                _, at = attributes(at + 6)
+        found, _ = attributes(at)
+        source = pool.get(struct.unpack_from(">H", raw, found["SourceFile"])[0]) if "SourceFile" in found else None
+        return name, source
+
+    def run(batches):
+        for batch in batches:
+            told = [about(c.as_py() or b"") for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string())], ["path", "class_name", "source_file"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, class_name string, source_file string")

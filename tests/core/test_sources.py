@@ -171,3 +171,39 @@ def test_command_records(spark):
     assert [f["path"] for f in rows[1]["dynlibs"]] == ["/w/lib/libx.so"] and [f["blob"] for f in rows[2]["infiles"]] == [B]
     assert commands.watched(cmds, ["/usr/bin/ld", "ls", "-cc"]).count() == 2
     assert commands.read_watch_list("# x\ngcc\n---\nstrip\n===\nconfigure\n+++\nrpmbuild\n") == {"watched": ["gcc"], "pre_exec": ["strip"], "detach": ["configure"], "umbrella": ["rpmbuild"]}
+
+
+def test_printed_tool_output(spark, tmp_path):
+    cache = "/lib64: (from /etc/ld.so.conf)\n\tlibz.so.1 -> libz.so.1.2.11\n/usr/lib:\n\tliby.so -> liby.so.2\n"
+    assert {tuple(r) for r in readers.read_library_cache(spark, put(tmp_path, "cache", cache)).collect()} == {("libz.so.1", "/lib64/libz.so.1.2.11"), ("liby.so", "/usr/lib/liby.so.2")}
+    section = " 0x1 (NEEDED)  Shared library: [libc.so.6]\n 0x1 (NEEDED) Shared library: [libm.so]\n 0xf (RUNPATH) Library runpath: [$ORIGIN/../lib:/opt]\n"
+    r = readers.read_dynamic_sections(spark, put(tmp_path, "dyn/usr%bin%app.txt", section)).first()
+    assert (r["path"], r["needed"], r["rpath"]) == ("/usr/bin/app", ["libc.so.6", "libm.so"], ["/usr/bin/../lib", "/opt"])
+    tags = spark.createDataFrame([("c1", "tag v1\n\nFixed:\n  CVE-7:\n    src_files:\n      - a.c\n")], "commit string, text string")
+    assert [tuple(r) for r in readers.cve_info_of_messages(tags).collect()] == [("CVE-7", "Fixed", "c1", ["a.c"])]
+
+
+def test_class_files(spark):
+    import struct
+
+    names = ["x/Main", "java/lang/Object", "SourceFile", "Main.java"]
+    pool = b"".join(b"\x01" + struct.pack(">H", len(n)) + n.encode() for n in names) + b"\x07\0\x01" + b"\x07\0\x02"
+    raw = b"\xca\xfe\xba\xbe\0\0\0\x34" + struct.pack(">H", 7) + pool + struct.pack(">HHHHHH", 1, 5, 6, 0, 0, 0) + struct.pack(">HHIH", 1, 3, 2, 4)
+    got = readers.class_files(spark.createDataFrame([("a.class", raw), ("b", b"no")], "path string, content binary")).collect()
+    assert [tuple(r) for r in got] == [("a.class", "x/Main", "Main.java"), ("b", None, None)]
+
+
+def test_packages_as_records(spark):
+    from stemma.functions import text
+    from stemma.operators import closure, dag, packages
+
+    members = spark.createDataFrame([("p.rpm", "/usr/a", B), ("p.rpm", "/usr/b", C)], "archive string, path string, blob string")
+    record = packages.package_record(spark.createDataFrame([("p.rpm", A, "p 1")], "archive string, blob string, pkg_info string"), members)
+    assert {(r["out_blob"], r["in_blob"]) for r in dag.edges(record).collect()} == {(A, B), (A, C)}
+    assert merkle.identify(merkle.reembedded(dag.edges(record), spark.createDataFrame([("e" * 40, A)], "new_blob string, old_blob string"))).select("bom_id").distinct().count() == 1
+    entries = spark.createDataFrame([(f"blob {A}", "p", None), (f"blob {B}", None, "i"), (f"blob {C}", packages.NO_PROVIDER, None), ("file_path", "p", None)], "line string, prov_pkg string, imag_pkg string")
+    assert {r["pkg_key"] for r in packages.owned_image_files(entries, spark.createDataFrame([(A,), (B,), (C,)], "blob string")).collect()} == {"p", "i"}
+    closed = spark.createDataFrame([("r", A, 0)], "root string, blob string, depth int")
+    assert closure.attach_paths(closed, spark.createDataFrame([("/z", A), ("/y", A)], "path string, blob string")).first()["local_path"] == "/y"
+    row = spark.range(1).select(text.release_mirror(F.lit("bullseye")), text.release_mirror(F.lit("x")), text.is_regular_mode(F.lit(0o100644)), text.is_regular_mode(F.lit(0o120777))).first()
+    assert tuple(row) == ("http://ftp.debian.org/debian", "", True, False)
