@@ -271,9 +271,9 @@ def spdx_file_type(path: Column, head: Column) -> Column:
 #: Mirrors by distribution, and the distributions' releases.
 MIRRORS = {"ubuntu": "http://archive.ubuntu.com/ubuntu", "debian": "http://ftp.debian.org/debian", "debian-archive": "http://archive.debian.org/debian"}
 RELEASES = {
-    "ubuntu": ("trusty", "xenial", "bionic", "focal", "jammy", "kinetic", "lunar"),
-    "debian": ("buster", "bullseye", "bookworm", "trixie", "sid"),
-    "debian-archive": ("lenny", "squeeze", "wheezy", "jessie", "stretch"),
+    "ubuntu": ("trusty", "xenial", "bionic", "focal", "jammy", "kinetic", "lunar", "mantic"),
+    "debian": ("buster", "bullseye", "bookworm"),
+    "debian-archive": ("buzz", "rex", "bo", "hamm", "slink", "potato", "woody", "sarge", "etch", "lenny", "squeeze", "wheezy", "jessie", "stretch"),
 }
 
 
