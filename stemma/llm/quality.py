@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from stemma.plans.storage import broadcast_if_small, materialise
 
 #: Labelled rows to train on, words kept as features, the ridge penalty, posterior needed, groups that may be broadcast.
-SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 8000, 1200, 0.3, 0.5, 200_000
+SAMPLE, VOCABULARY, RIDGE, ACCEPT, SMALL = 6000, 900, 0.3, 0.5, 200_000
 #: A word is a feature if the sample has it in this many documents and it tells the labels apart by so many deviations.
 LEAST_DOCS, LEAST_Z = 8, 3.0
 #: Bytes of the beginnings of words.
@@ -68,31 +68,20 @@ def features(text: str | None) -> tuple[set[bytes], list[float]] | None:
     return {w.strip(_AROUND) for w in distinct} - {b""}, form
 
 
-def begun(own: set[bytes], size: int) -> set[bytes]:
-    """Beginnings of ``size`` bytes of longer words, told from words by the space behind them."""
-    return {w[:size] + b" " for w in own if len(w) > size}
-
-
-def terms(own: set[bytes]) -> set[bytes]:
-    return own.union(*(begun(own, k) for k in BEGINNINGS))
+def terms(own: list[bytes]) -> set[bytes]:
+    """Words, and beginnings of longer words, told from words by the space behind them."""
+    return {*own, *(w[:k] + b" " for k in BEGINNINGS for w in own if len(w) > k)}
 
 
 class Model:
-    """A logistic model: weights of words and of standardised shape features."""
+    """A logistic model: weights of terms and of standardised shape features."""
 
     def __init__(self, vocabulary: dict[bytes, float], centre, scale, weights, bias: float):
-        self.vocabulary, self.words = vocabulary, {w for w in vocabulary if w[-1:] != b" "}
-        self.begun = {k: {w for w in vocabulary if w[-1:] == b" " and len(w) == k + 1} for k in BEGINNINGS}
-        self.centre, self.scale, self.weights, self.bias = centre, scale, weights, bias
+        self.vocabulary, self.centre, self.scale, self.weights, self.bias = vocabulary, centre, scale, weights, bias
 
-    def log_odds(self, own: set[bytes], form: list[float]) -> float:
+    def log_odds(self, found: list[bytes], form: list[float]) -> float:
         z = np.clip((np.array(form) - self.centre) / self.scale, -6, 6)
-        found = self.words & own
-        for k, wanted in self.begun.items():
-            if wanted:
-                found |= wanted & begun(own, k)
-        # In a fixed order, so that equal texts have equal evidence wherever they are scored.
-        return self.bias + float(z @ self.weights) + sum(map(self.vocabulary.__getitem__, sorted(found)))
+        return self.bias + float(z @ self.weights) + sum(self.vocabulary.get(t, 0.0) for t in found)
 
 
 class Judge:
@@ -100,16 +89,25 @@ class Judge:
 
     def __init__(self, models: list[Model], prior: float):
         self.models, self.prior = models, prior
+        known = set().union(*(m.vocabulary for m in models))
+        self.words, self.begun = {t for t in known if t[-1:] != b" "}, {t[:-1] for t in known if t[-1:] == b" "}
+        self.least = {t[: BEGINNINGS[0]] for t in self.begun}
 
     def evidence(self, text: str | None) -> float:
         made = features(text)
         if made is None or not self.models:
             return 0.0
-        return float(np.clip(min(m.log_odds(*made) for m in self.models) - self.prior, -30, 30))
+        own, form = made
+        found = self.words & own
+        for w in [w for w in own if w[: BEGINNINGS[0]] in self.least]:
+            found.update(w[:k] + b" " for k in BEGINNINGS if len(w) > k and w[:k] in self.begun)
+        # In a fixed order, so that equal texts have equal evidence wherever they are scored.
+        ordered = sorted(found)
+        return float(np.clip(min(m.log_odds(ordered, form) for m in self.models) - self.prior, -30, 30))
 
 
-def judge(rows: list[tuple[set[bytes], list[float], bool, bool]]) -> Judge | None:
-    """Train on (words, shape, quality, clean); None unless some rows are good in both and some are not."""
+def judge(rows: list[tuple[bytes, list[float], bool, bool]]) -> Judge | None:
+    """Train on (words joined by spaces, shape, quality, clean); None unless some rows are good in both and some are not."""
     n_good = sum(q and c for *_, q, c in rows)
     if n_good in (0, len(rows)):
         return None
@@ -117,38 +115,43 @@ def judge(rows: list[tuple[set[bytes], list[float], bool, bool]]) -> Judge | Non
     return Judge([m for m in models if m], float(np.log(n_good / (len(rows) - n_good))))
 
 
-def fit(rows: list[tuple[set[bytes], list[float], bool]]) -> Model | None:
-    """Train on (words, shape, good); None unless both kinds are there."""
+def fit(rows: list[tuple[bytes, list[float], bool]]) -> Model | None:
+    """Train on (words joined by spaces, shape, good); None unless both kinds are there."""
     good = np.array([r[2] for r in rows], bool)
     if good.all() or not good.any():
         return None
-    counts: dict[bytes, list[int]] = {}
-    for own, _, is_good in rows:
-        for w in terms(own):
-            counts.setdefault(w, [0, 0])[is_good] += 1
+    # Both counts of a term in one number: good rows in units of 2 ** 32.
+    counts: dict[bytes, int] = {}
+    for joined, _, is_good in rows:
+        one = 1 << 32 if is_good else 1
+        for t in terms(joined.split(b" ")):
+            counts[t] = counts.get(t, 0) + one
     n_bad, n_good = int((~good).sum()), int(good.sum())
     told = []
-    for w, (bad, fine) in counts.items():
+    for w, both in counts.items():
+        bad, fine = both & 0xFFFFFFFF, both >> 32
         if bad + fine >= LEAST_DOCS:
             p = (bad + fine) / (n_bad + n_good)
             z = (bad / n_bad - fine / n_good) / (p * (1 - p) * (1 / n_bad + 1 / n_good) + 1e-12) ** 0.5
             if abs(z) >= LEAST_Z:
                 told.append((-abs(z), w))
+    counts.clear()
     chosen = [w for _, w in sorted(told)[:VOCABULARY]]
     place = {w: k for k, w in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    for k, (own, _, _) in enumerate(rows):
-        x[k, [place[w] for w in place.keys() & terms(own)]] = 1
+    for k, (joined, _, _) in enumerate(rows):
+        x[k, [place[w] for w in place.keys() & terms(joined.split(b" "))]] = 1
     form = np.array([r[1] for r in rows])
     centre, scale = form.mean(axis=0), form.std(axis=0) + 1e-3
-    x = np.concatenate([x, np.clip((form - centre) / scale, -6, 6), np.ones((len(rows), 1))], axis=1)
+    x = np.concatenate([x, np.clip((form - centre) / scale, -6, 6).astype(np.float32), np.ones((len(rows), 1), np.float32)], axis=1)
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(25):  # Newton's method on the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - good) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(np.float64), -30, 30)))
+        gradient = (x.T @ (p - good).astype(np.float32)).astype(np.float64) + penalty * w
+        curved = x * (p * (1 - p) + 1e-6).astype(np.float32)[:, None]
+        step = np.linalg.solve((curved.T @ x).astype(np.float64) + np.diag(penalty), gradient)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -174,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     joined = docs.select(F.col(id_col).alias("__q_id"), F.col(text_col).alias("text")).join(picked, "__q_id").select("text", "q", "c", F.col("__q_id").cast("long").alias("id"))
     seen = joined.mapInArrow(made, "words binary, shape array<double>, q boolean, c boolean, id long").orderBy("id", "words").toArrow().to_pylist()
-    return judge([(set(r["words"].split(b" ")), r["shape"], r["q"], r["c"]) for r in seen])
+    return judge([(r["words"], r["shape"], r["q"], r["c"]) for r in seen])
 
 
 def _with_evidence(df: DataFrame, model: Judge, text_col: str) -> DataFrame:
