@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import ident, text
 from stemma.operators import closure, cvedb, dag, matching, merkle, packages, processes, spdx
-from stemma.plans.storage import read_table
+from stemma.plans.storage import materialise, read_table
 from stemma.sources import commands, rawlog, readers, schemas, sinks
 from stemma.streaming import pipelines
 
@@ -745,7 +745,8 @@ def rawlog_round_trip(spark, sf_dir):
         F.lit(1).cast("long").alias("seq"), blank("pid"), blank("exec_mode"), "out_blob", F.concat(F.lit("/out/"), "out_blob").alias("out_path"), F.lit("make").alias("build_cmd"),
         blank("build_tool"), blank("pkg_info"), blank("prune"), F.lit(False).alias("ignore"), "infiles", F.array().cast(f"array<{schemas.DYNLIB}>").alias("dynlibs"),
     )
-    again = rawlog.parse_stanzas(records.select(F.col("seq"), F.regexp_replace(rawlog.stanza_text(), rawlog.END + ".*", "").alias("value")))
+    # Parsed records are a table, which every later step reads; else each would parse again.
+    again = materialise(rawlog.parse_stanzas(records.select(F.col("seq"), F.regexp_replace(rawlog.stanza_text(), rawlog.END + ".*", "").alias("value"))), "records")
     return dag.edges(again).groupBy("out_blob").agg(F.concat(F.lit("b "), F.count(F.lit(1)).cast("string")).alias("n_inputs"))
 
 

@@ -44,10 +44,18 @@ def _lines(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: What may follow a path on its line.
+_AFTER_PATH = r" (?:has_cve:|fixed_cve:|bomid: |prov_pkg: ).*$"
+
+
 def _file(line: Column, strict: bool) -> tuple[Column, Column]:
     """Identifier and path of ``key: <id> path: <path>``; the identifier may be missing."""
-    path = r" path: (\S+)" if strict else r" path: (.*?)(?= (?:has_cve:|fixed_cve:|bomid: |prov_pkg: )|$)"
-    return F.nullif(F.regexp_extract(line, r"^[a-z]+: ([0-9a-f]+) path: ", 1), F.lit("")), F.nullif(F.regexp_extract(line, rf"^[a-z]+:(?: [0-9a-f]+)?{path}", 1), F.lit(""))
+    plain = F.regexp_replace(line, _AFTER_PATH, "")
+    at = F.instr(plain, " path: ")
+    path = F.when(at > 0, F.substring(plain, at + 7, F.length(plain)))
+    head = F.split(F.substring(plain, F.lit(1), at - 1), " ")
+    blob = F.when((at > 0) & (F.size(head) == 2), head[1])
+    return F.nullif(blob, F.lit("")), F.nullif(F.split(path, " ")[0] if strict else path, F.lit(""))
 
 
 def _list(line: Column, key: str) -> Column:
