@@ -10,25 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.plans.storage import discard, materialise
+from stemma.plans.storage import compacted, discard, materialise, union_all
 
 
 def closure(edge: DataFrame, roots: DataFrame, *, include_roots: bool = True) -> DataFrame:
     """(root, blob, depth): everything under each root of ``roots(root)`` with its least depth."""
     links = edge.select(F.col("out_blob").alias("blob"), F.col("in_blob").alias("child")).distinct()
-    frontier = materialise(roots.select("root").distinct().select("root", F.col("root").alias("blob"), F.lit(0).alias("depth")), "frontier")
+    start = roots.select("root").distinct().select("root", F.col("root").alias("blob"), F.lit(0).alias("depth"))
+    frontier = materialise(start, "frontier")
     found = [frontier]
     while not frontier.isEmpty():
-        seen = found[0].select("root", "blob")
-        for part in found[1:]:
-            seen = seen.unionByName(part.select("root", "blob"))
+        seen = union_all([part.select("root", "blob") for part in found])
         step = frontier.join(links, "blob").select("root", F.col("child").alias("blob"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = materialise(step.join(seen, ["root", "blob"], "left_anti"), "frontier")
-        found.append(frontier)
-    out = found[0] if include_roots else found[0].limit(0)
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        # The frontier stays a table of its own while the next round reads it.
+        found = [*compacted(found), frontier]
+    out = union_all(found)
+    return out if include_roots else out.filter("depth > 0")
 
 
 def leaves(closed: DataFrame, edge: DataFrame) -> DataFrame:
@@ -68,13 +66,12 @@ def command_chains(edge: DataFrame, node: DataFrame) -> DataFrame:
     cmd = node.select("blob", "build_cmd")
     frontier = materialise(single.select(F.col("blob").alias("start"), "blob", F.lit(0).alias("depth")), "chain")
     parts = [frontier]
-    while not frontier.isEmpty() and len(parts) < 10_000:
+    while not frontier.isEmpty():
         step = frontier.join(single, "blob").select("start", F.col("child").alias("blob"), (F.col("depth") + 1).alias("depth"))
-        frontier = materialise(step.filter("blob <> start"), "chain")
-        parts.append(frontier)
-    walked = parts[0]
-    for part in parts[1:]:
-        walked = walked.unionByName(part)
+        seen = union_all([part.select("start", "blob") for part in parts])
+        frontier = materialise(step.join(seen, ["start", "blob"], "left_anti"), "chain")
+        parts = [*compacted(parts), frontier]
+    walked = union_all(parts)
     with_cmd = walked.join(cmd, "blob").filter("build_cmd IS NOT NULL")
     return with_cmd.groupBy(F.col("start").alias("blob")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "build_cmd"))), lambda x: x["build_cmd"]).alias("commands"))
 

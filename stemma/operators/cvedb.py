@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import ident, text
-from stemma.plans.storage import materialise
+from stemma.plans.storage import compacted, materialise, union_all
 
 #: Statuses and the names of their lists in exported files.
 STATUS_LISTS = {"no": "NoCVElist", "cve": "CVElist", "fixed": "FixedCVElist", "hint_cve": "cvehint_CVElist", "hint_fixed": "cvehint_FixedCVElist"}
@@ -132,16 +132,11 @@ def ancestry(commit_parent: DataFrame, starts: DataFrame) -> DataFrame:
     frontier = materialise(starts.select(F.col("commit").alias("descendant"), F.col("commit").alias("ancestor")).distinct(), "ancestry")
     parts = [frontier]
     while not frontier.isEmpty():
-        seen = parts[0]
-        for part in parts[1:]:
-            seen = seen.unionByName(part)
+        seen = union_all(parts)
         step = frontier.join(links, "ancestor").select("descendant", F.col("parent").alias("ancestor")).filter("ancestor IS NOT NULL").distinct()
         frontier = materialise(step.join(seen, ["descendant", "ancestor"], "left_anti"), "ancestry")
-        parts.append(frontier)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts = [*compacted(parts), frontier]
+    return union_all(parts)
 
 
 def fixing_pairs(cve_commit: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions import ident
-from stemma.plans.storage import discard, materialise
+from stemma.plans.storage import compacted, discard, materialise, union_all
 
 
 def identify(
@@ -59,12 +59,11 @@ def identify(
         following = materialise(rest.select("out_blob", "in_blob", "inner", "bare", F.coalesce("bom", "new").alias("bom")), "open")
         discard(open_links)
         open_links = following
+        done = compacted(done)
         if open_links.isEmpty():
             break
     out = open_links.select(F.col("out_blob").alias("blob"), F.lit(None).cast("string").alias("bom_id"), F.lit(None).cast("string").alias("doc"), F.lit(True).alias("cycle")).distinct()
-    for level in done:
-        out = out.unionByName(level.withColumn("cycle", F.lit(False)))
-    return out
+    return union_all([out, *(level.withColumn("cycle", F.lit(False)) for level in done)])
 
 
 def identify_in_log_order(edge: DataFrame, pruned: DataFrame | None = None, *, alg: str = "sha1", **options) -> DataFrame:
@@ -114,10 +113,8 @@ def _identify_versions(versions: DataFrame, pruned: DataFrame | None, *, alg: st
         following = materialise(rest.withColumn("bom", F.coalesce("bom", "new")).drop("new").select(*open_rows.columns), "versions")
         discard(open_rows)
         open_rows = following
-    out = None
-    for level in done:
-        out = level if out is None else out.unionByName(level)
-    return out if out is not None else open_rows.select(F.col("out_blob").alias("blob"), "seq", F.col("bom").alias("bom_id"), F.col("bom").alias("doc"))
+        done = compacted(done)
+    return union_all(done) if done else open_rows.select(F.col("out_blob").alias("blob"), "seq", F.col("bom").alias("bom_id"), F.col("bom").alias("doc"))
 
 
 def bom_lines(docs: DataFrame) -> DataFrame:

@@ -50,6 +50,23 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def compacted(parts: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """The tables that a loop has gathered, as one once there are more than ``most``: plans stay short in deep graphs."""
+    if len(parts) <= most:
+        return parts
+    one = materialise(union_all(parts), "compacted")
+    for part in parts:
+        discard(part)
+    return [one]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when a counted, materialised table has at most ``max_rows`` rows.
 

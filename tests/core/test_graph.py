@@ -202,3 +202,16 @@ def test_as_of_and_pairs(spark):
     assert {r["name"]: r["val"] for r in dag.latest_before(left, right, ["key"], "at", "val", "val").collect()} == {"x": "v4", "y": None, "z": None}
     events = spark.createDataFrame([("k", n, t) for n, t in enumerate(["a", "a", "b", "b", "a", "c", "b"])], "key string, at long, kind string")
     assert {(r["before_order"], r["after_order"]) for r in dag.paired_once(events, ["key"], "at", "kind", "a", "b").collect()} == {(1, 2), (4, 6)}
+
+
+def test_deep_graphs(spark, monkeypatch):
+    from stemma.plans import storage
+
+    monkeypatch.setattr(storage.compacted, "__defaults__", (2,))
+    chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(12)] + [(f"n{k:02}", f"leaf{k}") for k in range(12)]
+    closed = closure.closure(links(spark, chain), spark.createDataFrame([("n00",)], "root string"))
+    assert {r["blob"]: r["depth"] for r in closed.collect()} == {f"n{k:02}": k for k in range(13)} | {f"leaf{k}": k + 1 for k in range(12)}
+    assert ids(spark, chain) == by_recursion(chain)
+    single = spark.createDataFrame([(f"n{k:02}", f"c{k}") for k in range(12)], "blob string, build_cmd string")
+    got = {r["blob"]: r["commands"] for r in closure.command_chains(links(spark, chain[:12]), single).collect()}
+    assert got["n00"] == [f"c{k}" for k in range(12)] and got["n11"] == ["c11"]
