@@ -41,6 +41,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(parts, tag: str) -> DataFrame | None:
+    """What a sequence of DataFrames of one schema gives, worked off one after another into one table; None if there are none."""
+    path = read = None
+    for part in parts:
+        if path is None:
+            path = f"{shared_dir(part.sparkSession)}/stemma-{tag}-{uuid.uuid4().hex}"
+            read = part.sparkSession.read.schema(part.schema)
+        part.write.mode("append").parquet(path)
+    return None if path is None else read.parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
