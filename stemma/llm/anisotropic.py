@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.plans.storage import materialise
+from stemma.plans.storage import gathered, materialise
 
 #: Dimensions of a subspace, codewords, training rows, training rounds and the weight of parallel residuals.
 SUB, WORDS, SAMPLE, ROUNDS, ETA = 2, 16, 8192, 6, 4.0
@@ -199,14 +199,16 @@ def search(index: Index, queries: DataFrame, k: int = 20, *, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = valid_vectors(queries, id_col=id_col, vector_col=vector_col).filter(F.size("embedding") == index.dim)
     asked = materialise(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
-    found, rounds = None, -(-asked.count() // per_round)
-    for n in range(rounds):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == n).orderBy("vec_id").toArrow()
-        if part.num_rows:
-            vectors = np.asarray(part.column("embedding").combine_chunks().flatten().to_numpy()).reshape(-1, index.dim)
-            scan = _nearest(index, part.column("vec_id").to_numpy(), vectors, k, keep)
-            best = index.rows.mapInArrow(scan, schema)
-            found = best if found is None else found.unionByName(best)
+    rounds = -(-asked.count() // per_round)
+
+    def scans():
+        for n in range(rounds):
+            part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == n).orderBy("vec_id").toArrow()
+            if part.num_rows:
+                vectors = np.asarray(part.column("embedding").combine_chunks().flatten().to_numpy()).reshape(-1, index.dim)
+                yield index.rows.mapInArrow(_nearest(index, part.column("vec_id").to_numpy(), vectors, k, keep), schema)
+
+    found = gathered(scans(), "nearest")
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
