@@ -8,8 +8,11 @@ file statistics for the plans that read it back.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if found:
         return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", "stemma")
-    os.makedirs(own, exist_ok=True)
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    """A folder of this process, gone when it ends."""
+    top = os.path.join(tempfile.gettempdir(), "checkpoints")
+    os.makedirs(top, exist_ok=True)
+    own = tempfile.mkdtemp(prefix="stemma-", dir=top)
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
