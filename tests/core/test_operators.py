@@ -180,3 +180,26 @@ def test_stateful_pairs(spark, tmp_path):
         query = pipelines.pair_stream(events, "a", "b").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start()
         assert query.awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 1, 2), (1, 3, 4)]
+
+
+def test_overlays_of_logs_and_packages(spark):
+    from stemma.operators import dag
+
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, out_blob string")
+    got = dag.concatenated_logs([one, one, one.limit(0)]).collect()
+    assert sorted((r["seq"], r["out_blob"]) for r in got) == [(1, "a"), (2, "b"), (4, "a"), (5, "b")]
+    node = spark.createDataFrame([("x", ["p 1"]), ("y", [])], "blob string, pkg_infos array<string>")
+    edge = spark.createDataFrame([("x", "m"), ("y", "m"), ("y", "n")], "out_blob string, in_blob string")
+    assert {r["blob"]: r["pkgs"] for r in packages.packages_of_inputs(edge, node).collect()} == {"m": ["p 1"]}
+    told = dag.with_packages(spark.createDataFrame([("m",), ("k",)], "blob string"), spark.createDataFrame([("m", "p")], "blob string, prov_pkg string"))
+    assert {r["blob"]: r["prov_pkg"] for r in told.collect()} == {"m": "p", "k": None}
+    status = cvedb.statuses_of_blobs(spark.createDataFrame([("C2", "m", "b.c", 2), ("C1", "m", "a.c", 1)], "cve string, blob string, file_path string, ord int")).first()
+    assert (status["file_path"], status["cves"]) == ("a.c", ["C1", "C2"])
+    covered = spark.createDataFrame([("r", 4, 1, 25.0)], "root string, n_blobs long, n_found long, found_pct double")
+    assert sinks.coverage_report(covered).first()["line"] == "r: 1 of 4 blobs known (25.00%)"
+
+
+def test_subtree_files(spark, tmp_path):
+    closed = spark.createDataFrame([("r", "r", 0), ("r", "a", 1), ("r", "b", 2)], "root string, blob string, depth int")
+    sinks.write_subtrees(closed, spark.createDataFrame([("a", "{}")], "blob string, json string"), str(tmp_path / "parts"))
+    assert {(r["blob"], r["level"]) for r in spark.read.json(str(tmp_path / "parts")).collect()} == {("r", 0), ("a", 1), ("b", 1)}
