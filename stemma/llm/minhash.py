@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm.components import components
 from stemma.llm.words import gram_hashes, mix64, word_hashes, words
-from stemma.plans.storage import broadcast_if_small, materialise
+from stemma.plans.storage import broadcast_if_small, materialise, small_batches
 
 SHINGLE, PARTS, CHUNKS, MOST = 5, 96, 24, 47
 #: Cells of an odd sketch, and deviations by which it may exceed what a linked pair has on average.
@@ -316,6 +316,11 @@ def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, n_shingles, component_id, kept) for every row."""
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df, id_col, text_col)
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     rows = materialise(texts.mapInArrow(_signed, "row_id long, n_shingles long, cls binary, sig binary"), "signatures")
     members = rows.filter("row_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("row_id", "n_shingles", "sig")).alias("m"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm.mixing import word_count
 from stemma.llm.words import gram_hashes, word_hashes, words
-from stemma.plans.storage import materialise
+from stemma.plans.storage import materialise, small_batches
 
 #: Words of the shortest passage, of a suffix's head and of the grams that select positions.
 LEAST, HEAD, GRAM = 50, 17, 8
@@ -114,6 +114,11 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``first_id`` is the smallest id of a document that shares any of the span's stretches.
     """
+    with small_batches(df.sparkSession):
+        return _repeats(df, id_col, text_col)
+
+
+def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     suffixes = materialise(texts.mapInArrow(_suffixes, "head long, row_id long, pos int"), "suffixes")
     ranged = suffixes.repartitionByRange("head", "row_id", "pos").sortWithinPartitions("head", "row_id", "pos")

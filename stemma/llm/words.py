@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker keeps at a time.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class WordHashes(dict):
