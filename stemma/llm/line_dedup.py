@@ -77,7 +77,8 @@ def boilerplate(
 def dedup_lines(
     df: DataFrame, *, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, lg_k: int = LG_K
 ) -> DataFrame:
-    """``df`` with ``text_col`` cleaned, and the columns ``n_lines`` and ``removed_lines`` (both int)."""
+    """``df`` with ``text_col`` cleaned, and the columns ``n_lines`` and ``removed_lines`` (both int), in place of any of these names."""
+    df = df.drop("n_lines", "removed_lines")
     found = boilerplate(df, id_col=id_col, site_col=site_col, text_col=text_col, min_sites=min_sites, lg_k=lg_k)
     gone = (
         _lines(df, id_col, site_col, text_col)

@@ -127,7 +127,11 @@ def _mapped(df: DataFrame, fields: list[T.StructField], row):
 
 
 def count_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens`` and ``token_tree``, the leaves from which a tree is rebuilt without encoding."""
+    """``df`` with ``n_tokens`` and ``token_tree``, the leaves from which a tree is rebuilt without encoding.
+
+    Columns of these names are replaced.
+    """
+    df = df.drop("n_tokens", "token_tree")
 
     def row(values):
         tree = Tree.of(values[0] or "", encoder(tokenizer).encode)
@@ -141,8 +145,9 @@ def count_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text") -> Da
 def apply_edits(df: DataFrame, tokenizer: str, *, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """``df`` after its edits, an array of (start, delete, insert): text, ``token_tree`` and ``n_tokens`` are updated.
 
-    Adds ``reencoded_chars``, what had to be encoded again.
+    Adds ``reencoded_chars``, what had to be encoded again, in place of a column of that name.
     """
+    df = df.drop("reencoded_chars")
     others = [c for c in df.columns if c not in (text_col, "token_tree", "n_tokens")]
 
     def row(values):
