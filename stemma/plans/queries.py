@@ -632,13 +632,13 @@ _SIMILAR = """list_sum(list_transform(range(1, least(len({a}), len({b})) + 1), l
 
 
 @query(
-    f"""WITH p AS (SELECT page_id, url, string_split(url, '/') AS u FROM pages), k AS (SELECT *, u[4] AS base, list_reverse(u[1:len(u) - 1]) AS f FROM p WHERE len(u) > 3),
+    f"""WITH p AS (SELECT page_id, url, string_split(url, '/') AS u FROM pages), k AS (SELECT *, regexp_extract(url, '/([0-9]+)', 1) AS base, list_reverse(u[1:len(u) - 1]) AS f FROM p WHERE regexp_matches(url, '/[0-9]+')),
     s AS (SELECT a.url AS path, b.url AS match, b.page_id AS ord, coalesce({_SIMILAR.format(a='a.u', b='b.u')}, 0) + coalesce({_SIMILAR.format(a='a.f', b='b.f')}, 0) AS score FROM (SELECT DISTINCT url, u, f, base FROM k) a JOIN k b ON a.base = b.base AND a.url <> b.url),
     r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, ord) AS n FROM s WHERE score >= 3)
     SELECT path, match, CAST(score AS INTEGER) AS score FROM r WHERE n = 1"""
 )
 def path_similarity_top1(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.get(F.split("url", "/"), F.lit(3)).alias("base"), F.col("page_id").alias("ord")).filter("base IS NOT NULL")
+    pages = _t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_extract("url", "/([0-9]+)", 1).alias("base"), F.col("page_id").alias("ord")).filter("base <> ''")
     pairs = pages.select("path", "base").distinct()
     # A page is no match of itself.
     others = pages.select(F.col("path").alias("match"), "base", "ord")
