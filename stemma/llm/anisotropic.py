@@ -10,9 +10,10 @@ the loss's exact least-squares solution for each codeword.
 
 Every row is indexed.  A search walks over the codes in blocks: for a query,
 two neighbouring subspaces' tables add up to one table of 256 entries, and a
-vector's score is a sum of table entries.  The best ``keep`` of a block by these
-scores are scored again on the original vectors, in double precision, and only
-the nearest ``k`` of each block leave the task.
+vector's score is a sum of table entries.  The best ``keep`` distinct codes of a
+block by these scores are chosen, all their vectors are scored again in double
+precision, each distinct one once, and only the nearest ``k`` rows of each block
+leave the task: however many copies a vector has, it takes one place.
 
 Queries are searched in bounded rounds, so what each round sends to the tasks
 has a fixed size.
@@ -35,7 +36,7 @@ from stemma.plans.storage import gathered, materialise
 
 #: Dimensions of a subspace, codewords, training rows, training rounds and the weight of parallel residuals.
 SUB, WORDS, SAMPLE, ROUNDS, ETA = 2, 16, 8192, 6, 4.0
-#: Rows reranked in each block for each query, rows of a block, queries of a round.
+#: Distinct codes reranked in each block for each query, rows of a block, queries of a round.
 KEEP, BLOCK, ROUND = 200, 32_768, 4096
 
 
@@ -132,6 +133,26 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     return Index(materialise(sound.mapInArrow(coded, "vec_id long, embedding array<double>, codes binary"), "codes"), dim, books)
 
 
+def _groups(rows: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows; groups are numbered in the order of their first rows."""
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    return place[group.ravel()]
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each group begins in ordered group numbers, and their length."""
+    return np.searchsorted(ordered, np.arange(ordered[-1] + 2))
+
+
+def _members(starts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The places of all members of the chosen groups, one group after another."""
+    sizes = starts[chosen + 1] - starts[chosen]
+    return np.repeat(starts[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: int):
     """A scan over coded rows that yields each query's nearest ``k`` of every block."""
     dim, books = index.dim, index.books
@@ -148,8 +169,23 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
         def block(rows):
             found = pa.Table.from_batches(rows).combine_chunks().sort_by("vec_id")
             own = found.column("vec_id").to_numpy()
-            exact = np.asarray(found.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(own), dim)
+            # Zeros of either sign are one value.
+            exact = np.asarray(found.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(own), dim) + 0.0
             codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(own), parts)
+            # Equal vectors are one: its smallest ids are all that a search can take of it.
+            vector = _groups(exact)
+            order = np.lexsort((own, vector))
+            new = np.ones(len(own), bool)
+            new[1:] = (vector[order][1:] != vector[order][:-1]) | (own[order][1:] != own[order][:-1])
+            order = order[new]
+            starts = _starts(vector[order])
+            order = order[np.arange(len(order)) - starts[vector[order]] <= k]
+            ids_of, id_at = own[order], _starts(vector[order])
+            exact, codes = exact[order[id_at[:-1]]], codes[order[id_at[:-1]]]
+            # Vectors of equal codes have equal approximate scores: they are chosen together.
+            code = _groups(codes)
+            vectors_of, vector_at = np.argsort(code, kind="stable"), _starts(np.sort(code))
+            codes = codes[vectors_of[vector_at[:-1]]]
             if parts % 2:
                 codes = np.pad(codes, ((0, 0), (0, 1)))
             joint = (codes[:, 0::2] * 16 + codes[:, 1::2]).T.astype(np.intp)
@@ -158,21 +194,24 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
                 scores = pairs[q, 0].take(joint[0])
                 for s in range(1, len(joint)):
                     scores += pairs[q, s].take(joint[s])
-                scores[own == ids[q]] = -np.inf
-                if len(scores) > keep:
-                    least = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+                # One more than ``keep``, as the query's own code may be among them.
+                if len(scores) > keep + 1:
+                    least = np.partition(scores, len(scores) - keep - 1)[len(scores) - keep - 1]
                     above = np.flatnonzero(scores > least)
-                    chosen = np.concatenate([above, np.flatnonzero(scores == least)[: keep - len(above)]])
+                    chosen = np.concatenate([above, np.flatnonzero(scores == least)[: keep + 1 - len(above)]])
                 else:
                     chosen = np.arange(len(scores))
-                chosen = chosen[own[chosen] != ids[q]]
-                # Summed row by row, so equal vectors tie exactly.
+                chosen = vectors_of[_members(vector_at, chosen)]
+                # Summed once for each vector, so equal ones tie exactly.
                 real = (exact[chosen] * queries[q]).sum(axis=1)
-                order = np.lexsort((own[chosen], -real))
-                _, firsts = np.unique(own[chosen][order], return_index=True)
+                found_ids, real = ids_of[_members(id_at, chosen)], np.repeat(real, np.diff(id_at)[chosen])
+                others = found_ids != ids[q]
+                found_ids, real = found_ids[others], real[others]
+                order = np.lexsort((found_ids, -real))
+                _, firsts = np.unique(found_ids[order], return_index=True)
                 best = order[np.sort(firsts)][:k]
                 out[0].append(np.full(len(best), ids[q]))
-                out[1].append(own[chosen][best])
+                out[1].append(found_ids[best])
                 out[2].append(real[best])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
