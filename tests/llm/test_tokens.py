@@ -134,6 +134,36 @@ def test_radius_search_is_complete(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("radius", [0, 4, 8, 20])
+def test_radius_search_at_the_border(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(30)] + [0, (1 << 128) - 1]
+    pairs = {(f"{b:032x}", f"{b ^ sum(1 << k for k in rng.sample(range(128), d)):032x}", d) for b in base for d in {max(0, radius - 1), radius, radius + 1} for _ in range(4)}
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "fingerprint string")
+    got = simhash.radius_search(frame([p[0] for p in pairs]), frame([p[1] for p in pairs]), radius).collect()
+    assert sorted(tuple(r) for r in got) == sorted(p for p in pairs if p[2] <= radius)
+
+
+def test_search_finds_edited_texts(spark):
+    rng = random.Random(6)
+    pool = [f"w{k}" for k in range(3000)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, edited = [], {}
+    for i in range(60):
+        w = rng.choices(pool, k=rng.randint(80, 400))
+        e = list(w)
+        for _ in range(len(w) // 60):
+            e[rng.randrange(len(e))] = rng.choice(pool)
+        a, b = shingles(w), shingles(e)
+        assert len(a & b) / len(a | b) >= 0.75
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(e))]
+    marks = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprints(docs(spark, rows)).collect()}
+    frame = lambda odd: spark.createDataFrame([(f,) for i, f in marks.items() if i % 2 == odd], "fingerprint string")
+    got = {(r["query_fp"], r["found_fp"]) for r in simhash.radius_search(frame(0), frame(1)).collect()}
+    want = {(marks[2 * i], marks[2 * i + 1]) for i in range(60)}
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+
+
 def test_column_of_fingerprints(spark):
     got = simhash.fingerprints(docs(spark, [(1, "a b"), (2, None)])).collect()
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {1: simhash.fingerprint("a b").hex(), 2: "0" * 32}
