@@ -67,7 +67,7 @@ def parse_stanzas(stanzas: DataFrame, *, strict: bool = False) -> DataFrame:
     """Records from (seq, value); stanzas that name neither an output nor a process are left out."""
     lines = _lines(F.col("value"))
     rows = stanzas.select("seq", lines.alias("lines"))
-    one = lambda key: F.get(F.transform(F.filter("lines", lambda x: x.startswith(key)), lambda x: F.substring(x, len(key) + 1, 1 << 20)), F.lit(0))
+    one = lambda key: F.get(F.transform(F.filter("lines", lambda x: x.startswith(key)), lambda x: F.substring(x, F.lit(len(key) + 1), F.length(x))), F.lit(0))
     # Of several outputs, as logs without ends leave them behind, the last counts.
     outs = F.filter("lines", lambda x: x.startswith("outfile: "))
     out = F.get(outs, F.size(outs) - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import ident
 from stemma.operators import merkle
-from stemma.sources import commands, readers, sinks
+from stemma.sources import commands, rawlog, readers, sinks
 
 A, B, C = "a" * 40, "b" * 40, "c" * 40
 
@@ -207,3 +207,10 @@ def test_packages_as_records(spark):
     assert closure.attach_paths(closed, spark.createDataFrame([("/z", A), ("/y", A)], "path string, blob string")).first()["local_path"] == "/y"
     row = spark.range(1).select(text.release_mirror(F.lit("bullseye")), text.release_mirror(F.lit("x")), text.is_regular_mode(F.lit(0o100644)), text.is_regular_mode(F.lit(0o120777))).first()
     assert tuple(row) == ("http://ftp.debian.org/debian", "", True, False)
+
+
+def test_long_commands_of_raw_logs_stay_whole(spark):
+    command = "ld " + "a.o " * 300_000 + "-o app"
+    stanza = f"outfile: {'1' * 40} path: /b/app\nbuild_cmd: {command}\n"
+    got = rawlog.parse_stanzas(spark.createDataFrame([(1, stanza)], "seq long, value string")).first()
+    assert len(got["build_cmd"]) == len(command) and got["build_cmd"] == command
