@@ -4,42 +4,50 @@ Of each document only the suffixes at content-selected positions are kept: in
 every run of ``WINDOW`` positions the one whose 8-word gram hashes lowest, so
 equal passages select equal positions wherever they stand.  A passage of
 ``LEAST`` words has such a position early enough that ``HEAD`` words of it
-follow; suffixes are sorted by that head and neighbours are compared, and those
-that agree with a neighbour of another document are hits.  The sort is by
-ranges of (head, document, position), so a passage that stands everywhere is
-dealt over many tasks; what lies at a range's end counts as a hit.
+follow.  Suffixes are sorted by these words themselves, and neighbours are
+compared: those that agree in ``HEAD`` words with a neighbour of another
+document are hits.
 
-Each hit is then extended to the left and right: the stretches of ``LEAST``
-words that contain it are compared with those of other documents by one
-aggregation, and stretches that overlap merge into spans.  So a span is exactly
-a maximal run of words each of which lies in a stretch of ``LEAST`` words that
-another document also has.
+Each hit is then extended to the left and right: a match of ``LEAST`` words
+around it starts at one of the ``WINDOW`` places up to the hit.  The suffixes at
+these places are sorted in the same way, by a 128-bit digest of their first
+``LEAST`` words' bytes, and again neighbours are compared; places that follow
+each other merge into spans.  So a span is exactly a maximal run of words each
+of which lies in a stretch of ``LEAST`` words that another document also has.
 
-Texts that are equal form a class, and only the one with the smallest id is
-extended: it and its copies are one span each, from end to end.
+Both sorts deal rows by ranges of (key, document, position), so that a passage
+that stands everywhere is dealt over many tasks and nothing is joined by it.  A
+run of equal keys that a range's end cuts is told by one small table: each range
+has two such runs at most.
+
+Texts that are equal, by SHA-256, form a class, and only the one with the
+smallest id is extended: it and its copies are one span each, from end to end.
 
 Words are split at ASCII white space and compared as they are, but for A-Z in
 lower case.  Defined results: null and short texts have no spans; rows without
 an id take no part; rows that repeat an id are one document and are no
-repetition of each other; further columns are ignored, or kept by
+repetition of each other, and their spans name the text by ``text_tag``, which
+is 0 where an id has one text only; further columns are ignored, or kept by
 ``cut_repeats``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.mixing import word_count
 from stemma.llm.words import gram_hashes, word_hashes, words
-from stemma.plans.storage import materialise, small_batches
+from stemma.plans.storage import discard, materialise, small_batches
 
 #: Words of the shortest passage, of a suffix's head and of the grams that select positions.
-LEAST, HEAD, GRAM = 50, 17, 8
+LEAST, HEAD, GRAM = 50, 10, 8
 #: Positions of which one is selected: any passage of LEAST words then holds a selected head.
 WINDOW = LEAST - HEAD + 1
 #: Documents, and hits in all of them (four bytes each), that may be broadcast.
@@ -57,60 +65,132 @@ def positions(hashes: np.ndarray) -> np.ndarray:
     return found[found <= len(hashes) - HEAD]
 
 
+def runs_of(found: list[bytes], at: np.ndarray, size: int) -> list[bytes]:
+    """The words from each place on, ``size`` of them, joined by spaces."""
+    text, ends = b" ".join(found), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate([[0], ends])[at].tolist()
+    return [text[a:b] for a, b in zip(starts, (ends[at + size - 1] - 1).tolist(), strict=True)]
+
+
+def text_digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _tag(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True) or 1
+
+
 def _suffixes(batches):
+    """Heads of the selected suffixes; and for each text its digest, with the number of its words below zero."""
     for batch in batches:
-        keys, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, ids, places = [], [], []
         for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            hashes = word_hashes(words(text.as_py()))
-            at = positions(hashes)
-            if len(at):
-                keys.append(gram_hashes(hashes, HEAD)[at])
-                ids.append(np.full(len(at), row_id))
-                places.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["head", "row_id", "pos"])
-
-
-def _hits(batches):
-    """Suffixes of a run of equal heads that holds more than one document, or that a range's end cuts."""
-    names = ["head", "row_id", "pos"]
-    pending, open_head, first = None, None, True  # open_head: of a run that goes on and is a hit already
+            text = text.as_py()
+            found = words(text)
+            if len(found) < LEAST:
+                continue
+            at = positions(word_hashes(found))
+            keys += [*runs_of(found, at, HEAD), text_digest(text)]
+            ids += [row_id] * (len(at) + 1)
+            places += [*at.tolist(), -len(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["key", "row_id", "pos"])
+
+
+def _neighbours(batches):
+    """The rows of keys that stand in more than one document, from rows sorted by (key, row_id), with ``first_id``.
+
+    ``first_id`` is the key's smallest id and the key itself is dropped.  The
+    first run of a task's range may have begun in an earlier one, and the last
+    may go on in a later one: rows of the first, and those of the last if only
+    one document has them so far, keep their key and have no ``first_id``.  A
+    last run that is told stands for itself in two rows with place -1.
+    """
+    key = first = last = None
+    opening, told, held, out = True, False, [], []
+
+    def put(rows: pa.RecordBatch, firsts=None, names=None):
+        keys = rows.column(0) if firsts is None else pa.nulls(rows.num_rows, pa.binary())
+        ids = pa.nulls(rows.num_rows, pa.int64()) if firsts is None else pa.array(firsts, pa.int64())
+        out.append(pa.RecordBatch.from_arrays([keys, *rows.columns[1:], ids], [*rows.schema.names, "first_id"]))
+
+    def more(rows: pa.RecordBatch, ids: np.ndarray):
+        """Further rows of the run at hand."""
+        nonlocal first, last, told
+        first, last = ids[0] if first is None else first, ids[-1]
+        if opening:
+            put(rows)
+            return
+        held.append(rows)
+        if told := first != last:
+            for part in held:
+                put(part, np.full(part.num_rows, first))
+            held.clear()
+
+    end = None
     for batch in batches:
-        rows = [batch.column(k).to_numpy() for k in range(3)]
-        if not len(rows[0]):
+        if not batch.num_rows:
             continue
-        if pending is not None:
-            rows = [np.concatenate(pair) for pair in zip(pending, rows, strict=True)]
-        head, doc = rows[:2]
-        begins = np.concatenate([[True], head[1:] != head[:-1]])
+        keys, ids = batch.column(0), batch.column(1).to_numpy()
+        begins = np.ones(len(ids), bool)
+        begins[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+        begins[0] = key is None or keys[0].as_py() != key
         starts = np.flatnonzero(begins)
-        ends = np.concatenate([starts[1:], [len(head)]]) - 1
-        # Sorted by document inside a run, so its ends differ where it holds several.
-        several = doc[starts] != doc[ends]
-        several[0] |= first or head[0] == open_head
-        first = False
-        keep = several[np.cumsum(begins) - 1]
-        if several[-1]:
-            pending, open_head = None, head[-1]
-        else:
-            pending, open_head = [c[starts[-1] :] for c in rows], None
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names)
-    if pending is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pending], names)
-
-
-def _copies(texts: DataFrame) -> DataFrame:
+        goes_on = int(starts[0]) if len(starts) else len(ids)
+        if goes_on:
+            more(batch.slice(0, goes_on), ids[:goes_on])
+        if len(starts):
+            if key is not None:
+                opening = False
+            held.clear()
+            # Whole runs, but for the first of the range.
+            a = starts[0]
+            if key is None and len(starts) > 1:
+                put(batch.slice(a, starts[1] - a))
+                opening, a = False, starts[1]
+            z = starts[-1]
+            if z > a:
+                inner = starts[(starts >= a) & (starts < z)]
+                sizes = np.diff(np.append(inner, z))
+                shared = np.repeat(ids[inner] != ids[inner + sizes - 1], sizes)
+                if shared.any():
+                    put(batch.slice(a, z - a).filter(pa.array(shared)), np.repeat(ids[inner], sizes)[shared])
+            key, first, told = keys[int(z)].as_py(), None, False
+            more(batch.slice(z), ids[z:])
+        end = batch
+        if out:
+            yield from out
+            out.clear()
+    if held:
+        for part in held:
+            put(part)
+    elif told:
+        mark = [pa.array([key, key], pa.binary()), pa.array([first, last], pa.int64()), pa.array([-1, -1], pa.int32()), *(pa.array([0, 0], c.type) for c in end.columns[3:])]
+        put(pa.RecordBatch.from_arrays(mark, end.schema.names))
+    yield from out
+
+
+def in_several(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows (key, row_id, pos, ...) whose key stands in more than one document, with ``first_id`` in place of the key."""
+    fields = [f"{name} {kind}" for name, kind in rows.dtypes]
+    ranged = rows.repartitionByRange("key", "row_id", "pos").sortWithinPartitions("key", "row_id", "pos")
+    found = materialise(ranged.mapInArrow(_neighbours, ", ".join([*fields, "first_id bigint"])), tag)
+    cut = found.filter("key IS NOT NULL")
+    # Keys at the ends of ranges: two for each task of the sort at most.
+    ends = cut.groupBy("key").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").drop("last")
+    joined = cut.filter("pos >= 0").join(F.broadcast(ends), "key").withColumn("first_id", F.col("first"))
+    return found.filter("key IS NULL").drop("key").unionByName(joined.drop("key", "first"))
+
+
+def _copies(marks: DataFrame, several: DataFrame) -> DataFrame:
     """(row_id, rep, n_words) of texts that a smaller id has too; ids of several rows are left to the general way."""
-    marked = texts.filter(F.col("text").isNotNull()).select("row_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), word_count(F.col("text")).alias("n_words"))
-    marked = marked.filter(F.col("n_words") >= LEAST)
-    classes = marked.groupBy("t1", "t2").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).filter("rep <> last").drop("last")
-    several = texts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_id")
-    members = marked.join(classes, ["t1", "t2"]).filter("row_id <> rep").select("row_id", "rep", "n_words")
+    classes = marks.groupBy("digest").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).filter("rep <> last").drop("last")
+    members = marks.join(classes, "digest").filter("row_id <> rep").select("row_id", "rep", "n_words")
     alone = members.join(several, "row_id", "left_anti").join(several.withColumnRenamed("row_id", "rep"), "rep", "left_anti")
     return materialise(alone.select("row_id", "rep", "n_words"), "copies")
 
 
 def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, start_word, n_words, first_id): the spans that other documents repeat.
+    """(row_id, text_tag, start_word, n_words, first_id): the spans that other documents repeat.
 
     ``first_id`` is the smallest id of a document that shares any of the span's stretches.
     """
@@ -118,83 +198,113 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         return _repeats(df, id_col, text_col)
 
 
+def _stretches(batches):
+    """The digests of all places from which ``LEAST`` words reach over a hit."""
+    for batch in batches:
+        keys, ids, places, tags = [], [], [np.zeros(0, np.int64)], []
+        for row_id, text, hit, tagged in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            text = text.as_py()
+            found = words(text)
+            n = len(found) - LEAST + 1
+            if n <= 0:
+                continue
+            at = np.asarray(hit.values.to_numpy(), np.int64)
+            near = np.zeros(n + WINDOW, np.int64)
+            np.add.at(near, np.clip(at - WINDOW + 1, 0, len(near) - 1), 1)
+            np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
+            here = np.flatnonzero(np.cumsum(near)[:n] > 0)
+            keys += map(xxhash.xxh3_128_digest, runs_of(found, here, LEAST))
+            ids += [row_id] * len(here)
+            places.append(here)
+            tags += [_tag(text_digest(text)) if tagged else 0] * len(here)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(tags, pa.int64())], ["key", "row_id", "pos", "tag"])
+
+
 def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    suffixes = materialise(texts.mapInArrow(_suffixes, "head long, row_id long, pos int"), "suffixes")
-    ranged = suffixes.repartitionByRange("head", "row_id", "pos").sortWithinPartitions("head", "row_id", "pos")
-    hits = ranged.mapInArrow(_hits, "head long, row_id long, pos int")
-    copies = _copies(texts)
+    several = materialise(texts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_id"), "several")
+    suffixes = materialise(texts.mapInArrow(_suffixes, "key binary, row_id long, pos int"), "suffixes")
+    copies = _copies(suffixes.filter("pos < 0").select("row_id", F.col("key").alias("digest"), (-F.col("pos")).alias("n_words")), several)
+    hits = in_several(suffixes.filter("pos >= 0"), "heads")
     wanted = hits.groupBy("row_id").agg(F.collect_set("pos").alias("hits")).join(copies, "row_id", "left_anti")
-    wanted = materialise(wanted, "hits")
+    wanted = materialise(wanted.join(several.withColumn("tagged", F.lit(True)), "row_id", "left").select("row_id", "hits", F.col("tagged").isNotNull().alias("tagged")), "hits")
+    discard(suffixes)
     total = wanted.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("hits")).alias("hits")).first()
     small = total["docs"] <= SMALL and (total["hits"] or 0) <= SMALL_HITS
 
-    def stretches(batches):
-        for batch in batches:
-            keys, ids, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row_id, text, hit in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                hashes = word_hashes(words(text.as_py()))
-                grams = gram_hashes(hashes, LEAST)
-                if not len(grams):
-                    continue
-                at = np.asarray(hit.values.to_numpy(), np.int64)
-                near = np.zeros(len(grams) + WINDOW, np.int64)
-                np.add.at(near, np.clip(at - WINDOW + 1, 0, len(near) - 1), 1)
-                np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
-                here = np.flatnonzero(np.cumsum(near)[: len(grams)] > 0)
-                keys.append(grams[here])
-                ids.append(np.full(len(here), row_id))
-                starts.append(here)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32))], ["stretch", "row_id", "start"])
-
-    rows = materialise(texts.join(F.broadcast(wanted) if small else wanted, "row_id").mapInArrow(stretches, "stretch long, row_id long, start int"), "stretches")
-    shared = rows.groupBy("stretch").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id")).filter("first_id <> last_id").drop("last_id")
-    found = rows.join(shared, "stretch").select("row_id", "start", "first_id")
+    rows = texts.join(F.broadcast(wanted) if small else wanted, "row_id").mapInArrow(_stretches, "key binary, row_id long, pos int, tag long")
+    rows = materialise(rows, "stretches")
+    found = in_several(rows, "shared")
     # Stretches that overlap or touch make one span.
-    order = Window.partitionBy("row_id").orderBy("start")
-    opens = F.coalesce(F.col("start") - F.lag("start").over(order) > LEAST, F.lit(True))
+    order = Window.partitionBy("row_id", "tag").orderBy("pos")
+    opens = F.coalesce(F.col("pos") - F.lag("pos").over(order) > LEAST, F.lit(True))
     spans = found.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(order))
-    spans = spans.groupBy("row_id", "span").agg(
-        F.min("start").alias("start_word"), (F.max("start") - F.min("start") + LEAST).alias("n_words"), F.min("first_id").alias("first_id")
+    spans = spans.groupBy("row_id", F.col("tag").alias("text_tag"), "span").agg(
+        F.min("pos").alias("start_word"), (F.max("pos") - F.min("pos") + LEAST).alias("n_words"), F.min("first_id").alias("first_id")
     ).drop("span")
     spans = materialise(spans, "spans")
+    discard(rows)
     reps = copies.groupBy("rep").agg(F.max("n_words").alias("n_words"))
     firsts = spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi").groupBy(F.col("row_id").alias("rep")).agg(F.min("first_id").alias("first_id"))
     whole = reps.select("rep", F.col("rep").alias("row_id"), "n_words").unionByName(copies.select("rep", "row_id", "n_words")).join(firsts, "rep", "left")
-    whole = whole.select("row_id", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("n_words"), F.least("rep", "first_id").alias("first_id"))
+    whole = whole.select("row_id", F.lit(0).cast("long").alias("text_tag"), F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("n_words"), F.least("rep", "first_id").alias("first_id"))
     return spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_anti").unionByName(whole)
 
 
+def _bounds(raw: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(raw)]
+
+
+def _with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``df`` with its id's spans as an array of (text_tag, start_word, n_words, first_id), under a name that is free."""
+    key, name = "__span_id", "__spans"
+    while {key, name} & set(df.columns):
+        key, name = key + "_", name + "_"
+    own = spans.groupBy(F.col("row_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words", "first_id", "text_tag")).alias(name))
+    return df.join(own, F.col(id_col).cast("long") == F.col(key), "left"), key, name
+
+
+def _of_text(text: str, spans: list) -> list:
+    """The spans of an id that are this text's, in order."""
+    tags = {s["text_tag"] for s in spans}
+    own = _tag(text_digest(text)) if tags - {0} else 0
+    return sorted((s for s in spans if s["text_tag"] in (0, own)), key=lambda s: s["start_word"])
+
+
 def span_texts(df: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``spans`` with the text of each, as it stands in its document; ids must be unique."""
+    """``spans`` with the text of each, as it stands in its document; once for each row that has the text."""
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, start, n in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                found = [m.span() for m in _WORD.finditer(raw)][start : start + n]
-                out.append(raw[found[0][0] : found[-1][1]].decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(out, pa.string())], ["row_id", "start_word", "n_words", "first_id", "span_text"])
+            for row_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                raw, found = text.encode("utf-8", "surrogatepass"), None
+                for s in _of_text(text, own):
+                    found = found or _bounds(raw)
+                    piece = raw[found[s["start_word"]][0] : found[s["start_word"] + s["n_words"] - 1][1]]
+                    out.append((row_id, s["text_tag"], s["start_word"], s["n_words"], s["first_id"], piece.decode("utf-8", "surrogatepass")))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["row_id", "text_tag", "start_word", "n_words", "first_id", "span_text"])
 
-    joined = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).join(spans, "row_id")
-    return joined.select("row_id", "text", "start_word", "n_words", "first_id").mapInArrow(cut, "row_id long, start_word int, n_words int, first_id long, span_text string")
+    joined, _, name = _with_spans(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")), spans, "row_id", "text")
+    return joined.filter(F.col(name).isNotNull()).select("row_id", "text", name).mapInArrow(cut, "row_id long, text_tag long, start_word int, n_words int, first_id long, span_text string")
 
 
 def cut_repeats(df: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the spans that a document of smaller id has first; other rows stay as they are."""
-    own = spans.filter("first_id < row_id").groupBy(F.col("row_id").alias("__sx_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__sx_spans"))
-    joined = df.join(own, F.col(id_col) == F.col("__sx_id"), "left")
+    joined, _, name = _with_spans(df, spans.filter("first_id < row_id"), id_col, text_col)
 
     @F.udf("string", useArrow=True)
     def without(text, cuts):
         if text is None or not cuts:
             return text
-        raw = text.encode("utf-8", "surrogatepass")
-        found, out, at = [m.span() for m in _WORD.finditer(raw)], [], 0
-        for c in sorted(cuts, key=lambda c: c["start_word"]):
+        own, raw = _of_text(text, cuts), text.encode("utf-8", "surrogatepass")
+        found, out, at = _bounds(raw) if own else [], [], 0
+        for c in own:
             out.append(raw[at : found[c["start_word"]][0]])
             at = found[c["start_word"] + c["n_words"] - 1][1]
         return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
-    return joined.withColumn(text_col, without(F.col(text_col), F.col("__sx_spans"))).select(*df.columns)
+    return joined.withColumn(text_col, without(F.col(text_col), F.col(name))).select(*df.columns)

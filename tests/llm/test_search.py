@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,13 +104,13 @@ def passages_by_force(rows, least=50):
         for s in range(len(w) - least + 1):
             owners.setdefault(tuple(w[s : s + least]), set()).add(i)
     flagged = {}
-    for i, w in words:
+    for n, (i, w) in enumerate(words):
         for s in range(len(w) - least + 1):
             own = owners[tuple(w[s : s + least])]
             if len(own) > 1:
-                flagged.setdefault(i, {})[s] = min(own)
+                flagged.setdefault((n, i), {})[s] = min(own)
     out = []
-    for i, starts in flagged.items():
+    for (_, i), starts in flagged.items():
         run = []
         for s in sorted(starts):
             if run and s - run[-1] > least:
@@ -137,11 +138,57 @@ def test_passages_same_as_all_pairs(spark, seed):
     rows += [(4_000_000 + i, rows[10 + i % 3][1]) for i in range(9)] + [(5_000_000, " ".join(passages[4])), (-5, " ".join(passages[4])), (7_000_000, "few words"), (7_000_001, "few words")]
     rows += [(rows[11][0], "an id again")]
     got = suffixes.repeats(docs(spark, rows))
-    assert got.columns == ["row_id", "start_word", "n_words", "first_id"]
-    want = passages_by_force(rows)
-    many = {rows[7][0], rows[11][0]}  # an id of two texts: its spans are those of both, merged
-    assert sorted(tuple(r) for r in got.collect() if r["row_id"] not in many) == [w for w in want if w[0] not in many]
-    assert any(w[0] in many for w in want) == (got.filter(F.col("row_id").isin(list(many))).count() > 0)
+    assert got.columns == ["row_id", "text_tag", "start_word", "n_words", "first_id"]
+    # An id of two texts has the spans of each, told apart by a tag.
+    found = got.collect()
+    assert sorted({(r["row_id"], r["start_word"], r["n_words"], r["first_id"]) for r in found}) == sorted(set(passages_by_force(rows)))
+    many = {rows[5][0], rows[7][0], rows[11][0]}
+    assert all((r["text_tag"] != 0) == (r["row_id"] in many) for r in found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_neighbours_across_ranges(seed):
+    """Sorted rows cut into ranges and batches anywhere: runs that the cuts part are put together again."""
+    rng = random.Random(seed)
+    rows = sorted((bytes([rng.randrange(rng.choice([2, 12]))]), rng.randrange(rng.choice([1, 3, 40])), rng.randrange(50), 7) for _ in range(rng.choice([0, 1, 60, 400])))
+    owners = {}
+    for key, row_id, *_ in rows:
+        owners.setdefault(key, set()).add(row_id)
+    want = sorted((i, pos, min(owners[key])) for key, i, pos, _ in rows if len(owners[key]) > 1)
+    cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(9)))
+    found = []
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        inner = sorted({a, b, *(rng.randint(a, b) for _ in range(rng.randrange(4)))})
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "row_id", "pos", "tag"), r)) for r in rows[x:y]], pa.schema([("key", pa.binary()), ("row_id", pa.int64()), ("pos", pa.int32()), ("tag", pa.int64())])) for x, y in zip(inner, inner[1:])]
+        found += [r for out in suffixes._neighbours(iter(batches)) for r in out.to_pylist()]
+    cut = {}
+    for r in found:
+        if r["key"] is not None:
+            cut.setdefault(r["key"], set()).add(r["row_id"])
+    got = [(r["row_id"], r["pos"], r["first_id"]) for r in found if r["key"] is None]
+    got += [(r["row_id"], r["pos"], min(cut[r["key"]])) for r in found if r["key"] is not None and r["pos"] >= 0 and len(cut[r["key"]]) > 1]
+    assert sorted(got) == want
+
+
+def test_colliding_word_hashes_change_no_match(monkeypatch):
+    """Word hashes select positions only; heads and stretches are compared by their words."""
+    rng = random.Random(3)
+    found = [f"w{rng.randrange(60)}".encode() for _ in range(400)]
+    monkeypatch.setattr(suffixes, "word_hashes", lambda w: np.fromiter((len(x) for x in w), np.uint64, len(w)))
+    at = suffixes.positions(suffixes.word_hashes(found))
+    assert all(any(s <= p <= s + suffixes.LEAST - suffixes.HEAD for p in at) for s in range(len(found) - suffixes.LEAST + 1))
+    heads = suffixes.runs_of(found, at, suffixes.HEAD)
+    assert heads == [b" ".join(found[p : p + suffixes.HEAD]) for p in at]
+
+
+def test_spans_of_ids_with_several_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"one {passage}"), (2, "short"), (2, f"{passage} two"), (2, f"a b c {passage}"), (2, None)]
+    df = docs(spark, rows)
+    spans = suffixes.repeats(df)
+    out = suffixes.cut_repeats(df, spans).collect()
+    assert sorted(str(r["text"]) for r in out) == sorted(["None", f"one {passage}", "short", " two", "a b c "])
+    assert sorted((r["row_id"], r["start_word"]) for r in suffixes.span_texts(df, spans).collect()) == [(1, 1), (2, 0), (2, 3)]
 
 
 def test_spans_are_cut_but_for_the_first(spark):
