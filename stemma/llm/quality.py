@@ -20,6 +20,10 @@ or none, there is no evidence and everything is accepted; a text that is null
 or has no words has evidence 0; a null host or path is a group of its own;
 repeated rows are scored alike; columns of the names that are added are
 replaced; an empty table gives no rows.
+
+Every text is scored once: rows with their evidence are a table, from which the
+groups are summed up and the verdicts are made.  ``url_sites`` gives host and
+path columns for tables that have addresses.
 """
 
 from __future__ import annotations
@@ -211,20 +215,33 @@ def _strength(groups: DataFrame, above: str) -> float:
     return STRENGTH[1] if between <= 0 else float(min(max(within / between - 1, STRENGTH[0]), STRENGTH[1]))
 
 
-def site_rates(scored: DataFrame, host_col: str, path_cols: tuple[str, ...]) -> DataFrame:
-    """(__q_path, n, good, host_rate, strength) for each path, shrunk through its host, from (host, path, evidence)."""
+def site_rates(scored: DataFrame, host: str, path: str) -> DataFrame:
+    """(path, n, good, host_rate, strength) for each path, shrunk through its host, from (host, path, evidence).
+
+    A path's key must name its host as well.
+    """
     p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(0.0))))
-    paths = materialise(
-        scored.groupBy(_key(host_col).alias("__q_host"), _key(host_col, *path_cols).alias("__q_path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good")), "paths"
-    )
-    hosts = materialise(paths.groupBy("__q_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
+    paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good"))
+    paths = materialise(paths, "paths")
+    hosts = materialise(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = (total["good"] + 1) / (total["n"] + 2) if total["n"] else 0.5
     hosts = hosts.withColumn("above", F.lit(float(rate)))
     k = _strength(hosts, "above")
-    hosts = hosts.select("__q_host", ((F.col("good") + k * F.col("above")) / (F.col("n") + k)).alias("host_rate"))
-    paths = paths.join(hosts, "__q_host")
-    return materialise(paths.withColumn("strength", F.lit(_strength(paths, "host_rate"))).select("__q_path", "n", "good", "host_rate", "strength"), "sites")
+    hosts = hosts.select("host", ((F.col("good") + k * F.col("above")) / (F.col("n") + k)).alias("host_rate"))
+    paths = paths.join(hosts, "host")
+    return materialise(paths.withColumn("strength", F.lit(_strength(paths, "host_rate"))).select("path", "n", "good", "host_rate", "strength"), "sites")
+
+
+def url_sites(df: DataFrame, url_col: str, host: str = "host", path: str = "path") -> DataFrame:
+    """``df`` with the host of its addresses, in lower case without ``www.``, and the first part of their paths.
+
+    What is no address has neither; an address without a path has an empty one.
+    """
+    pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?(?:/([^/?#]*))?"
+    is_url = F.col(url_col).rlike(pattern)
+    name = F.regexp_replace(F.lower(F.regexp_extract(url_col, pattern, 1)), r"^www\.", "")
+    return df.withColumns({host: F.when(is_url, name), path: F.when(is_url, F.regexp_extract(url_col, pattern, 2))})
 
 
 def classify(
@@ -237,17 +254,32 @@ def classify(
     path_cols: tuple[str, ...] = ("lang",),
     accept: float = ACCEPT,
     sample: int = SAMPLE,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with ``evidence``, ``site_rate`` (its path's posterior without it), ``posterior`` and ``accepted``."""
-    plain = df.drop("evidence", "site_rate", "posterior", "accepted")
+    """``df`` with ``evidence``, ``site_rate`` (its path's posterior without it), ``posterior`` and ``accepted``.
+
+    With ``keep``, only these columns of ``df`` are carried and returned.
+    """
+    added = ("evidence", "site_rate", "posterior", "accepted")
+    plain = df.drop(*added)
+    kept = [c for c in plain.columns if keep is None or c in keep]
     model = train(plain, labels, id_col=id_col, text_col=text_col, sample=sample)
     if model is None:
-        return plain.withColumns({"evidence": F.lit(0.0), "site_rate": F.lit(0.5), "posterior": F.lit(0.5), "accepted": F.lit(True)})
-    narrow = _with_evidence(plain.select(*dict.fromkeys([host_col, *path_cols, text_col])), model, text_col)
-    sites = broadcast_if_small(site_rates(narrow, host_col, path_cols), SMALL)
-    scored = _with_evidence(plain, model, text_col).withColumn("__q_path", _key(host_col, *path_cols)).join(sites.select("__q_path", F.struct("n", "good", "host_rate", "strength").alias("__q_site")), "__q_path")
-    site, own = F.col("__q_site"), 1 / (1 + F.exp(-F.col("evidence")))
+        return plain.select(*kept).withColumns({"evidence": F.lit(0.0), "site_rate": F.lit(0.5), "posterior": F.lit(0.5), "accepted": F.lit(True)})
+    host, path, known = (_free(n, plain.columns) for n in ("__host", "__path", "__site"))
+    keyed = plain.withColumns({host: _key(host_col), path: _key(host_col, *path_cols)})
+    scored = _with_evidence(keyed.select(*dict.fromkeys([*kept, text_col, host, path])), model, text_col)
+    scored = materialise(scored.select(*kept, host, path, "evidence"), "scored")
+    sites = broadcast_if_small(site_rates(scored, host, path), SMALL)
+    joined = scored.join(sites.select(F.col("path").alias(path), F.struct("n", "good", "host_rate", "strength").alias(known)), path)
+    site, own = F.col(known), 1 / (1 + F.exp(-F.col("evidence")))
     rate = (F.greatest(site["good"] - own, F.lit(0.0)) + site["strength"] * site["host_rate"]) / (site["n"] - 1 + site["strength"])
-    rated = scored.withColumn("site_rate", F.least(F.greatest(rate, F.lit(0.001)), F.lit(0.999)))
+    rated = joined.withColumn("site_rate", F.least(F.greatest(rate, F.lit(0.001)), F.lit(0.999)))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("site_rate")))))
-    return rated.withColumn("posterior", posterior).withColumn("accepted", F.col("posterior") >= accept).select(*plain.columns, "evidence", "site_rate", "posterior", "accepted")
+    return rated.withColumn("posterior", posterior).withColumn("accepted", F.col("posterior") >= accept).select(*kept, *added)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name

@@ -53,8 +53,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").drop("n_chars")
-    return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "evidence", "site_rate", "posterior", "accepted")
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +136,10 @@ SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS INTEGER) AS n_lines,
 FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """,
     "op6_mix_sources": r"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce('0' || source, '1') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('11|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5('11|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), sized AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY src
@@ -162,17 +161,48 @@ WITH docs AS (
   SELECT src, source_size,
          least(cap, (budget - coalesce((SELECT filled FROM best), 0)) / coalesce((SELECT open_weight FROM best), weights) * weight) AS target
   FROM levels
-), quotas AS (
-  SELECT *, CAST(floor(target + 0.25) AS BIGINT) AS quota,
-         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.25) AS BIGINT) // source_size ELSE 0 END AS whole
-  FROM plan
+), centre AS (
+  SELECT sum(size * ln(size + 1.0::DOUBLE)) / sum(size) AS mean, 0.02::DOUBLE * (SELECT sum(target) FROM plan) AS pull FROM docs
+), balance AS (
+  SELECT 0 AS step, src, size, words, ln(size + 1.0::DOUBLE) - mean AS z, target, pull, ln(target / source_size) AS lam, 0.0::DOUBLE AS mu,
+         target >= 2 * source_size AS held, false AS done
+  FROM (SELECT src, size, CAST(sum(size) AS DOUBLE) AS words FROM docs WHERE size > 0 GROUP BY src, size) JOIN plan USING (src), centre
+  UNION ALL
+  SELECT step + 1, src, size, words, z, target, pull,
+         CASE WHEN rest THEN lam ELSE lam - greatest(-1, least(1, CASE WHEN d > 0 THEN (g - b * shift) / d ELSE 0 END)) END,
+         CASE WHEN rest THEN mu ELSE mu - shift END, held OR (rest AND above), rest AND NOT any_above
+  FROM (
+    SELECT *, coalesce(off, 0) <= 1e-10 AND (off IS NULL OR abs(gradient) <= 1e-10 * greatest(pull / 0.02, 1)) AS rest,
+           greatest(-0.5, least(0.5, (gradient - bg) / (c - bb + pull))) AS shift
+    FROM (
+      SELECT *, sum(mass * z) OVER () + pull * mu AS gradient, sum(free * z * z) OVER () AS c,
+             sum(CASE WHEN d > 0 THEN free * z * b / d ELSE 0 END) OVER () AS bb, sum(CASE WHEN d > 0 THEN free * z * g / d ELSE 0 END) OVER () AS bg,
+             max(CASE WHEN d > 0 THEN abs(g) / greatest(target, 1) END) OVER () AS off, bool_or(above) OVER () AS any_above
+      FROM (
+        SELECT *, sum(mass) OVER own - target AS g, sum(free) OVER own AS d, sum(free * z) OVER own AS b
+        FROM (
+          SELECT *, CASE WHEN held THEN 2 * words ELSE words * exp(lam + mu * z) END AS mass,
+                 CASE WHEN held THEN 0 ELSE words * exp(lam + mu * z) END AS free, NOT held AND lam + mu * z > ln(2.0::DOUBLE) AS above
+          FROM balance WHERE NOT done AND step < 300
+        ) WINDOW own AS (PARTITION BY src)
+      )
+    )
+  )
+), rates AS (
+  SELECT src, size, CASE WHEN held THEN 2.0 ELSE exp(lam + mu * z) END AS rate FROM balance WHERE step = (SELECT max(step) FROM balance)
+), rounded AS (
+  SELECT d.*, p.source_size, p.target,
+         CAST(least(2, floor(coalesce(r.rate, 0) + CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE)) AS BIGINT) AS copies
+  FROM docs d JOIN plan p USING (src) LEFT JOIN rates r ON r.src = d.src AND r.size = d.size
+), missed AS (
+  SELECT *, CAST(floor(target + 0.25) AS BIGINT) - sum(copies * size) OVER (PARTITION BY src) AS missing FROM rounded
+), able AS (
+  SELECT *, CASE WHEN CASE WHEN missing > 0 THEN copies < 2 ELSE copies > 0 END THEN size ELSE 0 END AS room FROM missed
 ), placed AS (
-  SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.quota - q.whole * q.source_size AS extra,
-         coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed
-  FROM docs d JOIN quotas q USING (src)
+  SELECT *, coalesce(sum(room) OVER (PARTITION BY src ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM able
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, extra - passed)) AS BIGINT) AS taken
+       CAST(copies * size + sign(missing) * greatest(0, least(room, abs(missing) - passed)) AS BIGINT) AS taken
 FROM placed
 """,
     "op9_near_dedup": r"""

@@ -13,8 +13,8 @@ plus its place in the block.  The total order over fractions uses 4096 equal
 slices of [0, 1) the same way.
 
 Defined results: a null source is a source of its own; a null text has no
-bytes; null or repeated ids are ranked by (hash, crc, size), and rows equal in
-all of these are interchangeable; an empty table gives no rows; further columns
+bytes; rows are shuffled by id and text, so null and repeated ids are told apart
+by their texts, and rows equal in both are interchangeable; an empty table gives no rows; further columns
 are ignored by ``assign_shards`` and kept by ``write_shards``.
 """
 
@@ -38,6 +38,11 @@ def seeded_hash(seed: int, col: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(col.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def row_hash(seed: int, id_col: Column, text_col: Column) -> Column:
+    """The hash that shuffles rows: of their id and text, so that rows without an id, or of one id, do not meet in one place."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).cast("binary"))
+
+
 def _unit(seed: int, col: Column) -> Column:
     """A fixed number in (0, 1) for each key."""
     digits = F.substring(seeded_hash(seed, col), 1, 8)
@@ -52,11 +57,10 @@ def interleave(df: DataFrame, *, id_col: str, source_col: str, text_col: str, se
         source_key(F.col(source_col)).alias("src"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        seeded_hash(seed, F.col(id_col)).alias("h"),
+        row_hash(seed, F.col(id_col), F.col(text_col)).alias("h"),
     ).withColumn("block", F.substring("h", 1, 3))
-    counts = df.select(
-        source_key(F.col(source_col)).alias("src"), F.substring(seeded_hash(seed, F.col(id_col)), 1, 3).alias("block")
-    ).groupBy("src", "block").agg(F.count(F.lit(1)).alias("n_block"))
+    rows = materialise(rows, "interleave")
+    counts = rows.groupBy("src", "block").agg(F.count(F.lit(1)).alias("n_block"))
     whole = Window.partitionBy("src")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(

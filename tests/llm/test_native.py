@@ -98,6 +98,48 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_rates_are_the_balanced_ones(spark):
+    """The conditions that entropy balancing has: targets, one tilt for each source, one for length, and the bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 5}") for i, n in enumerate(np.exp(rng.normal(3 + (np.arange(400) % 5) / 3, 1)).astype(int) + 1)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    size, rate = np.array([r["size"] for r in got], float), np.array([r["rate"] for r in got])
+    src = np.array([f"s{r['row_id'] % 5}" for r in got])
+    target = {s: r["target"] for s, r in zip(src, got)}
+    z = np.log(size + 1) - (size * np.log(size + 1)).sum() / size.sum()
+    assert (rate <= 2).all() and len(set(rate[rate < 2])) > 20
+    for s in set(src):
+        assert abs((size * rate)[src == s].sum() - target[s]) < 1e-6 * target[s]
+    free = rate < 2
+    capped = {s for s in target if target[s] >= 2 * size[src == s].sum()}
+    # One slope over all sources that have anything to balance.
+    slopes = []
+    for s in set(src) - capped:
+        own = free & (src == s)
+        slope, start = np.polyfit(z[own], np.log(rate[own]), 1)
+        assert np.allclose(start + slope * z[own], np.log(rate[own]), atol=1e-9)
+        slopes.append(slope)
+    assert np.ptp(slopes) < 1e-9 and abs(slopes[0]) > 1e-4
+    assert abs((size * rate * z).sum() + mixing.RIDGE * sum(target.values()) * slopes[0]) < 1e-6 * size.sum()
+
+
+def test_numbered(spark):
+    names = [f"n{k:03d}" for k in range(50)] + ["é", "Z", ""]
+    got = mixing.numbered(spark.createDataFrame([(n,) for n in names], "src string").repartition(3), "src").collect()
+    assert [r["src"] for r in sorted(got, key=lambda r: r["nth"])] == sorted(names) and sorted(r["nth"] for r in got) == list(range(53))
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"t{k} " * 4, "s1") for k in range(300)] + [(7, f"u{k} " * 4, "s1") for k in range(100)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len({r["h"][:3] for r in got}) > 300 and abs(sum(r["taken"] for r in got) - 2400) <= 1
+    assert mixing.take_copies(docs(spark, rows)).count() == 600
+    assert mixing.take_copies(docs(spark, [(None, "a b c d", "s")] * 10)).count() == 15
+    assert len({r["frac"] for r in sharding.interleave(docs(spark, rows), id_col="doc_id", source_col="source", text_col="text", seed=7).collect()}) == 400
+
+
 def test_mix_copies_rows(spark):
     rows = [(i, "a b c d", f"s{i % 2}") for i in range(50)]
     out = mixing.take_copies(docs(spark, rows))

@@ -241,9 +241,54 @@ def test_quality_edge_cases(spark):
     assert quality.classify(docs(spark, []), known).count() == 0
 
 
+def strength_by_force(groups):
+    """(n, good, above) of groups to the strength, by the same moments, in plain arithmetic."""
+    big = [(n, g, p) for n, g, p in groups if n > 1]
+    total = sum(n for n, *_ in big)
+    if not total:
+        return quality.STRENGTH[1]
+    between = (sum(n * (g / n - p) ** 2 for n, g, p in big) - sum(p * (1 - p) for *_, p in big)) / total
+    within = sum(n * p * (1 - p) for n, _, p in big) / total
+    return quality.STRENGTH[1] if between <= 0 else min(max(within / between - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+
+
+def test_rates_and_posteriors_by_force(spark):
+    rng = random.Random(12)
+    rows, labels = site_corpus(500, seed=8)
+    names = {i: (f"h{min(int(rng.expovariate(0.4)), 9)}", rng.choice(["a", "b", None])) for i, _ in rows}
+    table = spark.createDataFrame([(i, t, *names[i], "kept") for i, t in rows], "doc_id long, text string, host string, part string, __host string").repartition(3)
+    known = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    out = quality.classify(table, known, host_col="host", path_cols=("part",))
+    assert out.columns == [*table.columns, "evidence", "site_rate", "posterior", "accepted"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    own = {i: 1 / (1 + np.exp(-r["evidence"])) for i, r in got.items()}
+    paths, hosts = {}, {}
+    for i in got:
+        for group, key in ((paths, names[i]), (hosts, names[i][0])):
+            n, good = group.get(key, (0, 0.0))
+            group[key] = (n + 1, good + own[i])
+    rate = (sum(own.values()) + 1) / (len(own) + 2)
+    k = strength_by_force([(n, g, rate) for n, g in hosts.values()])
+    host_rate = {h: (g + k * rate) / (n + k) for h, (n, g) in hosts.items()}
+    k = strength_by_force([(n, g, host_rate[key[0]]) for key, (n, g) in paths.items()])
+    for i, r in got.items():
+        n, good = paths[names[i]]
+        want = min(max((max(good - own[i], 0) + k * host_rate[names[i][0]]) / (n - 1 + k), 0.001), 0.999)
+        assert r["site_rate"] == pytest.approx(want, rel=1e-9)
+        odds = r["evidence"] + np.log(want / (1 - want))
+        assert r["posterior"] == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-9) and r["accepted"] == (r["posterior"] >= quality.ACCEPT)
+    assert quality.classify(table, known, host_col="host", path_cols=("part",), keep=["doc_id"]).columns == ["doc_id", "evidence", "site_rate", "posterior", "accepted"]
+
+
+def test_sites_of_addresses(spark):
+    urls = ["http://www.Ex.org/en/1?x=/a", "https://me@ex.org:80", "https://ex.org/?q", "no address", None, "ftp://a.b/c#d"]
+    got = quality.url_sites(spark.createDataFrame([(u,) for u in urls], "url string"), "url").collect()
+    assert [(r["host"], r["path"]) for r in got] == [("ex.org", "en"), ("ex.org", ""), ("ex.org", ""), (None, None), (None, None), ("a.b", "c")]
+
+
 def test_sparse_sites_shrink(spark):
-    scored = spark.createDataFrame([("big", "x", 2.0)] * 400 + [("bad", "x", -2.0)] * 400 + [("tiny", "x", -2.0)], "source string, lang string, evidence double")
-    rates = {r["__q_path"].split("\x1f")[0][1:]: r for r in quality.site_rates(scored, "source", ("lang",)).collect()}
+    scored = spark.createDataFrame([("big", "big x", 2.0)] * 400 + [("bad", "bad x", -2.0)] * 400 + [("tiny", "tiny x", -2.0)], "source string, site string, evidence double")
+    rates = {r["path"].split()[0]: r for r in quality.site_rates(scored, "source", "site").collect()}
     own = lambda r: r["good"] / r["n"]
     post = lambda r: (r["good"] + r["strength"] * r["host_rate"]) / (r["n"] + r["strength"])
     assert abs(post(rates["big"]) - own(rates["big"])) < 0.02 and abs(post(rates["bad"]) - own(rates["bad"])) < 0.02
