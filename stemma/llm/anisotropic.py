@@ -8,15 +8,15 @@ the orthogonal part.  Codewords are trained on a bounded sample by alternating
 two steps: coordinate descent over each vector's codes under that loss, and
 the loss's exact least-squares solution for each codeword.
 
-Every row is indexed.  A search walks over the codes in blocks: for a query,
-two neighbouring subspaces' tables add up to one table of 256 entries, and a
-vector's score is a sum of table entries.  The best ``keep`` distinct codes of a
+Every row is indexed, with two codes in a byte.  A search walks over the codes in
+blocks: for a query, two neighbouring subspaces' tables add up to one table of
+256 entries, a byte's, and a vector's score is a sum of table entries.  The best ``keep`` distinct codes of a
 block by these scores are chosen, all their vectors are scored again in double
 precision, each distinct one once, and only the nearest ``k`` rows of each block
 leave the task: however many copies a vector has, it takes one place.
 
-Queries are searched in bounded rounds, so what each round sends to the tasks
-has a fixed size.
+Queries are searched in rounds of ``ROUND_BYTES`` of tables at most, so what a
+round sends to the tasks has a fixed size, whatever the vectors' length.
 
 Defined results: null, zero, or partly null or non-finite vectors and rows
 without an id take no part, nor do vectors whose length is not the most common
@@ -36,8 +36,8 @@ from stemma.plans.storage import gathered, materialise
 
 #: Dimensions of a subspace, codewords, training rows, training rounds and the weight of parallel residuals.
 SUB, WORDS, SAMPLE, ROUNDS, ETA = 2, 16, 8192, 6, 4.0
-#: Distinct codes reranked in each block for each query, rows of a block, queries of a round.
-KEEP, BLOCK, ROUND = 200, 32_768, 4096
+#: Distinct codes reranked in each block for each query, rows of a block, queries of a round and bytes of their vectors and tables.
+KEEP, BLOCK, ROUND, ROUND_BYTES = 200, 32_768, 4096, 2**24
 
 
 def _loss_codes(x: np.ndarray, books: np.ndarray, eta: float, passes: int = 2) -> np.ndarray:
@@ -99,9 +99,10 @@ class Index:
 
 
 def valid_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, embedding array<double>) of rows that take part."""
+    """(vec_id, embedding) of rows that take part; floats stay floats, other numbers are doubles."""
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding")
     )
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return rows.filter(F.coalesce(sound, F.lit(False)) & F.exists("embedding", lambda v: v != 0))
@@ -113,6 +114,13 @@ def _padded(column, dim: int) -> np.ndarray:
     return np.pad(flat, ((0, 0), (0, -dim % SUB)))
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Codes of four bits (n, subspaces), two in a byte, the first one high."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, 0::2] << 4 | codes[:, 1::2]
+
+
 def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, eta: float = ETA) -> Index:
     """Train on at most ``sample`` rows, chosen by the hash of their id, and code every row."""
     sound = valid_vectors(df, id_col=id_col, vector_col=vector_col)
@@ -127,10 +135,10 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     def coded(batches):
         for batch in batches:
             x = _padded(batch.column(1), dim)
-            codes = [_loss_codes(x[at : at + 4096], books, eta) for at in range(0, len(x), 4096)]
+            codes = [packed(_loss_codes(x[at : at + 4096], books, eta)) for at in range(0, len(x), 4096)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for part in codes for c in part], pa.binary())], ["vec_id", "embedding", "codes"])
 
-    return Index(materialise(sound.mapInArrow(coded, "vec_id long, embedding array<double>, codes binary"), "codes"), dim, books)
+    return Index(materialise(sound.mapInArrow(coded, f"vec_id long, embedding {dict(sound.dtypes)['embedding']}, codes binary"), "codes"), dim, books)
 
 
 def _groups(rows: np.ndarray) -> np.ndarray:
@@ -163,15 +171,13 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
         tables = np.einsum("qsd,swd->qsw", padded.reshape(len(queries), parts, SUB), books).astype(np.float32)
         if parts % 2:
             tables = np.concatenate([tables, np.zeros((len(queries), 1, WORDS), np.float32)], axis=1)
-        # One table for each two subspaces: high four bits from the first.
-        pairs = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, WORDS * WORDS)
 
         def block(rows):
             found = pa.Table.from_batches(rows).combine_chunks().sort_by("vec_id")
             own = found.column("vec_id").to_numpy()
             # Zeros of either sign are one value.
-            exact = np.asarray(found.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(own), dim) + 0.0
-            codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(own), parts)
+            exact = np.asarray(found.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(own), dim) + np.float32(0)
+            codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(own), -(-parts // 2))
             # Equal vectors are one: its smallest ids are all that a search can take of it.
             vector = _groups(exact)
             order = np.lexsort((own, vector))
@@ -186,14 +192,14 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
             code = _groups(codes)
             vectors_of, vector_at = np.argsort(code, kind="stable"), _starts(np.sort(code))
             codes = codes[vectors_of[vector_at[:-1]]]
-            if parts % 2:
-                codes = np.pad(codes, ((0, 0), (0, 1)))
-            joint = (codes[:, 0::2] * 16 + codes[:, 1::2]).T.astype(np.intp)
+            joint = codes.T.astype(np.intp)
             out = ([], [], [])
             for q in range(len(ids)):
-                scores = pairs[q, 0].take(joint[0])
+                # One table for each two subspaces: high four bits from the first.
+                pairs = (tables[q, 0::2, :, None] + tables[q, 1::2, None, :]).reshape(-1, WORDS * WORDS)
+                scores = pairs[0].take(joint[0])
                 for s in range(1, len(joint)):
-                    scores += pairs[q, s].take(joint[s])
+                    scores += pairs[s].take(joint[s])
                 # One more than ``keep``, as the query's own code may be among them.
                 if len(scores) > keep + 1:
                     least = np.partition(scores, len(scores) - keep - 1)[len(scores) - keep - 1]
@@ -203,7 +209,7 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
                     chosen = np.arange(len(scores))
                 chosen = vectors_of[_members(vector_at, chosen)]
                 # Summed once for each vector, so equal ones tie exactly.
-                real = (exact[chosen] * queries[q]).sum(axis=1)
+                real = (exact[chosen].astype(np.float64) * queries[q]).sum(axis=1)
                 found_ids, real = ids_of[_members(id_at, chosen)], np.repeat(real, np.diff(id_at)[chosen])
                 others = found_ids != ids[q]
                 found_ids, real = found_ids[others], real[others]
@@ -230,7 +236,7 @@ def _nearest(index: Index, ids: np.ndarray, queries: np.ndarray, k: int, keep: i
     return scan
 
 
-def search(index: Index, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = KEEP, per_round: int = ROUND) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = KEEP, per_round: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found for each query, nearest first."""
     spark = index.rows.sparkSession
     schema = "query_id long, vec_id long, score double"
@@ -238,13 +244,15 @@ def search(index: Index, queries: DataFrame, k: int = 20, *, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = valid_vectors(queries, id_col=id_col, vector_col=vector_col).filter(F.size("embedding") == index.dim)
     asked = materialise(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    if per_round is None:
+        per_round = max(1, min(ROUND, ROUND_BYTES // (8 * index.dim + 4 * WORDS * len(index.books))))
     rounds = -(-asked.count() // per_round)
 
     def scans():
         for n in range(rounds):
             part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == n).orderBy("vec_id").toArrow()
             if part.num_rows:
-                vectors = np.asarray(part.column("embedding").combine_chunks().flatten().to_numpy()).reshape(-1, index.dim)
+                vectors = np.asarray(part.column("embedding").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, index.dim)
                 yield index.rows.mapInArrow(_nearest(index, part.column("vec_id").to_numpy(), vectors, k, keep), schema)
 
     found = gathered(scans(), "nearest")

@@ -1,20 +1,26 @@
 """Edit-aware token counts: a segment tree of pre-token runs for each document.
 
-A byte-level BPE never merges across pre-tokens, and a space between two word
-characters always starts a new pre-token.  A text is therefore cut at such
-spaces into leaves of about ``LEAF`` code points, each a run of whole
-pre-tokens that can be encoded alone.  A document keeps the code points and
-tokens of its leaves and the sums of every subtree.
+A byte-level BPE never merges across pre-tokens.  A text is cut into leaves of
+about ``LEAF`` code points at borders that are those of pre-tokens whatever
+stands elsewhere: ahead of white space, and between a sentence mark and a letter
+or digit, so that texts without spaces are cut as well.  Each leaf is a run of
+whole pre-tokens that can be encoded alone.  A document keeps the code points
+and tokens of its leaves and the sums of every subtree.
 
 An edit finds its leaves by walking down the code point sums.  The leaves it
 touches, and the neighbours whose border lies within one code point of it (the
 boundary context on which their cut rests), are re-encoded as one region; the
-region's new leaves replace them, and only the sums above are updated.
+region's new leaves take the places of the old ones, and only the sums above
+them are updated.  New text that has no place of its own joins the region's last
+leaf; a tree is dealt out anew only when such a leaf has grown to ``GROWN``
+leaves' size, for which that much text was put in.
 
-Defined results: a null or empty text has one leaf of nothing; edit positions
+Defined results: a null or empty text has one leaf of nothing; a run of letters
+without any mark or space is one leaf, as it is one pre-token; edit positions
 beyond the text's end are moved to it, negative and null ones count as 0, and a
-null insertion as empty; edits of one row apply one after another; repeated
-rows are counted alike; an empty table gives no rows; further columns are kept.
+null insertion as empty; edits of one row apply one after another; a null tree is
+counted anew; repeated rows are counted alike; an empty table gives no rows;
+further columns are kept.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ from pyspark.sql import types as T
 
 from stemma.llm.tokens import encoder
 
-LEAF = 1024
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+LEAF, GROWN = 1024, 4
+#: Marks that are in no pre-token with what follows them, unless that is a mark as well.
+_MARKS = ".,;:!?。、，！？；：」』）】…"
+#: Letters and digits that all versions of the character tables know as such.
+_LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-яぁ-ゔァ-ヺ一-龥"
+_CUT = re.compile(rf"(?<=[\w{_MARKS})\]\"])(?=[ \t\r\n])|(?<=[{_MARKS}])(?=[{_LETTERS}])")
 
 
 def leaf_texts(text: str, size: int = LEAF) -> list[str]:
@@ -75,11 +85,13 @@ class Tree:
         return k - self.width, start
 
     def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
-        """Put new leaves in place of leaves ``first`` to ``last``; as many or fewer touch only the sums above them."""
-        if len(chars) > last - first + 1:
-            keep = slice(self.width, self.width + first), slice(self.width + last + 1, self.width + self.leaves)
-            self.__init__(self.chars[keep[0]] + chars + self.chars[keep[1]], self.tokens[keep[0]] + tokens + self.tokens[keep[1]])
-            return
+        """Put new leaves in place of leaves ``first`` to ``last``; only the sums above them change.
+
+        Of more leaves than there are places, the further ones join the last.
+        """
+        places = last - first + 1
+        if len(chars) > places:
+            chars, tokens = [*chars[: places - 1], sum(chars[places - 1 :])], [*tokens[: places - 1], sum(tokens[places - 1 :])]
         touched = set()
         for n, k in enumerate(range(self.width + first, self.width + last + 1)):
             self.chars[k], self.tokens[k] = (chars[n], tokens[n]) if n < len(chars) else (0, 0)
@@ -90,6 +102,13 @@ class Tree:
                     self._sum(k)
             touched = {k >> 1 for k in touched}
 
+    def deal(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Build the tree anew, with new leaves in place of leaves ``first`` to ``last``, and without empty ones."""
+        before, after = slice(self.width, self.width + first), slice(self.width + last + 1, self.width + self.leaves)
+        leaves = zip(self.chars[before] + chars + self.chars[after], self.tokens[before] + tokens + self.tokens[after], strict=True)
+        kept = [x for x in leaves if x[0]] or [(0, 0)]
+        self.__init__([c for c, _ in kept], [t for _, t in kept])
+
     def edit(self, text: str, start: int, delete: int, insert: str, encode) -> tuple[str, int]:
         """Apply one edit; the new text, and how many code points were encoded again."""
         start = min(max(start, 0), len(text))
@@ -100,7 +119,9 @@ class Tree:
         right += self.chars[self.width + last]
         region = text[left:start] + insert + text[end:right]
         parts = leaf_texts(region)
-        self.replace(first, last, [len(p) for p in parts], [len(encode(p)) for p in parts])
+        chars, tokens = [len(p) for p in parts], [len(encode(p)) for p in parts]
+        crowded = len(parts) > last - first + 1 and sum(chars[last - first :]) > GROWN * LEAF
+        (self.deal if crowded else self.replace)(first, last, chars, tokens)
         return text[:start] + insert + text[end:], len(region)
 
 
@@ -152,7 +173,9 @@ def apply_edits(df: DataFrame, tokenizer: str, *, text_col: str = "text", edits_
 
     def row(values):
         text, leaves, edits = values[0] or "", values[1], values[2] or []
-        tree, encode, again = Tree(leaves["leaf_chars"], leaves["leaf_tokens"]), encoder(tokenizer).encode, 0
+        encode, again = encoder(tokenizer).encode, 0
+        known = leaves is not None and leaves["leaf_chars"] and leaves["leaf_tokens"]
+        tree = Tree(leaves["leaf_chars"], leaves["leaf_tokens"]) if known else Tree.of(text, encode)
         for e in edits:
             text, n = tree.edit(text, e["start"] or 0, e["delete"] or 0, e["insert"] or "", encode)
             again += n

@@ -61,6 +61,39 @@ def test_copies_take_one_place(spark):
     assert np.mean(recalls) >= 0.99 and min(recalls) >= 0.9
 
 
+@pytest.mark.parametrize("dim,spread", [(64, 0.0), (64, 1.0), (33, 0.0)])
+def test_recall_at_the_shipped_settings(dim, spread):
+    """A whole block, scanned as a task scans it: Gaussian vectors, and groups of near ones; 0.9 is what is asked for."""
+    rng = np.random.default_rng(dim)
+    n = anisotropic.BLOCK
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    if spread:
+        x = (rng.normal(size=(400, dim))[rng.integers(0, 400, n)] + spread * 0.6 * x).astype(np.float32)
+    wide = np.pad(x.astype(np.float64), ((0, 0), (0, dim % 2)))
+    books = anisotropic.train(wide[rng.choice(n, anisotropic.SAMPLE, replace=False)])
+    codes = np.concatenate([anisotropic.packed(anisotropic._loss_codes(wide[at : at + 4096], books, anisotropic.ETA)) for at in range(0, n, 4096)])
+    assert codes.shape == (n, -(-books.shape[0] // 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(x), pa.list_(pa.float32())), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "codes"])
+    asked = np.arange(0, n, 820)
+    scan = anisotropic._nearest(anisotropic.Index(None, dim, books), asked, x[asked].astype(np.float64), 20, anisotropic.KEEP)
+    found = pa.Table.from_batches(list(scan(iter([batch])))).to_pydict()
+    got = {}
+    for q, v in zip(found["query_id"], found["vec_id"]):
+        got.setdefault(q, set()).add(v)
+    recalls = []
+    for q in asked:
+        scores = x.astype(np.float64) @ x[q].astype(np.float64)
+        scores[q] = -np.inf
+        recalls.append(len(got[q] & set(np.argpartition(-scores, 20)[:20].tolist())) / 20)
+    assert np.mean(recalls) >= 0.9
+
+
+def test_rounds_are_sized_by_bytes():
+    for dim in (8, 64, 768, 4096):
+        one = 8 * dim + 4 * anisotropic.WORDS * dim // anisotropic.SUB
+        assert max(1, min(anisotropic.ROUND, anisotropic.ROUND_BYTES // one)) * one <= anisotropic.ROUND_BYTES
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0, 3.0], 0, ""), (1, [0.5, 1.0, 1.0], 0, ""), (40, [1.0, 0.0, 0.0], 0, "")], VECTORS)
     got = anisotropic.search(anisotropic.build(df), df.filter("vec_id % 20 = 0"), 20).collect()

@@ -193,6 +193,56 @@ def test_long_texts_encode_only_what_an_edit_touches():
     assert again < 4 * token_counts.LEAF and tree.tokens[1] == len(enc(edited))
 
 
+def test_texts_without_spaces_are_cut():
+    enc = tokens.encoder(PATH).encode
+    kana = "".join(random.Random(2).choices("あいうえおかきくけこ漢字仮名", k=30)) + "。"
+    for t in (kana * 4000, "alpha,beta;gamma." * 5000, "line\n" * 20_000, "a.b,c" * 9000):
+        parts = token_counts.leaf_texts(t)
+        assert max(map(len, parts)) < 2 * token_counts.LEAF and "".join(parts) == t
+        tree = token_counts.Tree.of(t, enc)
+        assert tree.tokens[1] == len(enc(t))
+        edited, again = tree.edit(t, len(t) // 2, 3, "。新しい", enc)
+        assert again < 4 * token_counts.LEAF and tree.tokens[1] == len(enc(edited))
+
+
+def test_cuts_are_borders_of_pre_tokens():
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(PATH).pre_tokenizer
+    rng = random.Random(12)
+    alphabet = [*" \n\t'.,;:!?()|<>_-\"", *"aéßsZ7٣", "日", "ア", "。", "、", "…", "🙂", "\u0301", "\u00a0"]
+    cuts = 0
+    for _ in range(3000):
+        t = "".join(rng.choices(alphabet, k=rng.randint(2, 24)))
+        starts = {a for _, (a, _) in split.pre_tokenize_str(t)}
+        found = {m.start() for m in token_counts._CUT.finditer(t)}
+        cuts += len(found)
+        assert found <= starts, (t, found - starts)
+    assert cuts > 3000
+
+
+def test_a_tree_is_dealt_anew_only_when_a_leaf_has_grown():
+    enc = tokens.encoder(PATH).encode
+    t = "some plain words here " * 2000
+    tree = token_counts.Tree.of(t, enc)
+    leaves, built = tree.leaves, []
+    deal = tree.deal
+    tree.deal = lambda *a: (built.append(1), deal(*a))
+    for _ in range(40):
+        t, _ = tree.edit(t, 20_000, 0, " more words of text" * 20, enc)
+        assert tree.chars[1] == len(t)
+    assert tree.tokens[1] == len(enc(t)) and 1 <= len(built) <= 8 and tree.leaves > leaves
+    t, _ = tree.edit(t, 0, len(t), "x", enc)
+    assert (tree.tokens[1], tree.chars[1]) == (1, 1)
+
+
+def test_a_null_tree_is_counted_anew(spark):
+    rows = docs(spark, [(1, "some words"), (2, None)]).withColumn("token_tree", F.lit(None).cast(token_counts.TREE)).withColumn("n_tokens", F.lit(None).cast("long"))
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("delete"), F.lit("two more ").alias("insert")))
+    got = {r["doc_id"]: (r["text"], r["n_tokens"]) for r in token_counts.apply_edits(rows.withColumn("edits", edits), PATH).collect()}
+    assert got == {i: (t, len(tokens.encoder(PATH).encode(t))) for i, t in ((1, "two more some words"), (2, "two more "))}
+
+
 def test_counts_and_edits_on_tables(spark):
     rows = list(enumerate(texts(10))) + [(2, "again"), (None, None)]
     counted = token_counts.count_tokens(docs(spark, rows), PATH)
