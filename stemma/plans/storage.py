@@ -27,13 +27,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share.
+
+    Where the session names none, a local master gets a temporary folder; on a
+    cluster there would be a different one on each machine, so that is refused.
+    """
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not is_local(master):
+        raise RuntimeError(f"{CHECKPOINT_CONF} is not set: executors of {master} need a folder that all of them share")
     return _own_dir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 @functools.cache
 def _own_dir() -> str:
     """A folder of this process, gone when it ends."""
@@ -85,6 +97,25 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder in the shared one, for files that a job writes and reads again."""
+    return f"{shared_dir(spark)}/stemma-{tag}-{uuid.uuid4().hex}"
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: str, n: str, *, most: int = 1000) -> DataFrame:
+    """``rows`` joined with one row for each key of ``on``, which says in ``n`` how many rows have the key.
+
+    Keys that more than one in ``most`` rows have are ``most`` at most: they are
+    broadcast, and only the others are dealt by hash, so no task meets a hot key.
+    Both tables are read twice.
+    """
+    from pyspark.sql import functions as F
+
+    limit = (counted.agg(F.sum(n)).first()[0] or 0) // most
+    hot = F.broadcast(counted.filter(F.col(n) > limit))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(counted.filter(F.col(n) <= limit), on))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

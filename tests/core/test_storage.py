@@ -1,5 +1,6 @@
 """Lineage cuts, guarded broadcasts and bounded batches."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stemma.plans import storage
@@ -41,3 +42,32 @@ def test_own_folder_only_where_none_is_named(spark, monkeypatch):
     assert storage.shared_dir(spark) == spark.conf.get(storage.CHECKPOINT_CONF)
     monkeypatch.setattr(storage, "CHECKPOINT_CONF", "spark.stemma.unset")
     assert "checkpoints" in storage.shared_dir(spark)
+
+
+def test_the_shared_folder_is_refused_on_a_cluster():
+    assert all(map(storage.is_local, ["local", "local[*]", "local[8]", "local[4,2]"]))
+    assert not any(map(storage.is_local, ["yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"]))
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://h:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+
+
+def test_join_counted(spark):
+    rows = storage.materialise(spark.createDataFrame([("hot", k) for k in range(300)] + [(f"k{k % 40}", k) for k in range(200)] + [("none", 1)], "key string, v int"), "rows")
+    counted = rows.filter("key <> 'none'").groupBy("key").count()
+    for most in (1, 3, 1000):
+        got = storage.join_counted(rows, counted, "key", "count", most=most).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(counted, "key").collect())) and len(got) == 500
