@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: The hash algorithms and the length of their hex digests.
 ALGORITHMS = {"sha1": 40, "sha256": 64}
-#: Fixed value: the owner name of the note section that holds a document's id.
-NOTE_OWNER = b"OMNIBOR\0"
 
 
 def _digest(content: Column, alg: str) -> Column:
@@ -72,24 +70,29 @@ def is_hex(text: Column) -> Column:
     return text.rlike("^[0-9a-fA-F]*$")
 
 
-def embedded_note(sha1_bom: Column, sha256_bom: Column) -> Column:
-    """The payload of an object file's note section: owner name and one entry for each algorithm that has an id.
+def _note_head(owner: str, size: int, tag: int) -> str:
+    """Hex digits of what stands ahead of an id: the lengths of name and id and a tag as little-endian words, and the name.
 
-    An entry is (name length, id length, tag) as little-endian words, the name
-    with its padding, and the id.
+    The name ends with a zero byte and is padded to whole words.
     """
+    name = owner.encode() + b"\0"
+    head = len(name).to_bytes(4, "little") + size.to_bytes(4, "little") + tag.to_bytes(4, "little")
+    return (head + name + bytes(-len(name) % 4)).hex()
+
+
+def embedded_note(sha1_bom: Column, sha256_bom: Column, owner: str) -> Column:
+    """The payload of an object file's note section of ``owner``: one entry for each algorithm that has an id."""
 
     def entry(bom: Column, size: int, tag: int) -> Column:
-        fixed = len(NOTE_OWNER).to_bytes(4, "little") + size.to_bytes(4, "little") + tag.to_bytes(4, "little") + NOTE_OWNER
-        return F.when(bom.isNotNull() & (bom != ""), F.concat(F.unhex(F.lit(fixed.hex())), F.unhex(bom))).otherwise(F.unhex(F.lit("")))
+        return F.when(bom.isNotNull() & (bom != ""), F.concat(F.unhex(F.lit(_note_head(owner, size, tag))), F.unhex(bom))).otherwise(F.unhex(F.lit("")))
 
     return F.concat(entry(sha1_bom, 20, 1), entry(sha256_bom, 32, 2))
 
 
-def read_embedded_note(content: Column, alg: str = "sha1") -> Column:
+def read_embedded_note(content: Column, owner: str, alg: str = "sha1") -> Column:
     """The id that ``embedded_note`` put into binary content, or null."""
-    size, tag = (20, "01") if alg == "sha1" else (32, "02")
-    mark = f"08000000{size:02x}000000{tag}000000{NOTE_OWNER.hex()}"
+    size, tag = (20, 1) if alg == "sha1" else (32, 2)
+    mark = _note_head(owner, size, tag)
     digits = F.lower(F.hex(content))
     at = F.instr(digits, mark)
     return F.when((at > 0) & (at % 2 == 1), F.substring(digits, at + len(mark), F.lit(2 * size)))

@@ -10,19 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.plans.storage import compacted, discard, materialise, union_all
+from stemma.plans.storage import broadcast_if_small, compacted, discard, materialise, union_all
+
+
+#: Rows of a round that are sent to all tasks, so that what was found before is not dealt again for them.
+SMALL = 200_000
+
+
+def _unseen(step: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of a round that were not found before.
+
+    A small round is looked up where the found rows lie; only its own hits are
+    then taken from it.
+    """
+    step = materialise(step, "step")
+    asked = broadcast_if_small(step.select("root", "blob"), SMALL)
+    return step.join(seen.join(asked, ["root", "blob"], "left_semi"), ["root", "blob"], "left_anti")
 
 
 def closure(edge: DataFrame, roots: DataFrame, *, include_roots: bool = True) -> DataFrame:
     """(root, blob, depth): everything under each root of ``roots(root)`` with its least depth."""
-    links = edge.select(F.col("out_blob").alias("blob"), F.col("in_blob").alias("child")).distinct()
+    links = materialise(edge.select(F.col("out_blob").alias("blob"), F.col("in_blob").alias("child")).distinct(), "links")
     start = roots.select("root").distinct().select("root", F.col("root").alias("blob"), F.lit(0).alias("depth"))
     frontier = materialise(start, "frontier")
     found = [frontier]
     while not frontier.isEmpty():
         seen = union_all([part.select("root", "blob") for part in found])
         step = frontier.join(links, "blob").select("root", F.col("child").alias("blob"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = materialise(step.join(seen, ["root", "blob"], "left_anti"), "frontier")
+        frontier = materialise(_unseen(step, seen), "frontier")
         # The frontier stays a table of its own while the next round reads it.
         found = [*compacted(found), frontier]
     out = union_all(found)

@@ -1,20 +1,65 @@
 """Document identifiers of a whole graph, bottom-up.
 
 An artifact's document lists its inputs, each with its own document's id, so
-ids are computed level by level: every round takes the artifacts all of whose
-inputs are known.  A round is one join and one aggregation; its result goes to
-the shared folder, and what is known already is not computed again.
+ids are computed level by level.  Every open link carries how many inputs of its
+output are still unknown: a round collects the lines of the outputs that lack
+none, and only those, hands their ids to the links that wait for them and counts
+again.  What is known already is not read again; each round's result goes to the
+shared folder.  Rounds end when nothing becomes ready, however deep a graph is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import ident
 from stemma.plans.storage import compacted, discard, materialise, union_all
 
 
+def _counted(links: DataFrame) -> DataFrame:
+    """Open links with the number of their output's inputs whose id is awaited."""
+    waits = (F.col("awaited").isNotNull() & F.col("bom").isNull()).cast("int")
+    return links.withColumn("missing", F.sum(waits).over(Window.partitionBy("out")))
+
+
+def _by_level(links: DataFrame, *, alg: str, with_header: bool, dedupe: bool, reuse_unary: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Levels (out, bom_id, doc), and the links that are left, of links (out, in_blob, awaited).
+
+    ``awaited`` names the output whose id goes into a link's line; it is null
+    where an input is listed by itself.
+    """
+    columns = ["out", "in_blob", "awaited", "bom"]
+    open_links = materialise(_counted(links.select(*columns[:3]).withColumn("bom", F.lit(None).cast("string"))), "open")
+    done: list[DataFrame] = []
+    while True:
+        ready = open_links.filter("missing = 0").groupBy("out").agg(F.collect_list(ident.doc_line(F.col("in_blob"), F.col("bom"))).alias("lines"), F.max("bom").alias("only"))
+        takes_over = (F.size("lines") == 1) & F.col("only").isNotNull() if reuse_unary else F.lit(False)
+        doc = F.when(~takes_over, ident.doc_text(F.col("lines"), alg, with_header=with_header, dedupe=dedupe))
+        level = ready.select("out", "only", doc.alias("doc")).select("out", F.coalesce(ident.gitoid_of_text(F.col("doc"), alg), "only").alias("bom_id"), "doc")
+        level = materialise(level, "level")
+        if level.isEmpty():
+            return done, open_links
+        done.append(level)
+        waiting = open_links.filter("missing > 0")
+        if waiting.isEmpty():
+            return done, waiting
+        known = level.select(F.col("out").alias("awaited"), F.col("bom_id").alias("new"))
+        rest = waiting.drop("missing").join(known, "awaited", "left").withColumn("bom", F.coalesce("bom", "new")).select(*columns)
+        following = materialise(_counted(rest), "open")
+        discard(open_links)
+        open_links = following
+        done = compacted(done)
+
+
+def _bare(pruned: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Links (..., in_blob, awaited) that await nothing of pruned artifacts."""
+    if pruned is None:
+        return links
+    named = pruned.select(F.col("blob").alias("in_blob"), F.lit(True).alias("bare")).distinct()
+    return links.join(named, "in_blob", "left").withColumn("awaited", F.when(F.col("bare").isNull(), F.col("awaited"))).drop("bare")
+
+
 def identify(
     edge: DataFrame,
     pruned: DataFrame | None = None,
@@ -23,50 +68,25 @@ def identify(
     with_header: bool = True,
     dedupe: bool = True,
     reuse_unary: bool = True,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """(blob, bom_id, doc, cycle) for each output of ``edge(out_blob, in_blob)``.
 
     ``pruned(blob)`` names artifacts that are listed without their document.
     An artifact with a single input takes that input's document over, with
     ``reuse_unary``; its ``doc`` is then null.  Artifacts on a cycle, or above
-    one, have ``cycle`` set and no id.
+    one, have ``cycle`` set and no id; a pruned artifact breaks a cycle.
     """
     edge = edge.select("out_blob", "in_blob").filter("in_blob IS NOT NULL AND in_blob <> ''")
     links = materialise(edge.distinct() if dedupe else edge, "links")
-    outs = links.select(F.col("out_blob").alias("blob")).distinct()
-    listed = links.join(outs.select(F.col("blob").alias("in_blob"), F.lit(True).alias("inner")), "in_blob", "left")
-    if pruned is not None:
-        listed = listed.join(pruned.select(F.col("blob").alias("in_blob"), F.lit(True).alias("bare")).distinct(), "in_blob", "left")
-    else:
-        listed = listed.withColumn("bare", F.lit(None).cast("boolean"))
-    open_links = materialise(listed.select("out_blob", "in_blob", F.coalesce("inner", F.lit(False)).alias("inner"), F.coalesce("bare", F.lit(False)).alias("bare"), F.lit(None).cast("string").alias("bom")), "open")
-    done: list[DataFrame] = []
-    for _ in range(max_rounds):
-        waiting = F.max((F.col("inner") & F.col("bom").isNull()).cast("int"))
-        line = ident.doc_line(F.col("in_blob"), F.when(~F.col("bare"), F.col("bom")))
-        groups = open_links.groupBy("out_blob").agg(waiting.alias("waiting"), F.collect_list(line).alias("lines"), F.max(F.when(~F.col("bare"), F.col("bom"))).alias("only"))
-        ready = groups.filter("waiting = 0").select(F.col("out_blob").alias("blob"), "lines", "only")
-        takes_over = (F.size("lines") == 1) & F.col("only").isNotNull() if reuse_unary else F.lit(False)
-        doc = F.when(~takes_over, ident.doc_text(F.col("lines"), alg, with_header=with_header, dedupe=dedupe))
-        level = ready.select("blob", "only", doc.alias("doc")).select("blob", F.coalesce(ident.gitoid_of_text(F.col("doc"), alg), "only").alias("bom_id"), "doc")
-        level = materialise(level, "level")
-        if level.isEmpty():
-            break
-        done.append(level)
-        known = level.select(F.col("blob").alias("in_blob"), F.col("bom_id").alias("new"))
-        rest = open_links.join(level.select(F.col("blob").alias("out_blob")), "out_blob", "left_anti").join(known, "in_blob", "left")
-        following = materialise(rest.select("out_blob", "in_blob", "inner", "bare", F.coalesce("bom", "new").alias("bom")), "open")
-        discard(open_links)
-        open_links = following
-        done = compacted(done)
-        if open_links.isEmpty():
-            break
-    out = open_links.select(F.col("out_blob").alias("blob"), F.lit(None).cast("string").alias("bom_id"), F.lit(None).cast("string").alias("doc"), F.lit(True).alias("cycle")).distinct()
-    return union_all([out, *(level.withColumn("cycle", F.lit(False)) for level in done)])
+    outs = links.select(F.col("out_blob").alias("in_blob"), F.col("out_blob").alias("awaited")).distinct()
+    listed = links.join(outs, "in_blob", "left").withColumnRenamed("out_blob", "out")
+    done, left = _by_level(_bare(pruned, listed), alg=alg, with_header=with_header, dedupe=dedupe, reuse_unary=reuse_unary)
+    nothing = F.lit(None).cast("string")
+    out = left.select(F.col("out").alias("blob"), nothing.alias("bom_id"), nothing.alias("doc"), F.lit(True).alias("cycle")).distinct()
+    return union_all([out, *(level.select(F.col("out").alias("blob"), "bom_id", "doc", F.lit(False).alias("cycle")) for level in done)])
 
 
-def identify_in_log_order(edge: DataFrame, pruned: DataFrame | None = None, *, alg: str = "sha1", **options) -> DataFrame:
+def identify_in_log_order(edge: DataFrame, pruned: DataFrame | None = None, *, alg: str = "sha1", with_header: bool = True, reuse_unary: bool = True) -> DataFrame:
     """(blob, seq, bom_id, doc) for each record of ``edge(out_blob, in_blob, seq)``: ids as known at its place in the log.
 
     An input refers to the latest earlier record that produced it, and is a
@@ -76,45 +96,27 @@ def identify_in_log_order(edge: DataFrame, pruned: DataFrame | None = None, *, a
     """
     from stemma.operators.dag import latest_before
 
-    rows = edge.select("out_blob", "in_blob", "seq").filter("in_blob IS NOT NULL AND in_blob <> ''").distinct()
+    rows = materialise(edge.select("out_blob", "in_blob", "seq").filter("in_blob IS NOT NULL AND in_blob <> ''").distinct(), "log")
     records = rows.select("out_blob", "seq").distinct()
     # An output's inputs add up over its records.
     firsts = rows.groupBy("out_blob", "in_blob").agg(F.min("seq").alias("since"))
     grown = records.join(firsts, "out_blob").filter("since <= seq").select("out_blob", "in_blob", "seq")
+    # Most inputs, such as headers that every record has, are made by no record: they are looked up nowhere.
+    made = records.select(F.col("out_blob").alias("in_blob"), F.lit(True).alias("is_made")).distinct()
+    marked = materialise(grown.join(made, "in_blob", "left"), "grown")
     produced = records.select(F.col("out_blob").alias("in_blob"), "seq", F.col("seq").alias("made"))
-    dated = latest_before(grown, produced, ["in_blob"], "seq", "made", "made_at")
+    dated = latest_before(marked.filter("is_made").drop("is_made"), produced, ["in_blob"], "seq", "made", "made_at")
+    plain = marked.filter("is_made IS NULL").drop("is_made").withColumn("made_at", F.lit(None).cast(dict(dated.dtypes)["made_at"]))
     name = lambda blob, seq: F.concat_ws("@", blob, seq.cast("string"))
-    versions = dated.select(
-        name(F.col("out_blob"), F.col("seq")).alias("out_version"), "out_blob", "seq", "in_blob",
-        F.when(F.col("made_at").isNotNull(), name(F.col("in_blob"), F.col("made_at"))).alias("in_version"),
+    links = dated.unionByName(plain).select(
+        name(F.col("out_blob"), F.col("seq")).alias("out"), "in_blob",
+        F.when(F.col("made_at").isNotNull(), name(F.col("in_blob"), F.col("made_at"))).alias("awaited"),
     )
-    return _identify_versions(versions, pruned, alg=alg, **options)
-
-
-def _identify_versions(versions: DataFrame, pruned: DataFrame | None, *, alg: str, with_header: bool = True, reuse_unary: bool = True) -> DataFrame:
-    if pruned is not None:
-        versions = versions.join(pruned.select(F.col("blob").alias("in_blob"), F.lit(True).alias("bare")).distinct(), "in_blob", "left")
-    else:
-        versions = versions.withColumn("bare", F.lit(None).cast("boolean"))
-    open_rows = materialise(versions.withColumn("bom", F.lit(None).cast("string")), "versions")
-    done: list[DataFrame] = []
-    while not open_rows.isEmpty():
-        waiting = F.max((F.col("in_version").isNotNull() & F.col("bom").isNull()).cast("int"))
-        line = ident.doc_line(F.col("in_blob"), F.when(F.col("bare").isNull(), F.col("bom")))
-        groups = open_rows.groupBy("out_version").agg(F.first("out_blob").alias("blob"), F.first("seq").alias("seq"), waiting.alias("waiting"), F.collect_list(line).alias("lines"), F.max("bom").alias("only"))
-        takes_over = (F.size("lines") == 1) & F.col("only").isNotNull() if reuse_unary else F.lit(False)
-        doc = F.when(~takes_over, ident.doc_text(F.col("lines"), alg, with_header=with_header))
-        level = materialise(groups.filter("waiting = 0").withColumn("doc", doc).select("out_version", "blob", "seq", F.coalesce(ident.gitoid_of_text(F.col("doc"), alg), "only").alias("bom_id"), "doc"), "level")
-        if level.isEmpty():
-            break
-        done.append(level.drop("out_version"))
-        known = level.select(F.col("out_version").alias("in_version"), F.col("bom_id").alias("new"))
-        rest = open_rows.join(level.select("out_version"), "out_version", "left_anti").join(known, "in_version", "left")
-        following = materialise(rest.withColumn("bom", F.coalesce("bom", "new")).drop("new").select(*open_rows.columns), "versions")
-        discard(open_rows)
-        open_rows = following
-        done = compacted(done)
-    return union_all(done) if done else open_rows.select(F.col("out_blob").alias("blob"), "seq", F.col("bom").alias("bom_id"), F.col("bom").alias("doc"))
+    done, _ = _by_level(_bare(pruned, links), alg=alg, with_header=with_header, dedupe=True, reuse_unary=reuse_unary)
+    kind = dict(edge.dtypes)["seq"]
+    at = F.regexp_extract("out", "^(.*)@([^@]*)$", 2).cast(kind)
+    empty = records.limit(0).select(F.col("out_blob").alias("blob"), "seq", F.lit(None).cast("string").alias("bom_id"), F.lit(None).cast("string").alias("doc"))
+    return union_all([empty, *(level.select(F.regexp_extract("out", "^(.*)@([^@]*)$", 1).alias("blob"), at.alias("seq"), "bom_id", "doc") for level in done)])
 
 
 def bom_lines(docs: DataFrame) -> DataFrame:

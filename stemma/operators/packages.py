@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text
+from stemma.plans.storage import numbered
 
 #: Fixed value: the package of artifacts that none is known for.
 UNKNOWN = "UNKNOWN_COMPONENT_VERSION"
@@ -153,9 +154,9 @@ def package_record(packages: DataFrame, members: DataFrame, seq_from: int = 1) -
     entry = F.struct(F.lit(0).alias("pos"), "blob", "path", none.alias("has_cve"), none.alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg"))
     lists = members.groupBy("archive").agg(F.array_sort(F.collect_list(entry)).alias("infiles"))
     blank = lambda c: F.lit(None).cast("string").alias(c)
-    joined = packages.join(lists, "archive")
+    joined = numbered(packages.join(lists, "archive"), ["archive"])
     return joined.select(
-        (F.row_number().over(Window.orderBy("archive")) + seq_from - 1).cast("long").alias("seq"), blank("pid"), blank("exec_mode"), F.col("blob").alias("out_blob"), F.col("archive").alias("out_path"),
+        (F.col("nth") + seq_from).cast("long").alias("seq"), blank("pid"), blank("exec_mode"), F.col("blob").alias("out_blob"), F.col("archive").alias("out_path"),
         F.concat(F.lit("package "), "archive").alias("build_cmd"), blank("build_tool"), "pkg_info", blank("prune"), F.lit(False).alias("ignore"), "infiles",
         F.array().cast("array<struct<pos:int,blob:string,path:string>>").alias("dynlibs"),
     )

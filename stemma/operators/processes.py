@@ -33,8 +33,12 @@ def named_processes(spawns: DataFrame) -> DataFrame:
 
 
 def depths(tree: DataFrame, node: str = "proc", parent: str = "parent_proc") -> DataFrame:
-    """``(node, root, depth)`` in a forest, by doubling: each round joins a table of ancestors with itself."""
-    known = tree.select(F.col(node).alias("n"))
+    """``(node, root, depth)`` in a forest, by doubling: each round joins a table of ancestors with itself.
+
+    A node whose way up runs into a circle has neither root nor depth.
+    """
+    known = materialise(tree.select(F.col(node).alias("n")), "nodes")
+    reach, nodes = 1, known.count()
     up = tree.select(F.col(node).alias("n"), F.col(parent).alias("a")).join(known.select(F.col("n").alias("a")), "a", "left_semi")
     up = known.join(up, "n", "left").select("n", F.coalesce("a", "n").alias("a"), F.when(F.col("a").isNull(), 0).otherwise(1).alias("d"))
     while True:
@@ -42,8 +46,11 @@ def depths(tree: DataFrame, node: str = "proc", parent: str = "parent_proc") ->
         above = up.select(F.col("n").alias("a"), F.col("a").alias("aa"), F.col("d").alias("dd"))
         following = up.join(above, "a").select("n", F.col("aa").alias("a"), (F.col("d") + F.col("dd")).alias("d"), (F.col("dd") > 0).alias("moved"))
         following = materialise(following, "depth")
-        if following.filter("moved").isEmpty():
-            return following.select(F.col("n").alias(node), F.col("a").alias("root"), F.col("d").alias("depth"))
+        reach *= 2
+        # Beyond the number of nodes, what still moves goes round.
+        if reach > 2 * nodes or following.filter("moved").isEmpty():
+            found = lambda c: F.when(~F.col("moved"), F.col(c))
+            return following.select(F.col("n").alias(node), found("a").alias("root"), found("d").alias("depth"))
         up = following.drop("moved")
 
 
@@ -64,8 +71,11 @@ def indented(lines: DataFrame, births: DataFrame, deep: DataFrame, indent: str =
 def command_trees(tree: DataFrame, deep: DataFrame) -> DataFrame:
     """(root, tree): an indented listing of each root's processes in the order of a walk down.
 
-    A process sorts by the births along its way from the root, so no nesting is built.
+    A process sorts by the births along its way from the root, so no nesting is
+    built; processes without a root are left out.
     """
+    deep = deep.filter("root IS NOT NULL")
+    tree = tree.join(deep.select("proc"), "proc", "left_semi")
     step = tree.select(F.col("proc").alias("n"), F.col("parent_proc").alias("a"), F.lpad(F.col("line_no").cast("string"), 12, "0").alias("key"), "prog")
     way = step.select(F.col("n").alias("proc"), "a", F.col("key").alias("way"), "prog")
     while True:

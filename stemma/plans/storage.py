@@ -116,6 +116,22 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: str, n: str, *, most:
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(counted.filter(F.col(n) <= limit), on))
 
 
+def numbered(rows: DataFrame, columns: list[str], into: str = "nth") -> DataFrame:
+    """``rows`` with their place in the order of ``columns``, from 0: counted inside ranges, whose sums go before."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ranged = rows.repartitionByRange(*columns).withColumn("__range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    # One row for each range.
+    ends = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*columns)) - 1
+    placed = ranged.withColumn("__inside", inside).join(F.broadcast(starts), "__range")
+    return placed.select(*rows.columns, (F.col("__start") + F.col("__inside")).alias(into))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

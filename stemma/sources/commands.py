@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.plans.storage import numbered
+
 
 @dataclass
 class Family:
@@ -96,9 +98,12 @@ def _compiled(words: list[str], argv: str):
     outs, plain = _read(family, words)
     files = [w for w in plain if re.match(family.inputs, w)]
     early = any(s in f" {argv} " for s in STOPS_EARLY)
-    if not outs and early and len(files) == 1:
-        end = ".o" if " -c " in f" {argv} " else ".s"
-        outs = [os.path.splitext(os.path.basename(files[0]))[0] + end]
+    if not outs and early:
+        if " -E " in f" {argv} ":
+            return [], files
+        # One output for each source, in the working folder.
+        end = ".s" if " -S " in f" {argv} " else ".o"
+        return [os.path.splitext(os.path.basename(f))[0] + end for f in files], files
     return outs or [family.default_output], files
 
 
@@ -111,25 +116,79 @@ def _archived(words: list[str]):
     return plain[skip : skip + 1], plain[skip + 1 :]
 
 
-def _patched(words: list[str]):
-    """``patch``: the file it changes, if named, and the patch."""
-    plain, patch, out, k = [], "", "", 0
+@dataclass
+class Patch:
+    """What a ``patch`` line says."""
+
+    target: str = ""
+    patch: str = ""
+    output: str = ""
+    folder: str = ""
+    strip: int | None = None
+
+
+def patch_line(words: list[str]) -> Patch:
+    """The patch, where it comes from and how many folders its names lose."""
+    told, plain, k = Patch(), [], 0
+    long = {"--input": "-i", "--output": "-o", "--directory": "-d", "--strip": "-p"}
     while k < len(words):
         w = words[k]
-        if w in ("-i", "-o", "-d", "-p", "-F", "-B", "-r", "-D", "-V", "-z", "-Y") and k + 1 < len(words):
-            patch, out = (words[k + 1], out) if w == "-i" else (patch, words[k + 1]) if w == "-o" else (patch, out)
+        name, given, value = w.partition("=")
+        if name in long and (given or k + 1 < len(words)):
+            option, value, k = long[name], value if given else words[k + 1], k if given else k + 1
+        elif w[:2] in ("-i", "-o", "-d", "-p") and not w.startswith("--"):
+            option, value, k = (w[:2], w[2:], k) if len(w) > 2 else (w, words[k + 1] if k + 1 < len(words) else "", k + 1)
+        elif w in ("-F", "-B", "-r", "-D", "-V", "-z", "-Y", "-g"):
+            k += 2
+            continue
+        elif w == "<" or w.startswith("<"):
+            option, value, k = ("-i", words[k + 1] if k + 1 < len(words) else "", k + 1) if w == "<" else ("-i", w[1:], k)
+        else:
+            if not w.startswith("-"):
+                plain.append(w)
             k += 1
-        elif w.startswith("--input="):
-            patch = w.partition("=")[2]
-        elif w == "<" and k + 1 < len(words):
-            patch = words[k + 1]
+            continue
+        if option == "-p":
+            told.strip = int(value) if value.isdigit() else None
+        else:
+            setattr(told, {"-i": "patch", "-o": "output", "-d": "folder"}[option], value)
+        k += 1
+    told.target = plain[0] if plain else ""
+    told.patch = told.patch or (plain[1] if len(plain) > 1 else "")
+    return told
+
+
+def _patched(words: list[str]):
+    """``patch``: the file it changes, if named, and the patch; without a name the patch tells the files."""
+    told = patch_line(words)
+    at = lambda f: os.path.join(told.folder, f) if told.folder and f else f
+    target = at(told.output or told.target)
+    return [target] if target else [], [x for x in (at(told.target), told.patch) if x]
+
+
+def _installed(words: list[str]):
+    """``install``: each file and its copy, in a folder if there are several or ``-t`` names one."""
+    folder, plain, k = "", [], 0
+    while k < len(words):
+        w = words[k]
+        if w in ("-d", "--directory"):
+            return [], []
+        if w in ("-t", "--target-directory") and k + 1 < len(words):
+            folder, k = words[k + 1], k + 1
+        elif w.startswith("--target-directory="):
+            folder = w.partition("=")[2]
+        elif w in ("-m", "-o", "-g", "-S", "--mode", "--owner", "--group", "--suffix"):
             k += 1
         elif not w.startswith("-"):
             plain.append(w)
+        elif not w.startswith("--") and "d" in w:
+            return [], []
         k += 1
-    patch = patch or (plain[1] if len(plain) > 1 else "")
-    target = out or (plain[0] if plain else "")
-    return [target] if target else [], [x for x in (plain[:1] + [patch]) if x]
+    if not folder and (len(plain) > 2 or len(plain) == 2 and plain[1].endswith("/")):
+        folder = plain.pop()
+    if folder:
+        return [os.path.join(folder, os.path.basename(f)) for f in plain], plain
+    return (plain[1:], plain[:1]) if len(plain) == 2 else ([], [])
 
 
 def parse(prog: str, argv: str) -> tuple[str, list[str], list[str], list[str], list[str]]:
@@ -151,10 +210,7 @@ def parse(prog: str, argv: str) -> tuple[str, list[str], list[str], list[str], l
         _, plain = _read(Family(name, frozenset("-I -O -B -j -R -K -N -L -W -F --add-section --remove-section --set-section-flags --add-gnu-debuglink --only-section".split())), words)
         return ("objcopy", plain[1:2] or plain[:1], plain[:1], [], []) if plain else ("objcopy", [], [], [], [])
     if name == "install":
-        _, plain = _read(Family(name, frozenset("-m -o -g -t -S --mode --owner --group".split()), output="--none"), words)
-        if len(plain) == 2 and "-d" not in words:
-            return "install", [plain[1]], [plain[0]], [], []
-        return "install", [], [], [], []
+        return ("install", *_installed(words), [], [])
     if name == "sign-file":
         plain = [w for w in words if not w.startswith("-")]
         module = plain[3:5]
@@ -198,12 +254,26 @@ def real_path(path: str, pwd: str, root: str = "") -> str:
 _OUT = "cmd_id long, family string, role string, pos int, path string"
 _SCHEMA = pa.schema([("cmd_id", pa.int64()), ("family", pa.string()), ("role", pa.string()), ("pos", pa.int32()), ("path", pa.string())])
 
+#: Families whose outputs each have the input of their own place, if there are several.
+ONE_BY_ONE = ("cc", "install", "javac")
+
+
+def _lists(family: str, words: list[str]) -> list[str]:
+    """Files that a line names and that list further inputs or outputs."""
+    if family == "patch":
+        told = patch_line(words)
+        return [] if told.target or told.output or not told.patch else [told.patch]
+    if family == "go":
+        return [w.partition("=")[2] if "=" in w else words[k + 1] for k, w in enumerate(words) if w.lstrip("-").partition("=")[0] == "importcfg" and ("=" in w or k + 1 < len(words))]
+    return []
+
 
 def command_files(commands: DataFrame) -> DataFrame:
     """(cmd_id, family, role, pos, path) of commands (cmd_id, pwd, rootdir, prog, argv).
 
-    Roles are ``out``, ``in`` and ``lib``; a library has a candidate path for
-    each folder it may lie in, in order.
+    Roles are ``out``, ``in``, ``lib`` and ``list``; a library has a candidate
+    path for each folder it may lie in, in order, and a list is a file whose
+    text names further files, as patches and import tables do.
     """
 
     def run(batches):
@@ -214,35 +284,88 @@ def command_files(commands: DataFrame) -> DataFrame:
                 at = lambda p: real_path(p, pwd or "/", root or "")  # noqa: E731,B023
                 rows += [(cmd, family, "out", k, at(p)) for k, p in enumerate(outs)] + [(cmd, family, "in", k, at(p)) for k, p in enumerate(ins)]
                 rows += [(cmd, family, "lib", k, at(os.path.join(f, f"lib{n}{end}"))) for k, (n, f, end) in enumerate((n, f, end) for n in libs for f in folders for end in (".so", ".a"))]
+                rows += [(cmd, family, "list", k, at(p)) for k, p in enumerate(_lists(family, words_of(argv or "")[1:]))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return commands.select("cmd_id", "pwd", "rootdir", "prog", "argv").mapInArrow(run, _OUT)
 
 
-def command_records(commands: DataFrame, catalog: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def with_responses(commands: DataFrame, responses: DataFrame) -> DataFrame:
+    """Commands whose ``@file`` words give way to the words of that file, from responses (path, text); others stay as they are."""
+    word = r"(?:^|(?<=\s))@(\S+)"
+    asked = commands.select("cmd_id", "pwd", F.explode(F.array_distinct(F.regexp_extract_all("argv", F.lit(word), F.lit(1)))).alias("__name"))
+    place = F.when(F.startswith("__name", F.lit("/")), F.col("__name")).otherwise(F.concat(F.rtrim("pwd", F.lit("/")), F.lit("/"), F.regexp_replace("__name", r"^\./", "")))
+    found = asked.withColumn("path", place).join(responses.select("path", "text"), "path")
+    lists = found.groupBy("cmd_id").agg(F.array_sort(F.collect_list(F.struct("__name", F.regexp_replace(F.btrim("text", F.lit(" \t\r\n")), r"\s*\n\s*", " ").alias("words")))).alias("__found"))
+    spaced = F.concat(F.lit(" "), F.col("argv"), F.lit(" "))
+    filled = F.aggregate("__found", spaced, lambda line, f: F.replace(line, F.concat(F.lit(" @"), f["__name"], F.lit(" ")), F.concat(F.lit(" "), f["words"], F.lit(" "))))
+    joined = commands.join(lists, "cmd_id", "left")
+    return joined.withColumn("argv", F.when(F.col("__found").isNotNull(), F.btrim(filled, F.lit(" "))).otherwise(F.col("argv"))).select(*commands.columns)
+
+
+def patched_files(commands: DataFrame, patches: DataFrame) -> DataFrame:
+    """(cmd_id, family, role, pos, path): what patch commands change, told by their patches (file, targets).
+
+    ``targets`` are the names as the patch has them; ``-p`` says how many
+    folders they lose, and without it all.  Each file is an output, and an
+    input as it was; the patch itself is the last input.
+    """
+    lines = command_files(commands).filter("family = 'patch' AND role = 'list'").select("cmd_id", F.col("path").alias("file"))
+
+    @F.udf("array<string>", useArrow=True)
+    def places(argv, pwd, root, targets):
+        told = patch_line(words_of(argv or "")[1:])
+        cut = lambda t: t.rsplit("/", 1)[-1] if told.strip is None else "/".join(t.split("/")[told.strip :])
+        return [real_path(os.path.join(told.folder, cut(t)), pwd or "/", root or "") for t in targets]
+
+    listed = lines.join(patches.select("file", "targets"), "file").join(commands.select("cmd_id", "argv", "pwd", "rootdir"), "cmd_id")
+    listed = listed.select("cmd_id", "file", places("argv", "pwd", "rootdir", "targets").alias("paths"))
+    changed = listed.select("cmd_id", F.posexplode("paths").alias("pos", "path"))
+    row = lambda df, role, pos, path: df.select("cmd_id", F.lit("patch").alias("family"), F.lit(role).alias("role"), pos.cast("int").alias("pos"), path.alias("path"))
+    return row(changed, "out", F.col("pos"), F.col("path")).unionByName(row(changed, "in", F.col("pos"), F.col("path")))
+
+
+def imported_files(commands: DataFrame, tables: DataFrame) -> DataFrame:
+    """(cmd_id, family, role, pos, path): the packages that import tables (file, text) name, as inputs behind a command's own."""
+    lines = command_files(commands).filter("family = 'go' AND role = 'list'").select("cmd_id", F.col("path").alias("file"))
+    named = tables.select("file", F.regexp_extract_all("text", F.lit(r"(?m)^packagefile [^=\n]+=(\S+)$"), F.lit(1)).alias("paths"))
+    found = lines.join(named, "file").select("cmd_id", F.posexplode("paths").alias("pos", "path"))
+    return found.select("cmd_id", F.lit("go").alias("family"), F.lit("in").alias("role"), (F.col("pos") + F.lit(1 << 20)).alias("pos"), "path")
+
+
+def command_records(commands: DataFrame, catalog: DataFrame, headers: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Build records (``stemma.sources.schemas.RECORD``) of commands whose files a catalog (path, blob) knows.
 
-    One record for each existing output, with the existing inputs; a linker
-    that a compiler ran on is marked information only.  ``headers(cmd_id,
-    path)`` adds what dependency files list.
+    One record for each existing output, with the existing inputs; records are
+    numbered by command and output.  A linker that a compiler ran on is marked
+    information only.  ``headers(cmd_id, path)`` adds what dependency files
+    list, behind all other inputs; ``listed`` adds rows of ``command_files``
+    that other files tell, such as patches.
     """
-    files = command_files(commands)
+    files = command_files(commands).filter("role <> 'list'")
+    if listed is not None:
+        files = files.unionByName(listed.select(*files.columns))
+    files = files.withColumn("rank", F.lit(0))
     if headers is not None:
         families = files.select("cmd_id", "family").distinct()
-        files = files.unionByName(headers.join(families, "cmd_id").select("cmd_id", "family", F.lit("in").alias("role"), F.lit(1_000_000).alias("pos"), "path"))
+        files = files.unionByName(headers.join(families, "cmd_id").select("cmd_id", "family", F.lit("in").alias("role"), F.lit(-1).alias("pos"), "path", F.lit(1).alias("rank")))
     known = files.join(catalog.select("path", "blob"), "path")
     outs = known.filter("role = 'out'").select("cmd_id", "family", F.col("pos").alias("out_pos"), F.col("blob").alias("out_blob"), F.col("path").alias("out_path"))
-    entry = F.struct("pos", "blob", "path")
-    lists = known.groupBy("cmd_id").agg(F.array_sort(F.collect_set(F.when(F.col("role") == "in", entry))).alias("ins"), F.array_sort(F.collect_set(F.when(F.col("role") == "lib", entry))).alias("dynlibs"))
+    several = files.filter("role = 'out'").groupBy("cmd_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    entry = F.struct("rank", "pos", "path", "blob")
+    lists = known.groupBy("cmd_id").agg(F.array_sort(F.collect_set(F.when(F.col("role") == "in", entry))).alias("ins"), F.array_sort(F.collect_set(F.when(F.col("role") == "lib", entry))).alias("libs"))
     none = F.array().cast("array<string>")
-    infiles = F.transform("ins", lambda f: F.struct(f["pos"].alias("pos"), f["blob"].alias("blob"), f["path"].alias("path"), none.alias("has_cve"), none.alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg")))
+    # A compiler's or installer's file of another place has nothing to do with this one; headers have to do with all.
+    own = F.filter("ins", lambda f: ~(F.col("family").isin(*ONE_BY_ONE) & F.col("several")) | (f["pos"] == F.col("out_pos")) | (f["rank"] > 0))
+    infiles = F.transform("own", lambda f, k: F.struct(k.cast("int").alias("pos"), f["blob"].alias("blob"), f["path"].alias("path"), none.alias("has_cve"), none.alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg")))
+    dynlibs = F.transform("libs", lambda f: F.struct(f["pos"].alias("pos"), f["blob"].alias("blob"), f["path"].alias("path")))
     early = F.exists(F.array(*[F.contains(F.concat(F.lit(" "), F.col("argv"), F.lit(" ")), F.lit(s)) for s in STOPS_EARLY]), lambda x: x)
     only_links = (F.col("family") == "cc") & ~early & ~F.exists("ins", lambda f: f["path"].rlike(r"\.(c|C|cc|cpp|cxx|s|S)$"))
-    joined = outs.join(lists, "cmd_id").join(commands.select("cmd_id", "pid", "prog", "argv"), "cmd_id")
-    return joined.select(
-        (F.col("cmd_id") * 1000 + F.col("out_pos")).alias("seq"), "pid", F.lit(None).cast("string").alias("exec_mode"), "out_blob", "out_path", F.col("argv").alias("build_cmd"), F.col("prog").alias("build_tool"),
-        F.lit(None).cast("string").alias("pkg_info"), F.lit(None).cast("string").alias("prune"), only_links.alias("ignore"), infiles.alias("infiles"), "dynlibs",
+    joined = outs.join(lists, "cmd_id").join(several, "cmd_id").join(commands.select("cmd_id", "pid", "prog", "argv"), "cmd_id").withColumn("own", own)
+    return numbered(joined, ["cmd_id", "out_pos"], "seq").select(
+        "seq", "pid", F.lit(None).cast("string").alias("exec_mode"), "out_blob", "out_path", F.col("argv").alias("build_cmd"), F.col("prog").alias("build_tool"),
+        F.lit(None).cast("string").alias("pkg_info"), F.lit(None).cast("string").alias("prune"), only_links.alias("ignore"), infiles.alias("infiles"), dynlibs.alias("dynlibs"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import json
 import re
 import tarfile
 import zipfile
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions import ident
+from stemma.functions import ident, text
 from stemma.operators import cvedb
 from stemma.sources import schemas
 
@@ -53,6 +54,11 @@ def read_doc_mapping(spark: SparkSession, path: str, fallback: str | None = None
 _STORED = r"/([0-9a-f]{2})/([0-9a-f]{38}|[0-9a-f]{62})$"
 
 
+def read_doc_table(spark: SparkSession, path: str) -> DataFrame:
+    """(bom_id, doc) of the store that ``sinks.write_doc_store`` keeps."""
+    return spark.read.parquet(path).select("bom_id", "doc")
+
+
 def read_doc_store(spark: SparkSession, path: str) -> DataFrame:
     """(bom_id, doc) of a document store, at any depth; hidden folders are skipped."""
     docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
@@ -94,45 +100,105 @@ def read_cve_ranges(spark: SparkSession, path: str) -> DataFrame:
     return words.select(F.col("w")[0].alias("cve"), F.col("w")[1].alias("lo_blob"), F.col("w")[2].alias("hi_blob"))
 
 
+def _yaml_rows(text: str) -> list[tuple[int, str]]:
+    """(depth, line) without blank lines and comments; lists and texts that go over several lines are put on one."""
+    out, lines, k = [], text.splitlines(), 0
+    while k < len(lines):
+        line, k = lines[k], k + 1
+        body = line.strip()
+        if not body or body.startswith("#") or body in ("---", "..."):
+            continue
+        if "\t" in line[: len(line) - len(line.lstrip())]:
+            raise ValueError(f"line {k}: a tab as indentation")
+        depth = len(line) - len(line.lstrip())
+        if (block := re.search(r"(?:^|[:-]\s)\s*([|>])([+-]?)$", body)) is not None:
+            own = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip()) > depth):
+                own.append(lines[k])
+                k += 1
+            edge = min((len(x) - len(x.lstrip()) for x in own if x.strip()), default=0)
+            parts = [x[edge:].rstrip() for x in own]
+            value = "\n".join(parts).strip("\n") if block[1] == "|" else re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(parts).strip("\n"))
+            body = body[: block.start(1)] + json.dumps(value + ("" if block[2] == "-" else "\n"))
+        else:
+            plain = re.sub(r"""("(?:[^"\\]|\\.)*"|'[^']*')|\s+#.*$""", lambda m: m[1] or "", body)
+            while plain.count("[") > plain.count("]") and re.search(r"(?:^|[:-]\s)\s*\[", plain) and k < len(lines):
+                plain, k = plain + " " + lines[k].strip(), k + 1
+            # A plain text goes on in deeper lines that are no pairs and no items.
+            while re.search(r"(?::|-)\s+[^\s\[\"'{|>&*!][^\n]*$", plain) and k < len(lines):
+                more = lines[k].strip()
+                if not more or len(lines[k]) - len(lines[k].lstrip()) <= depth or more.startswith(("- ", "#")) or re.match(r"[^:'\"\s][^:]*:(?:\s|$)", more):
+                    break
+                plain, k = f"{plain} {more}", k + 1
+            body = plain.rstrip()
+        out.append((depth, body))
+    return out
+
+
 def small_yaml(text: str) -> object:
-    """Block mappings and lists of plain or quoted words, by indentation: what the rule files use of YAML."""
-    rows = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    """Mappings and lists by indentation, of plain, quoted and block texts and of lists in brackets: what rule files use of YAML.
+
+    Anything else is refused with ``ValueError``, not skipped.
+    """
+    rows = _yaml_rows(text)
 
     def scalar(x: str):
         x = x.strip()
-        if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1:
-            return x[1:-1].replace('\\"', '"').replace("\\\\", "\\") if x[0] == '"' else x[1:-1].replace("''", "'")
+        if x[:1] == '"':
+            return json.loads(x)
+        if x[:1] == "'":
+            if len(x) < 2 or x[-1] != "'":
+                raise ValueError(f"quotes that do not end: {x}")
+            return x[1:-1].replace("''", "'")
+        if x[:1] == "[":
+            if x[-1] != "]":
+                raise ValueError(f"brackets that do not end: {x}")
+            items = re.findall(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,\[\]{}]+)\s*(?:,|$)""", x[1:-1])
+            if re.sub(r"[\s,]", "", x[1:-1]) != re.sub(r"[\s,]", "", "".join(items)):
+                raise ValueError(f"lists in lists: {x}")
+            return [scalar(i) for i in items]
+        if x[:1] in "{&*!|>%@`" and x:
+            raise ValueError(f"not supported: {x}")
         return x
 
     def pair(x: str):
-        found = re.match(r"""((?:"[^"]*"|'[^']*'|[^:'"\s][^:]*?))\s*:(?:\s+(.*))?$""", x)
+        found = re.match(r"""((?:"(?:[^"\\]|\\.)*"|'[^']*'|[^:'"\s\[{][^:]*?))\s*:(?:\s+(.*))?$""", x)
         return (scalar(found[1]), found[2]) if found else None
 
     def block(at: int, depth: int):
-        if rows[at][1].startswith("- "):
+        if rows[at][1].startswith("- ") or rows[at][1] == "-":
             out: object = []
-            while at < len(rows) and rows[at][0] == depth and rows[at][1].startswith("- "):
-                rest = rows[at][1][2:].strip()
-                if pair(rest):
-                    rows[at] = (depth + 2, rest)
-                    value, at = block(at, depth + 2)
+            while at < len(rows) and rows[at][0] == depth and (rows[at][1].startswith("- ") or rows[at][1] == "-"):
+                rest = rows[at][1][1:].strip()
+                if not rest and at + 1 < len(rows) and rows[at + 1][0] > depth:
+                    value, at = block(at + 1, rows[at + 1][0])
+                elif pair(rest):
+                    rows[at] = (depth + len(rows[at][1]) - len(rest), rest)
+                    value, at = block(at, rows[at][0])
                 else:
-                    value, at = scalar(rest), at + 1
+                    value, at = scalar(rest) if rest else None, at + 1
                 out.append(value)
-            return out, at
-        out = {}
-        while at < len(rows) and rows[at][0] == depth and (found := pair(rows[at][1])):
-            key, rest = found
-            at += 1
-            if rest:
-                out[key] = scalar(rest)
-            elif at < len(rows) and (rows[at][0] > depth or rows[at][0] == depth and rows[at][1].startswith("- ")):
-                out[key], at = block(at, rows[at][0])
-            else:
-                out[key] = None
+        else:
+            out = {}
+            while at < len(rows) and rows[at][0] == depth and (found := pair(rows[at][1])):
+                key, rest = found
+                at += 1
+                if rest:
+                    out[key] = scalar(rest)
+                elif at < len(rows) and (rows[at][0] > depth or rows[at][0] == depth and rows[at][1].startswith("- ")):
+                    out[key], at = block(at, rows[at][0])
+                else:
+                    out[key] = None
+        if at < len(rows) and rows[at][0] >= depth and not (rows[at][0] == depth and isinstance(out, list) and pair(rows[at][1])):
+            raise ValueError(f"cannot read: {rows[at][1]}")
         return out, at
 
-    return block(0, rows[0][0])[0] if rows else {}
+    if not rows:
+        return {}
+    value, at = block(0, rows[0][0])
+    if at < len(rows):
+        raise ValueError(f"cannot read: {rows[at][1]}")
+    return value
 
 
 def _texts(df: DataFrame, make, schema: str) -> DataFrame:
@@ -222,11 +288,16 @@ def read_git_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_deb822(spark: SparkSession, path: str) -> DataFrame:
-    """(fields map<string,string>) of each stanza between blank lines; continued lines are kept under their field."""
+    """(fields map<string,string>) of each stanza between blank lines; continued lines are kept under their field.
+
+    Of a field that a stanza repeats the first counts.
+    """
     stanza = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim("value") != "")
     joined = F.regexp_replace("value", r"\n(?=[ \t])", "\x1e")
     pairs = F.transform(F.filter(F.split(joined, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9-]+:")), lambda x: F.struct(F.regexp_extract(x, "^([A-Za-z0-9-]+):", 1).alias("k"), F.trim(F.replace(F.regexp_replace(x, "^[A-Za-z0-9-]+:", ""), F.lit("\x1e"), F.lit("\n"))).alias("v")))
-    return stanza.select(F.map_from_entries(F.filter(pairs, lambda p: F.lit(True))).alias("fields"))
+    names = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
+    first = F.transform(names, lambda k: F.get(F.filter("pairs", lambda p: p["k"] == k), F.lit(0))["v"])
+    return stanza.select(pairs.alias("pairs")).select(F.map_from_arrays(names, first).alias("fields"))
 
 
 def read_deb_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -325,7 +396,8 @@ def read_patches(spark: SparkSession, path: str, strip: int = 1) -> DataFrame:
     """(file, targets): the files a patch changes, without ``strip`` leading folders; of both names the one that is not null."""
     head = r"(?m)^--- ([^\t\n]+).*\n\+\+\+ ([^\t\n]+)"
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(head), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(head), F.lit(2)).alias("b"))
-    cut = lambda c: F.array_join(F.slice(F.split(F.trim(c), "/"), strip + 1, 1000), "/")
+    parts = lambda c: F.split(F.trim(c), "/")
+    cut = lambda c: F.array_join(F.slice(parts(c), strip + 1, F.size(parts(c))), "/")
     return _whole(spark, path).select("file", F.array_distinct(F.transform(pairs, lambda p: F.when(p["b"].startswith("/dev/null"), cut(p["a"])).otherwise(cut(p["b"])))).alias("targets"))
 
 
@@ -340,50 +412,207 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, *, alg:
     return reader.load(path).filter("length > 0").select("path", ident.gitoid(F.col("content"), alg).alias("blob"), F.col("length").alias("size"), F.substring("content", 1, 512).alias("magic"))
 
 
-def expand_archives(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(archive, path, blob, size) of the regular files in tar and zip (jar, wheel) archives, and ``ar`` members.
+_MEMBER = "archive string, path string, content binary, error string"
+
+
+def _cpio(raw: bytes):
+    """Regular files of a ``newc`` archive."""
+    at = 0
+    while raw[at : at + 5] == b"07070":
+        mode, size, length = (int(raw[at + k : at + k + 8], 16) for k in (14, 54, 94))
+        name = raw[at + 110 : at + 110 + length - 1].decode("utf-8", "replace")
+        start = at + 110 + length + -(at + 110 + length) % 4
+        if name == "TRAILER!!!":
+            return
+        if mode & 0o170000 == 0o100000:
+            yield name, raw[start : start + size]
+        at = start + size + -(start + size) % 4
+    raise ValueError("a cpio archive without its end")
+
+
+def _inflated(raw: bytes) -> bytes:
+    """What a gzip, xz, bzip2 or zstd file holds; other content as it is."""
+    import bz2
+    import gzip
+    import lzma
 
-    An archive is read by one task, a member at a time.  Formats that need
-    other tools are left out.
+    if raw[:2] == b"\x1f\x8b":
+        return gzip.decompress(raw)
+    if raw[:6] == b"\xfd7zXZ\0" or raw[:3] == b"\x5d\0\0":
+        return lzma.decompress(raw)
+    if raw[:3] == b"BZh":
+        return bz2.decompress(raw)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    return raw
+
+
+def _rpm_header(raw: bytes, at: int) -> tuple[dict[int, str], int]:
+    """Texts of a header by tag, and where it ends."""
+    import struct
+
+    if raw[at : at + 3] != b"\x8e\xad\xe8":
+        raise ValueError("no rpm header")
+    count, size = struct.unpack_from(">II", raw, at + 8)
+    store = at + 16 + 16 * count
+    found = {}
+    for k in range(count):
+        tag, kind, offset, _ = struct.unpack_from(">IIII", raw, at + 16 + 16 * k)
+        if kind in (6, 9):
+            found[tag] = raw[store + offset : raw.index(b"\0", store + offset)].decode("utf-8", "replace")
+    return found, store + size
+
+
+def rpm_parts(raw: bytes) -> tuple[dict[int, str], bytes]:
+    """An rpm file's header texts by tag, and its payload, packed as it is."""
+    if raw[:4] != b"\xed\xab\xee\xdb":
+        raise ValueError("no rpm file")
+    _, end = _rpm_header(raw, 96)
+    header, end = _rpm_header(raw, end + -end % 8)
+    return header, raw[end:]
+
+
+def _ar(raw: bytes):
+    at, names = 8, b""
+    while at + 60 <= len(raw):
+        name, size = raw[at : at + 16].decode("latin1").strip(), int(raw[at + 48 : at + 58])
+        data = raw[at + 60 : at + 60 + size]
+        if len(data) < size:
+            raise ValueError("a member without its end")
+        if name == "//":
+            names = data
+        elif name.startswith("/") and name[1:].isdigit():
+            yield names[int(name[1:]) :].split(b"/\n", 1)[0].decode("utf-8", "replace"), data
+        elif name.startswith("#1/"):
+            length = int(name[3:])
+            yield data[:length].rstrip(b"\0").decode("utf-8", "replace"), data[length:]
+        elif name not in ("", "/", "/SYM64/"):
+            yield name.rstrip("/"), data
+        at += 60 + size + size % 2
+
+
+def _tar(raw: bytes):
+    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+        yield from ((m.name, t.extractfile(m).read()) for m in t if m.isreg())
+
+
+def archive_members(raw: bytes):
+    """(path, content) of the regular files in an archive; ``ValueError`` for other content.
+
+    Of a deb package the files of its data archive, of an rpm those of its
+    payload.
     """
+    if raw[:4] == b"PK\x03\x04":
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+    elif raw[:8] == b"!<arch>\n":
+        found = list(_ar(raw))
+        if found and found[0][0] == "debian-binary":
+            for name, data in found:
+                if name.startswith("data.tar"):
+                    yield from _tar(_inflated(data))
+        else:
+            yield from found
+    elif raw[:4] == b"\xed\xab\xee\xdb":
+        yield from _cpio(_inflated(rpm_parts(raw)[1]))
+    elif raw[:5] == b"07070":
+        yield from _cpio(raw)
+    else:
+        yield from _tar(_inflated(raw))
+
+
+def _unpacked(alg: str | None):
+    """Members of archives (path, content), with their content or, given an algorithm, their identifier and size."""
     import hashlib
 
+    def run(batches):
+        for batch in batches:
+            for archive, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                try:
+                    for name, data in archive_members(raw.as_py() or b""):
+                        if alg is None:
+                            rows.append((archive, name, data, None))
+                        else:
+                            rows.append((archive, name, hashlib.new(alg, b"blob %d\0" % len(data) + data).hexdigest(), len(data), None))
+                except Exception as e:  # whatever a damaged file makes its reader raise is told in its row
+                    rows.append((archive, *[None] * (2 if alg is None else 3), f"{type(e).__name__}: {e}"))
+                if rows:
+                    kinds = (pa.string(), pa.string(), pa.binary(), pa.string()) if alg is None else (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+                    names = ["archive", "path", "content", "error"] if alg is None else ["archive", "path", "blob", "size", "error"]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def expand_archives(spark: SparkSession, path: str, glob: str | None = None, *, alg: str = "sha1") -> DataFrame:
+    """(archive, path, blob, size, error) of the regular files in tar, zip (jar, wheel), ``ar``, deb, rpm and cpio archives.
+
+    An archive is read by one task, a member at a time.  A file that is damaged
+    or no archive has a row that says so in ``error``, after what could be read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path).select("path", "content").mapInArrow(_unpacked(alg), "archive string, path string, blob string, size long, error string")
 
-    def members(raw: bytes):
-        if raw[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
-        elif raw[:8] == b"!<arch>\n":
-            at = 8
-            while at + 60 <= len(raw):
-                name, size = raw[at : at + 16].decode("latin1").strip().rstrip("/"), int(raw[at + 48 : at + 58])
-                if name not in ("", "/"):
-                    yield name, raw[at + 60 : at + 60 + size]
-                at += 60 + size + size % 2
-        else:
-            try:
-                with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-                    yield from ((m.name, t.extractfile(m).read()) for m in t if m.isreg())
-            except tarfile.TarError:
-                return
+
+#: Tags of a package header.
+_RPM_TAGS = {"name": 1000, "version": 1001, "release": 1002, "arch": 1022, "source_rpm": 1044}
+
+
+def read_package_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pkg_type, name, version, arch, source) of deb and rpm files, from their own headers; other files are left out."""
+
+    def about(raw: bytes):
+        if raw[:4] == b"\xed\xab\xee\xdb":
+            header, _ = rpm_parts(raw)
+            told = {k: header.get(t) for k, t in _RPM_TAGS.items()}
+            return "rpm" if told["source_rpm"] else "src.rpm", told["name"], f"{told['version']}-{told['release']}", told["arch"], told["source_rpm"]
+        for name, data in _ar(raw):
+            if name.startswith("control.tar"):
+                for inner, content in _tar(_inflated(data)):
+                    if inner.rsplit("/", 1)[-1] == "control":
+                        found = dict(re.findall(r"(?m)^([A-Za-z-]+):[ \t]*(.*)$", content.decode("utf-8", "replace")))
+                        return "deb", found.get("Package"), found.get("Version"), found.get("Architecture"), found.get("Source")
+        return None
 
     def run(batches):
         for batch in batches:
-            for archive, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(archive, name, hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest(), len(data)) for name, data in members(raw.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["archive", "path", "blob", "size"])
+            rows = []
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = raw.as_py() or b""
+                if raw[:4] == b"\xed\xab\xee\xdb" or raw[:8] == b"!<arch>\n" and b"debian-binary" in raw[8:24]:
+                    rows.append((file, *(about(raw) or [None] * 5)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], ["path", "pkg_type", "name", "version", "arch", "source"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, pkg_type string, name string, version string, arch string, source string")
 
-    return reader.load(path).select("path", "content").mapInArrow(run, "archive string, path string, blob string, size long")
 
+def read_embedded_ids(spark: SparkSession, path: str, owner: str, alg: str = "sha1") -> DataFrame:
+    """(path, member, blob, bom_id) of files with the document id that is embedded in them, or null.
 
-def read_embedded_ids(spark: SparkSession, path: str, alg: str = "sha1") -> DataFrame:
-    """(path, blob, bom_id) of files, with the document id that is embedded in them, or null."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select("path", ident.gitoid(F.col("content"), alg).alias("blob"), ident.read_embedded_note(F.col("content"), alg).alias("bom_id"))
+    ``owner`` names the note section in object files.  Archives (``ar``, zip)
+    carry the id as the content of a member of that name, or as notes in their
+    members, which are rows of their own; ``member`` is null for a file itself.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    inner = rows.filter(text.file_kind(F.col("content")).isin("archive", "zip")).mapInArrow(_unpacked(None), _MEMBER)
+    label = f"{alg}:" if alg != "sha1" else ""
+    told = F.when(F.element_at(F.split("path", "/"), -1) == F.lit(owner), F.regexp_extract(F.decode("content", "UTF-8"), rf"{label}\b([0-9a-f]{{{ident.ALGORITHMS[alg]}}})\b", 1))
+    members = inner.filter("error IS NULL").select(
+        F.col("archive").alias("path"), F.col("path").alias("member"), ident.gitoid(F.col("content"), alg).alias("blob"),
+        F.coalesce(F.nullif(told, F.lit("")), ident.read_embedded_note(F.col("content"), owner, alg)).alias("bom_id"),
+    )
+    whole = F.when(~text.file_kind(F.col("content")).isin("archive", "zip"), ident.read_embedded_note(F.col("content"), owner, alg))
+    own = rows.select("path", ident.gitoid(F.col("content"), alg).alias("blob"), whole.alias("bom_id"))
+    named = members.filter(F.element_at(F.split("member", "/"), -1) == F.lit(owner)).groupBy("path").agg(F.min("bom_id").alias("inside"))
+    own = own.join(named, "path", "left").select("path", F.lit(None).cast("string").alias("member"), "blob", F.coalesce("inside", "bom_id").alias("bom_id"))
+    return own.unionByName(members)
 
 
 def chosen_bom(recorded: Column, embedded: Column, *, prefer_embedded: bool = False) -> Column:

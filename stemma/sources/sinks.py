@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators import cvedb
+from stemma.plans.storage import materialise
 
 
 def promoted(names, singular: str, plural: str):
@@ -47,9 +48,20 @@ def write_json_db(entries: DataFrame, path: str, *, key: str = "blob") -> None:
 
 
 def write_doc_store(docs: DataFrame, path: str) -> None:
-    """Each document once, under ``path/prefix=xx``: its id's first two digits."""
-    once = docs.filter("doc IS NOT NULL").dropDuplicates(["bom_id"])
-    once.select("bom_id", "doc", F.substring("bom_id", 1, 2).alias("prefix")).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    """Add the documents that the store has not yet, each once, under ``path/prefix=xx``: its id's first two digits.
+
+    A document that is there is not written again, whoever wrote it.
+    """
+    from pyspark.errors import AnalysisException
+
+    once = docs.filter("doc IS NOT NULL").dropDuplicates(["bom_id"]).select("bom_id", "doc", F.substring("bom_id", 1, 2).alias("prefix"))
+    try:
+        known = docs.sparkSession.read.parquet(path).select("bom_id")
+    except AnalysisException:
+        known = None
+    if known is not None:
+        once = materialise(once.join(known, "bom_id", "left_anti"), "documents")
+    once.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def bom_history(boms: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from stemma.functions import ident
-from stemma.operators import closure, dag, merkle
+from stemma.operators import closure, dag, merkle, processes
 from stemma.sources import rawlog
 from tests.core import fixtures as fx
 
@@ -39,8 +39,8 @@ def test_identifiers(spark):
     parsed = one(spark, ident.parse_line(F.lit(f"blob {b} bom {c}")))
     assert (parsed["blob"], parsed["bom"]) == (b, c)
     assert one(spark, ident.parse_line(F.lit(b)))["bom"] is None and one(spark, ident.parse_line(F.lit("blob xyz")))["blob"] is None
-    note = ident.embedded_note(F.lit(b), F.lit("ab" * 32))
-    assert one(spark, ident.read_embedded_note(F.concat(F.lit(b"xx"), note))) == b and one(spark, ident.read_embedded_note(note, "sha256")) == "ab" * 32
+    note = ident.embedded_note(F.lit(b), F.lit("ab" * 32), "OWNER.")
+    assert one(spark, ident.read_embedded_note(F.concat(F.lit(b"xx"), note), "OWNER.")) == b and one(spark, ident.read_embedded_note(note, "OWNER.", "sha256")) == "ab" * 32
 
 
 def test_published_log(spark, tmp_path):
@@ -215,3 +215,26 @@ def test_deep_graphs(spark, monkeypatch):
     single = spark.createDataFrame([(f"n{k:02}", f"c{k}") for k in range(12)], "blob string, build_cmd string")
     got = {r["blob"]: r["commands"] for r in closure.command_chains(links(spark, chain[:12]), single).collect()}
     assert got["n00"] == [f"c{k}" for k in range(12)] and got["n11"] == ["c11"]
+
+
+def test_rounds_have_no_bound_and_cycles_are_told_apart(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(40)] + [("x", "y"), ("y", "x"), ("above", "x"), ("above", "n39"), ("cut", "z"), ("z", "cut")]
+    edge = spark.createDataFrame(chain, "out_blob string, in_blob string")
+    got = {r["blob"]: r for r in merkle.identify(edge, reuse_unary=False).collect()}
+    assert {b for b, r in got.items() if r["cycle"]} == {"x", "y", "above", "cut", "z"} and all((r["bom_id"] is None) == r["cycle"] for r in got.values())
+    want = None
+    for k in reversed(range(40)):
+        line = f"blob n{k + 1}" + (f" bom {want}" if want else "")
+        doc = f"gitoid:blob:sha1\n{line}\n".encode()
+        want = hashlib.sha1(b"blob %d\0" % len(doc) + doc).hexdigest()
+        assert got[f"n{k}"]["bom_id"] == want
+    broken = {r["blob"] for r in merkle.identify(edge, spark.createDataFrame([("cut",)], "blob string")).collect() if r["cycle"]}
+    assert broken == {"x", "y", "above"}
+
+
+def test_processes_that_are_their_own_ancestors(spark):
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y")], "proc string, parent_proc string")
+    got = {r["proc"]: (r["root"], r["depth"]) for r in processes.depths(tree).collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": (None, None), "y": (None, None), "z": (None, None)}
+    lines = tree.withColumn("line_no", F.lit(1)).withColumn("prog", F.lit("p"))
+    assert [r["root"] for r in processes.command_trees(lines, processes.depths(tree)).collect()] == ["a"]

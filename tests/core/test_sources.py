@@ -1,7 +1,9 @@
 """Readers, writers and command lines on small hand-written inputs."""
 
+import gzip
 import io
 import json
+import struct
 import tarfile
 import zipfile
 
@@ -45,8 +47,12 @@ def test_document_store(spark, tmp_path):
     assert readers.docs_with(lines, spark.createDataFrame([(C,)], "blob string")).count() == 2
     again = readers.restored_docs(readers.bare_docs(stored))
     assert sorted(map(str, again.collect())) == sorted(map(str, stored.collect()))
-    sinks.write_doc_store(docs, str(tmp_path / "kept"))
-    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+    kept = str(tmp_path / "kept")
+    for _ in range(3):
+        sinks.write_doc_store(docs, kept)
+    sinks.write_doc_store(docs.withColumn("bom_id", F.lit("f" * 40)), kept)
+    assert readers.read_doc_table(spark, kept).count() == 3
+    assert sorted(map(str, readers.read_doc_table(spark, kept).filter("bom_id <> repeat('f', 40)").collect())) == sorted(map(str, stored.collect()))
 
 
 def test_ranges_and_rules(spark, tmp_path):
@@ -62,6 +68,49 @@ def test_ranges_and_rules(spark, tmp_path):
     assert (got["cve"], got["kind"], got["commit"], got["src_files"]) == ("CVE-9", "Fixed", "abc123", ["a.c", "b.c"])
 
 
+def test_yaml_texts():
+    text = """
+# rules
+CVE-1:   # first
+  note: >
+    folded text
+    in two lines
+
+    and more
+  kept: |-
+    one
+      two
+  files: [a.c, "b, c.h", 'it''s']
+  many: [x,
+     y, z]
+  plain: goes on
+    in the next line
+CVE-2:
+- first
+- key: 1
+  other: 2
+-
+  - inner
+CVE-3: "quoted # not a comment"
+"""
+    got = readers.small_yaml(text)
+    assert got["CVE-1"] == {"note": "folded text in two lines\n\nand more\n", "kept": "one\n  two", "files": ["a.c", "b, c.h", "it's"], "many": ["x", "y", "z"], "plain": "goes on in the next line"}
+    assert got["CVE-2"] == ["first", {"key": "1", "other": "2"}, ["inner"]] and got["CVE-3"] == "quoted # not a comment"
+    for bad in ("a: &x 1", "a: {b: 1}", "a:\n  b: 1\n c: 2", "a: 1\nno pair here", "a: [[1], 2]", "- a\nb: c"):
+        with pytest.raises(ValueError):
+            readers.small_yaml(bad)
+
+
+def test_a_stanza_that_repeats_a_field(spark, tmp_path):
+    rows = readers.read_deb822(spark, put(tmp_path, "S", "Package: a\nTag: one\nTag: two\n\nPackage: b\n")).collect()
+    assert [r["fields"] for r in rows] == [{"Package": "a", "Tag": "one"}, {"Package": "b"}]
+
+
+def test_deep_patch_names(spark, tmp_path):
+    deep = "/".join(["d"] * 3000) + "/x.c"
+    assert readers.read_patches(spark, put(tmp_path, "p", f"--- a/{deep}\n+++ b/{deep}\n")).first()["targets"] == [deep]
+
+
 def test_version_control_text(spark, tmp_path):
     one, two = "1" * 40, "2" * 40
     log = f"commit {one}\nAuthor: x\n\n    message\n\n:100644 100644 {A} {B} M\tsrc/a.c\n:100644 100644 {A} {C} R100\told.c\tnew.c\n\ncommit {two}\n\n:000000 100644 {'0' * 40} {A} A\tsrc/a.c\n"
@@ -104,6 +153,32 @@ def test_traces(spark, tmp_path):
     assert readers.read_patches(spark, put(tmp_path, "p.patch", patch)).first()["targets"] == ["src/x.c", "gone.c", "new.c"]
 
 
+def member(name, data):
+    return name.ljust(16) + b"0".ljust(12) + b"0".ljust(6) + b"0".ljust(6) + b"644".ljust(8) + str(len(data)).encode().ljust(10) + b"`\n" + data + b"\n" * (len(data) % 2)
+
+
+def cpio(files):
+    out = b""
+    for k, (name, data) in enumerate([*files.items(), ("TRAILER!!!", b"")]):
+        fields = [k, 0o100644 if data else 0, 0, 0, 1, 0, len(data), 0, 0, 0, 0, len(name) + 1, 0]
+        out += b"070701" + b"".join(b"%08X" % f for f in fields) + name.encode() + b"\0"
+        out += bytes(-len(out) % 4) + data
+        out += bytes(-len(out) % 4)
+    return out
+
+
+def rpm(tags, payload):
+    def header(entries):
+        store, index = b"", b""
+        for tag, value in entries.items():
+            index += struct.pack(">IIII", tag, 6, len(store), 1)
+            store += value.encode() + b"\0"
+        return b"\x8e\xad\xe8\x01\0\0\0\0" + struct.pack(">II", len(entries), len(store)) + index + store
+
+    first = header({1: "sig"})
+    return b"\xed\xab\xee\xdb" + bytes(92) + first + bytes(-(96 + len(first)) % 8) + header(tags) + gzip.compress(payload)
+
+
 def test_files_and_archives(spark, tmp_path):
     put(tmp_path, "in/a.txt", "hello\n")
     put(tmp_path, "in/empty", "")
@@ -120,13 +195,35 @@ def test_files_and_archives(spark, tmp_path):
     ar = b"!<arch>\n" + b"m.o/".ljust(16) + b"0".ljust(12) * 1 + b"0".ljust(6) + b"0".ljust(6) + b"644".ljust(8) + b"6".ljust(10) + b"`\n" + b"hello\n"
     for name, raw in (("x.tgz", tar.getvalue()), ("x.jar", z.getvalue()), ("x.a", ar), ("x.bin", b"nothing")):
         put(tmp_path, f"arch/{name}", raw)
-    rows = {r["path"]: r["blob"] for r in readers.expand_archives(spark, str(tmp_path / "arch")).collect()}
-    assert rows == {"d/a.txt": want, "M/b.txt": want, "m.o": want}
-    note = spark.range(1).select(ident.embedded_note(F.lit(A), F.lit(None).cast("string"))).first()[0]
+    with tarfile.open(fileobj=(data := io.BytesIO()), mode="w:xz") as t:
+        t.addfile(info, io.BytesIO(b"hello\n"))
+    with tarfile.open(fileobj=(control := io.BytesIO()), mode="w:gz") as t:
+        told = b"Package: hi\nVersion: 1-2\nArchitecture: amd64\n"
+        head = tarfile.TarInfo("./control")
+        head.size = len(told)
+        t.addfile(head, io.BytesIO(told))
+    put(tmp_path, "arch/x.deb", b"!<arch>\n" + member(b"debian-binary", b"2.0\n") + member(b"control.tar.gz", control.getvalue()) + member(b"data.tar.xz", data.getvalue()))
+    put(tmp_path, "arch/x.rpm", rpm({1000: "hi", 1001: "1", 1002: "2", 1022: "x86_64", 1044: "hi.src.rpm"}, cpio({"./usr/a": b"hello\n", "./b": b"12345"})))
+    put(tmp_path, "arch/cut.rpm", rpm({1000: "cut"}, cpio({"a": b"hello\n"}))[:-40])
+    rows = readers.expand_archives(spark, str(tmp_path / "arch")).collect()
+    found = {(r["archive"].rsplit("/", 1)[-1], r["path"]): r["blob"] for r in rows if not r["error"]}
+    assert found.pop(("x.rpm", "./b")) == spark.range(1).select(ident.gitoid(F.lit(b"12345"))).first()[0]
+    assert found == {("x.tgz", "d/a.txt"): want, ("x.jar", "M/b.txt"): want, ("x.a", "m.o"): want, ("x.deb", "d/a.txt"): want, ("x.rpm", "./usr/a"): want}
+    assert sorted(r["archive"].rsplit("/", 1)[-1] for r in rows if r["error"]) == ["cut.rpm", "x.bin"]
+    assert len(next(r["blob"] for r in readers.expand_archives(spark, str(tmp_path / "arch"), "*.a", alg="sha256").collect())) == 64
+    heads = {r["path"].rsplit("/", 1)[-1]: tuple(r)[1:] for r in readers.read_package_headers(spark, str(tmp_path / "arch")).filter("path NOT LIKE '%cut%'").collect()}
+    assert heads == {"x.deb": ("deb", "hi", "1-2", "amd64", None), "x.rpm": ("rpm", "hi", "1-2", "x86_64", "hi.src.rpm")}
+    note = spark.range(1).select(ident.embedded_note(F.lit(A), F.lit(None).cast("string"), "OWN")).first()[0]
     put(tmp_path, "elf/x", b"\x7fELF12" + bytes(note) + b"zz")
     put(tmp_path, "elf/y", b"\x7fELF")
-    got = readers.read_embedded_ids(spark, str(tmp_path / "elf"))
-    assert {r["path"][-1]: r["bom_id"] for r in got.collect()} == {"x": A, "y": None}
+    with zipfile.ZipFile(z := io.BytesIO(), "w") as f:
+        f.writestr("META-INF/OWN", f"x {B}\n")
+        f.writestr("M.class", "c")
+    put(tmp_path, "elf/j", z.getvalue())
+    inner = b"\x7fELF12" + bytes(note)
+    put(tmp_path, "elf/a", b"!<arch>\n" + member(b"m.o/", inner) + member(b"n.o/", b"zz"))
+    got = readers.read_embedded_ids(spark, str(tmp_path / "elf"), "OWN").collect()
+    assert {(r["path"][-1], r["member"]): r["bom_id"] for r in got} == {("x", None): A, ("y", None): None, ("j", None): B, ("j", "META-INF/OWN"): B, ("j", "M.class"): None, ("a", None): None, ("a", "m.o"): A, ("a", "n.o"): None}
 
 
 def test_python_imports(spark):
@@ -153,6 +250,14 @@ def test_python_imports(spark):
         ("objcopy", "objcopy -O binary vmlinux bin", ["bin"], ["vmlinux"]),
         ("ranlib", "ranlib libx.a", ["libx.a"], ["libx.a"]),
         ("install", "install -m 644 a b", ["b"], ["a"]),
+        ("install", "install -D -m 644 a s/b dir", ["dir/a", "dir/b"], ["a", "s/b"]),
+        ("install", "install -t dir a", ["dir/a"], ["a"]),
+        ("install", "install -d x y", [], []),
+        ("gcc", "gcc -c a.c src/b.c", ["a.o", "b.o"], ["a.c", "src/b.c"]),
+        ("gcc", "gcc -S a.c", ["a.s"], ["a.c"]),
+        ("gcc", "gcc a.c", ["a.out"], ["a.c"]),
+        ("patch", "patch -p1 -i x.patch", [], ["x.patch"]),
+        ("patch", "patch -p1 -d src < x.patch", [], ["x.patch"]),
         ("patch", "patch -p1 -i fix.patch src/a.c", ["src/a.c"], ["src/a.c", "fix.patch"]),
         ("dpkg-deb", "dpkg-deb -b tree x.deb", ["x.deb"], ["tree"]),
         ("ls", "ls -l", [], []),
@@ -166,13 +271,47 @@ def test_command_lines(prog, argv, outs, ins):
 def test_command_records(spark):
     cmds = spark.createDataFrame([(1, "9", "/w", "", "/usr/bin/gcc", "gcc -o app a.o -L lib -lx"), (2, "9", "/w", "", "/usr/bin/ld", "ld -o app a.o"), (3, "9", "/w", "", "/bin/ls", "ls")], "cmd_id long, pid string, pwd string, rootdir string, prog string, argv string")
     catalog = spark.createDataFrame([("/w/app", A), ("/w/a.o", B), ("/w/lib/libx.so", C)], "path string, blob string")
-    rows = {r["seq"] // 1000: r for r in commands.command_records(cmds, catalog).collect()}
+    rows = {r["seq"] + 1: r for r in commands.command_records(cmds, catalog).collect()}
     assert rows[1]["ignore"] and not rows[2]["ignore"] and len(rows) == 2
     assert [f["path"] for f in rows[1]["dynlibs"]] == ["/w/lib/libx.so"] and [f["blob"] for f in rows[2]["infiles"]] == [B]
     assert commands.watched(cmds, ["/usr/bin/ld", "ls", "-cc"]).count() == 2
     assert commands.read_watch_list("# x\ngcc\n---\nstrip\n===\nconfigure\n+++\nrpmbuild\n") == {"watched": ["gcc"], "pre_exec": ["strip"], "detach": ["configure"], "umbrella": ["rpmbuild"]}
 
 
+COMMAND = "cmd_id long, pid string, pwd string, rootdir string, prog string, argv string"
+
+
+def made(spark, cmds, paths, **options):
+    catalog = spark.createDataFrame([(p, "id " + p) for p in paths], "path string, blob string")
+    records = commands.command_records(spark.createDataFrame(cmds, COMMAND), catalog, **options).collect()
+    return {r["out_path"]: [f["path"] for f in r["infiles"]] for r in sorted(records, key=lambda r: r["seq"])}, records
+
+
+def test_a_command_with_many_outputs(spark):
+    n = 1500
+    words = " ".join(f"C{k}.java" for k in range(n))
+    cmds = [(1, "9", "/w", "", "javac", f"javac {words}"), (2, "9", "/w", "", "gcc", "gcc -c a.c b.c")]
+    paths = [f"/w/C{k}.{e}" for k in range(n) for e in ("java", "class")] + ["/w/a.c", "/w/a.o", "/w/b.c", "/w/b.o", "/w/h.h"]
+    got, records = made(spark, cmds, paths, headers=spark.createDataFrame([(2, "/w/h.h")], "cmd_id long, path string"))
+    assert sorted(r["seq"] for r in records) == list(range(n + 2)) and [r["out_path"] for r in sorted(records, key=lambda r: r["seq"])][-2:] == ["/w/a.o", "/w/b.o"]
+    assert got["/w/a.o"] == ["/w/a.c", "/w/h.h"] and got["/w/b.o"] == ["/w/b.c", "/w/h.h"] and got["/w/C7.class"] == ["/w/C7.java"]
+    assert [f["pos"] for r in records if r["out_path"] == "/w/a.o" for f in r["infiles"]] == [0, 1]
+
+
+def test_files_that_other_files_tell(spark):
+    cmds = [(1, "9", "/w", "", "patch", "patch -p1 -d src -i ../x.patch"), (2, "9", "/w", "", "/go/compile", "compile -o p.a -importcfg cfg a.go"), (3, "9", "/w", "", "gcc", "gcc @args -o app"), (4, "9", "/w", "", "patch", "patch < x.patch")]
+    frame = spark.createDataFrame(cmds, COMMAND)
+    patches = spark.createDataFrame([("/x.patch", ["never"]), ("/w/x.patch", ["a/lib/f.c", "a/g.c"])], "file string, targets array<string>")
+    frame = frame.withColumn("argv", F.replace("argv", F.lit("../x"), F.lit("x")))
+    tables = spark.createDataFrame([("/w/cfg", "# import config\npackagefile fmt=/go/fmt.a\npackagefile os=/go/os.a\n")], "file string, text string")
+    frame = commands.with_responses(frame, spark.createDataFrame([("/w/args", "-O2\nm.c  n.c\n")], "path string, text string"))
+    assert frame.filter("cmd_id = 3").first()["argv"] == "gcc -O2 m.c  n.c -o app"
+    listed = commands.patched_files(frame, patches).unionByName(commands.imported_files(frame, tables))
+    paths = ["/w/src/lib/f.c", "/w/src/g.c", "/w/f.c", "/w/x.patch", "/w/p.a", "/w/a.go", "/go/fmt.a", "/go/os.a", "/w/app", "/w/m.c", "/w/n.c"]
+    got, _ = made(spark, [tuple(r) for r in frame.select(*[c.split()[0] for c in COMMAND.split(", ")]).collect()], paths, listed=listed)
+    assert got == {"/w/src/lib/f.c": ["/w/src/lib/f.c", "/w/x.patch", "/w/src/g.c"], "/w/src/g.c": ["/w/src/lib/f.c", "/w/x.patch", "/w/src/g.c"], "/w/f.c": ["/w/f.c", "/w/x.patch"], "/w/p.a": ["/w/a.go", "/go/fmt.a", "/go/os.a"], "/w/app": ["/w/m.c", "/w/n.c"]}
+
+
 def test_printed_tool_output(spark, tmp_path):
     cache = "/lib64: (from /etc/ld.so.conf)\n\tlibz.so.1 -> libz.so.1.2.11\n/usr/lib:\n\tliby.so -> liby.so.2\n"
     assert {tuple(r) for r in readers.read_library_cache(spark, put(tmp_path, "cache", cache)).collect()} == {("libz.so.1", "/lib64/libz.so.1.2.11"), ("liby.so", "/usr/lib/liby.so.2")}
@@ -184,8 +323,6 @@ def test_printed_tool_output(spark, tmp_path):
 
 
 def test_class_files(spark):
-    import struct
-
     names = ["x/Main", "java/lang/Object", "SourceFile", "Main.java"]
     pool = b"".join(b"\x01" + struct.pack(">H", len(n)) + n.encode() for n in names) + b"\x07\0\x01" + b"\x07\0\x02"
     raw = b"\xca\xfe\xba\xbe\0\0\0\x34" + struct.pack(">H", 7) + pool + struct.pack(">HHHHHH", 1, 5, 6, 0, 0, 0) + struct.pack(">HHIH", 1, 3, 2, 4)

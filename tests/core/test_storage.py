@@ -71,3 +71,9 @@ def test_join_counted(spark):
     for most in (1, 3, 1000):
         got = storage.join_counted(rows, counted, "key", "count", most=most).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(counted, "key").collect())) and len(got) == 500
+
+
+def test_numbered(spark):
+    names = [(f"n{k:03d}", k % 3) for k in range(50)] + [("é", 0), ("Z", 0), ("", 0), ("n001", 9)]
+    got = storage.numbered(spark.createDataFrame(names, "name string, k int").repartition(3), ["name", "k"]).collect()
+    assert [(r["name"], r["k"]) for r in sorted(got, key=lambda r: r["nth"])] == sorted(names) and sorted(r["nth"] for r in got) == list(range(54))
