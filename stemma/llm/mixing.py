@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.sharding import row_hash, source_key
-from stemma.plans.storage import broadcast_if_small, materialise
+from stemma.plans.storage import broadcast_if_small, materialise, numbered
 
 #: ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,18 +55,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def numbered(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``nth``, their place by ``column`` from 0: counted inside ranges, whose own sums go before."""
-    ranged = rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("range", F.spark_partition_id())
-    ranged = materialise(ranged, "ranges")
-    # One row for each range.
-    ends = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1
-    return ranged.withColumn("inside", inside).join(F.broadcast(starts), "range").withColumn("nth", F.col("start") + F.col("inside")).drop("range", "inside", "start")
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(src, source_size, target) from (src, source_size).
 
@@ -75,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     are set aside and the level rises, until it fills no more.
     """
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = numbered(sizes, "src").select(
+    weighed = numbered(sizes, ["src"]).select(
         "src", "source_size", F.element_at(listed, (F.col("nth") % len(weights) + 1).cast("int")).alias("weight"), (F.col("source_size") * most).cast("double").alias("cap")
     )
     weighed = materialise(weighed, "weights")

@@ -125,12 +125,6 @@ def test_rates_are_the_balanced_ones(spark):
     assert abs((size * rate * z).sum() + mixing.RIDGE * sum(target.values()) * slopes[0]) < 1e-6 * size.sum()
 
 
-def test_numbered(spark):
-    names = [f"n{k:03d}" for k in range(50)] + ["é", "Z", ""]
-    got = mixing.numbered(spark.createDataFrame([(n,) for n in names], "src string").repartition(3), "src").collect()
-    assert [r["src"] for r in sorted(got, key=lambda r: r["nth"])] == sorted(names) and sorted(r["nth"] for r in got) == list(range(53))
-
-
 def test_many_rows_without_an_id(spark):
     rows = [(None, f"t{k} " * 4, "s1") for k in range(300)] + [(7, f"u{k} " * 4, "s1") for k in range(100)]
     got = mixing.mix(docs(spark, rows)).collect()
