@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.words import gram_hashes, word_hashes, words
-from stemma.plans.storage import discard, materialise, small_batches
+from stemma.plans.storage import discard, join_counted, materialise, small_batches
 
 #: Words of the shortest passage, of a suffix's head and of the grams that select positions.
 LEAST, HEAD, GRAM = 50, 10, 8
@@ -169,24 +169,37 @@ def _neighbours(batches):
     yield from out
 
 
+def _told(ends: dict[bytes, int]):
+    """Rows that have their first document, and rows of the keys that ``ends`` has; the key goes."""
+
+    def run(batches):
+        for batch in batches:
+            keys, places, firsts = batch.column(0), batch.column(2), batch.column(batch.num_columns - 1)
+            if keys.null_count < len(keys):
+                firsts = pa.array([f if k is None else ends.get(k) for k, f in zip(keys.to_pylist(), firsts.to_pylist(), strict=True)], pa.int64())
+            kept = pc.and_(firsts.is_valid(), pc.greater_equal(places, 0))
+            yield pa.RecordBatch.from_arrays([*(c.filter(kept) for c in batch.columns[1:-1]), firsts.filter(kept)], batch.schema.names[1:])
+
+    return run
+
+
 def in_several(rows: DataFrame, tag: str) -> DataFrame:
     """The rows (key, row_id, pos, ...) whose key stands in more than one document, with ``first_id`` in place of the key."""
     fields = [f"{name} {kind}" for name, kind in rows.dtypes]
     ranged = rows.repartitionByRange("key", "row_id", "pos").sortWithinPartitions("key", "row_id", "pos")
     found = materialise(ranged.mapInArrow(_neighbours, ", ".join([*fields, "first_id bigint"])), tag)
-    cut = found.filter("key IS NOT NULL")
-    # Keys at the ends of ranges: two for each task of the sort at most.
-    ends = cut.groupBy("key").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").drop("last")
-    joined = cut.filter("pos >= 0").join(F.broadcast(ends), "key").withColumn("first_id", F.col("first"))
-    return found.filter("key IS NULL").drop("key").unionByName(joined.drop("key", "first"))
+    # Keys at the ends of ranges: two for each task of the sort at most, whatever the input.
+    cut = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    ends = {bytes(r["key"]): r["first"] for r in cut.filter("first <> last").collect()}
+    return found.mapInArrow(_told(ends), ", ".join([*fields[1:], "first_id bigint"]))
 
 
 def _copies(marks: DataFrame, several: DataFrame) -> DataFrame:
     """(row_id, rep, n_words) of texts that a smaller id has too; ids of several rows are left to the general way."""
-    classes = marks.groupBy("digest").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).filter("rep <> last").drop("last")
-    members = marks.join(classes, "digest").filter("row_id <> rep").select("row_id", "rep", "n_words")
-    alone = members.join(several, "row_id", "left_anti").join(several.withColumnRenamed("row_id", "rep"), "rep", "left_anti")
-    return materialise(alone.select("row_id", "rep", "n_words"), "copies")
+    classes = marks.groupBy("digest").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("rep <> last")
+    classes = materialise(classes.select("digest", "rep", "n").join(several.withColumnRenamed("row_id", "rep"), "rep", "left_anti"), "classes")
+    members = join_counted(marks, classes, "digest", "n").filter("row_id <> rep")
+    return materialise(members.join(several, "row_id", "left_anti").select("row_id", "rep", "n_words"), "copies")
 
 
 def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +237,8 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     several = materialise(texts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_id"), "several")
     suffixes = materialise(texts.mapInArrow(_suffixes, "key binary, row_id long, pos int"), "suffixes")
-    copies = _copies(suffixes.filter("pos < 0").select("row_id", F.col("key").alias("digest"), (-F.col("pos")).alias("n_words")), several)
+    marks = materialise(suffixes.filter("pos < 0").select("row_id", F.col("key").alias("digest"), (-F.col("pos")).alias("n_words")), "marks")
+    copies = _copies(marks, several)
     hits = in_several(suffixes.filter("pos >= 0"), "heads")
     wanted = hits.groupBy("row_id").agg(F.collect_set("pos").alias("hits")).join(copies, "row_id", "left_anti")
     wanted = materialise(wanted.join(several.withColumn("tagged", F.lit(True)), "row_id", "left").select("row_id", "hits", F.col("tagged").isNotNull().alias("tagged")), "hits")
@@ -244,10 +258,12 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).drop("span")
     spans = materialise(spans, "spans")
     discard(rows)
-    reps = copies.groupBy("rep").agg(F.max("n_words").alias("n_words"))
-    firsts = spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi").groupBy(F.col("row_id").alias("rep")).agg(F.min("first_id").alias("first_id"))
-    whole = reps.select("rep", F.col("rep").alias("row_id"), "n_words").unionByName(copies.select("rep", "row_id", "n_words")).join(firsts, "rep", "left")
-    whole = whole.select("row_id", F.lit(0).cast("long").alias("text_tag"), F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("n_words"), F.least("rep", "first_id").alias("first_id"))
+    reps = copies.groupBy(F.col("rep").alias("row_id")).agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
+    firsts = spans.join(reps.select("row_id"), "row_id", "left_semi").groupBy("row_id").agg(F.min("first_id").alias("first_id"))
+    reps = reps.join(firsts, "row_id", "left").select(F.col("row_id").alias("rep"), F.least("row_id", "first_id").alias("first_id"), "n_words", "n")
+    reps = materialise(reps, "reps")
+    span = [F.lit(0).cast("long").alias("text_tag"), F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("n_words"), "first_id"]
+    whole = reps.select(F.col("rep").alias("row_id"), *span).unionByName(join_counted(copies.drop("n_words"), reps, "rep", "n").select("row_id", *span))
     return spans.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_anti").unionByName(whole)
 
 
