@@ -43,15 +43,21 @@ def needed_libraries(elf: DataFrame, lib: DataFrame) -> DataFrame:
     ``elf(path, bits, needed, rpath)``, ``lib(bits, soname, path, prio)`` with
     the base map at priority 0; a run path is searched in its order.
     """
-    need = elf.select("path", "bits", "rpath", F.explode("needed").alias("soname")).distinct()
+    need = elf.select("path", "bits", F.explode("needed").alias("soname")).distinct()
     mapped = lib.groupBy("bits", "soname").agg(F.min_by("path", "prio").alias("mapped"))
-    where = lib.select("bits", "soname", F.col("path").alias("lib_path"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
-    tried = need.select("path", "bits", "soname", F.posexplode("rpath").alias("pos", "folder")).join(where, ["bits", "soname", "folder"])
-    own = tried.groupBy("path", "soname").agg(F.min_by("lib_path", "pos").alias("own"))
+    own = searched_libraries(elf, lib).withColumnRenamed("lib_path", "own")
     joined = need.join(mapped, ["bits", "soname"], "left").join(own, ["path", "soname"], "left")
     return joined.select("path", "soname", F.coalesce("mapped", "own").alias("lib_path")).filter("lib_path IS NOT NULL").distinct()
 
 
+def searched_libraries(elf: DataFrame, lib: DataFrame) -> DataFrame:
+    """(path, soname, lib_path) of what lies on each file's own run paths, the first of them."""
+    need = elf.select("path", "bits", "rpath", F.explode("needed").alias("soname")).distinct()
+    where = lib.select("bits", "soname", F.col("path").alias("lib_path"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    tried = need.select("path", "bits", "soname", F.posexplode("rpath").alias("pos", "folder")).join(where, ["bits", "soname", "folder"])
+    return tried.groupBy("path", "soname").agg(F.min_by("lib_path", "pos").alias("lib_path"))
+
+
 def library_closure(elf: DataFrame, lib: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, blob, depth): all libraries that files need, their libraries included; ``blob`` is a path."""
     links = needed_libraries(elf, lib).select(F.col("path").alias("out_blob"), F.col("lib_path").alias("in_blob"))

@@ -127,13 +127,6 @@ def merkle_pruned(spark, sf_dir):
     return _ids(merkle.identify(graph, merkle.prune(wanted.limit(0), graph, wanted)))
 
 
-@query(_MERKLE_SQL.format(bare="b.bom", reuse=_doc_sql(_FULL_LINE)))
-def merkle_unpruned(spark, sf_dir):
-    graph = _graph(spark, sf_dir)
-    marks = _t(spark, sf_dir, "orders").select(_named("order", "o_orderkey").alias("blob"))
-    return _ids(merkle.identify(graph, merkle.unprune(marks, marks), reuse_unary=False))
-
-
 @query(_MERKLE_SQL.format(bare="b.bom", reuse=_doc_sql(_FULL_LINE)))
 def merkle_log_order(spark, sf_dir):
     """A log that builds every order before any customer: its ids are those of the whole graph."""
@@ -513,12 +506,6 @@ def pkg_fold_priority(spark, sf_dir):
     return packages.owner_of_blob(_pkg_blob(spark, sf_dir), pkg)
 
 
-@query("SELECT source AS pkg_key, count(*) AS n FROM (SELECT DISTINCT source, text, lang || '/' || doc_id FROM documents) GROUP BY source")
-def pkg_merge(spark, sf_dir):
-    index = _pkg_blob(spark, sf_dir)
-    return packages.merged(index, index).groupBy("pkg_key").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 40 OFFSET 25")
 def limit_offset_packages(spark, sf_dir):
     return packages.page(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), [F.col("c_name"), F.col("c_custkey")], 25, 40)
@@ -595,7 +582,7 @@ def metadata_fallback(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT min(page_id) AS rep, url FROM pages GROUP BY url), boms AS (SELECT 'd' || doc_id AS blob, 'bom ' || (doc_id % 100) AS bom FROM documents)
+    """WITH boms AS (SELECT 'd' || doc_id AS blob, 'bom ' || (doc_id % 100) AS bom FROM documents)
     SELECT lang AS root, count(*) AS n FROM (SELECT DISTINCT r.lang, b.blob FROM (SELECT DISTINCT lang, 'bom ' || (doc_id % 100) AS bom FROM documents WHERE n_chars > 6000) r JOIN boms b ON b.bom = r.bom) GROUP BY lang"""
 )
 def same_bom_blobs(spark, sf_dir):
@@ -628,24 +615,6 @@ def incarnations(spark, sf_dir):
     return processes.incarnations(_t(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("user_id").alias("pid"), F.col("event_type").alias("parent")))
 
 
-_SIMILAR = """list_sum(list_transform(range(1, least(len({a}), len({b})) + 1), lambda k: CASE WHEN {a}[1:k] = {b}[1:k] THEN 1 ELSE 0 END))"""
-
-
-@query(
-    f"""WITH p AS (SELECT page_id, url, string_split(url, '/') AS u FROM pages), k AS (SELECT *, regexp_extract(url, '/([0-9]+)', 1) AS base, list_reverse(u[1:len(u) - 1]) AS f FROM p WHERE regexp_matches(url, '/[0-9]+')),
-    s AS (SELECT a.url AS path, b.url AS match, b.page_id AS ord, coalesce({_SIMILAR.format(a='a.u', b='b.u')}, 0) + coalesce({_SIMILAR.format(a='a.f', b='b.f')}, 0) AS score FROM (SELECT DISTINCT url, u, f, base FROM k) a JOIN k b ON a.base = b.base AND a.url <> b.url),
-    r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, ord) AS n FROM s WHERE score >= 3)
-    SELECT path, match, CAST(score AS INTEGER) AS score FROM r WHERE n = 1"""
-)
-def path_similarity_top1(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_extract("url", "/([0-9]+)", 1).alias("base"), F.col("page_id").alias("ord")).filter("base <> ''")
-    pairs = pages.select("path", "base").distinct()
-    # A page is no match of itself.
-    others = pages.select(F.col("path").alias("match"), "base", "ord")
-    rated = pairs.join(others, "base").filter("path <> match").withColumn("score", text.path_similarity(F.col("path"), F.col("match"))).filter("score >= 3")
-    return dag.first_of_each(rated, ["path"], [F.desc("score"), F.col("ord")]).select("path", "match", "score")
-
-
 @query("SELECT 'd' || a.doc_id AS path, 'w' || min(b.doc_id) AS match FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id % 50 = b.doc_id % 50 GROUP BY a.doc_id")
 def same_content(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", ident.gitoid_of_text(F.col("text")).alias("blob"), (F.col("doc_id") % 50).cast("string").alias("name"))
@@ -726,14 +695,6 @@ def sbom_insert_ref(spark, sf_dir):
     return spdx.insert_ref_tag_value(docs, force=True).withColumnRenamed("doc", "doc_id")
 
 
-@query("SELECT 'SPDXRef-Package-' || substr(sha256('pkg ' || source), 1, 16) AS spdx_id, count(*) AS n FROM documents GROUP BY source")
-def spdx_package_ids(spark, sf_dir):
-    rows = packages.sbom_groups(_doc_nodes(spark, sf_dir).select(F.col("lang").alias("root"), "blob"), _doc_nodes(spark, sf_dir)).limit(0)
-    d = _t(spark, sf_dir, "documents").withColumn("pkg_key", F.concat(F.lit("pkg "), "source"))
-    ids = spdx.reuse_existing(spdx.wanted_packages(d.select("pkg_key").distinct()), rows.select(F.col("pkg_key").alias("file_name"), F.lit("x").alias("spdx_id")))
-    return d.join(ids, "pkg_key").groupBy("spdx_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_EDGES_SQL} SELECT e.out_blob, 'b ' || count(*) AS n_inputs FROM order_edges e GROUP BY e.out_blob")
 def rawlog_round_trip(spark, sf_dir):
     """Orders as build records, written as log text and parsed again."""
@@ -765,19 +726,7 @@ def bare_and_restored_docs(spark, sf_dir):
     return again.select("blob", ident.gitoid_of_text(F.col("doc")).alias("bom_id"))
 
 
-@query(f"WITH {_EDGES_SQL}, pairs AS (SELECT out_blob, in_blob, CASE WHEN o % 2 = 0 THEN 1 ELSE 2 END AS g FROM order_edges) SELECT out_blob, count(*) AS n FROM pairs GROUP BY out_blob")
-def graft_graphs(spark, sf_dir):
-    edge = _order_edges(spark, sf_dir)
-    return merkle.graft([edge, edge.limit(0), edge]).groupBy("out_blob").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT CAST(NULL AS VARCHAR) AS blob WHERE false")
-def cycles(spark, sf_dir):
-    """A graph of builds has none."""
-    return closure.cyclic(_region_graph(spark, sf_dir))
-
-
-@query("SELECT c_custkey AS cmd_id, 'cc' AS family, '/w/' || c_mktsegment || '/o' || c_custkey || '.o' AS out_path, 1 AS n_inputs FROM customer")
+@query("SELECT c_custkey AS cmd_id, '/w/' || c_mktsegment || '/o' || c_custkey || '.o' AS out_path, 1 AS n_inputs FROM customer")
 def command_records(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
@@ -787,7 +736,7 @@ def command_records(spark, sf_dir):
     )
     catalog = c.select(F.concat(F.lit("/w/"), "c_mktsegment", F.lit("/o"), key, F.lit(".o")).alias("path"), F.concat(F.lit("o"), key).alias("blob")).union(c.select(F.concat(F.lit("/w/src/f"), key, F.lit(".c")), F.concat(F.lit("s"), key)))
     made = commands.command_records(cmds, catalog)
-    return made.select(F.expr("seq div 1000").alias("cmd_id"), F.lit("cc").alias("family"), "out_path", F.size("infiles").alias("n_inputs"))
+    return made.select(F.regexp_extract("out_path", r"/o(\d+)\.o$", 1).cast("long").alias("cmd_id"), "out_path", F.size("infiles").alias("n_inputs"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -812,3 +761,7 @@ def bom_history(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which identifiers the customers' artifacts get from their orders' inputs."""
     return merkle_customer(spark, sf_dir)
+
+
+# Further queries register themselves here.
+from stemma.plans import exchange, graphs  # noqa: E402,F401

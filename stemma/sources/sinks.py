@@ -32,9 +32,11 @@ def cve_json(status: DataFrame) -> DataFrame:
     return wide.select("blob", F.to_json(F.struct("file_path", *lists)).alias("json"))
 
 
-def write_json_db(entries: DataFrame, path: str, *, key: str = "blob") -> None:
+def write_json_db(entries: DataFrame, path: str, *, key: str = "blob", parts: int | None = None) -> None:
     """One JSON object ``{key: entry}`` as part files in key order; the parts, one after another, are the whole text.
 
+    With ``parts=1`` it is one file, for tools that read a small table whole.
+
     Each row is one line ``"key": entry`` and only the first carries the
     opening and only the last the closing brace.  An empty table is ``{}``.
     """
@@ -44,7 +46,8 @@ def write_json_db(entries: DataFrame, path: str, *, key: str = "blob") -> None:
         return
     pair = F.to_json(F.struct(F.col(key).alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(key).alias("k")))) - 6)
     line = F.concat(F.when(F.col(key) == first, F.lit("{")).otherwise(F.lit("")), pair, F.lit(": "), F.col("json"), F.when(F.col(key) == last, F.lit("}")).otherwise(F.lit(",")))
-    entries.repartitionByRange(key).sortWithinPartitions(key).select(line.alias("value")).write.text(path)
+    dealt = entries.repartitionByRange(parts, key) if parts else entries.repartitionByRange(key)
+    dealt.sortWithinPartitions(key).select(line.alias("value")).write.text(path)
 
 
 def write_doc_store(docs: DataFrame, path: str) -> None:
