@@ -15,32 +15,73 @@ from stemma.llm.queries import tokenizer_path
 from stemma.plans.storage import materialise, read_table
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of an operator's own ``names`` renamed, and what they were called."""
+    taken, moved = set(docs.columns), {}
+    for name in names:
+        if name in taken:
+            other = f"own_{name}"
+            while other in taken:
+                other += "_"
+            moved[other] = name
+            taken.add(other)
+    for other, name in moved.items():
+        docs = docs.withColumnRenamed(name, other)
+    return docs, moved
+
+
+def _back(result: DataFrame, columns: list[str], moved: dict[str, str]) -> DataFrame:
+    """The columns that the stage's input had, under their names."""
+    own = {name: other for other, name in moved.items()}
+    return result.select(*[F.col(own.get(c, c)).alias(c) for c in columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the table ``labels``, accepts."""
-    return quality.classify(docs, read_table(spark, sf_dir, "labels")).filter("accepted").select(*docs.columns)
+    """Documents that the quality classifier, trained on the table ``labels``, accepts.
+
+    Null and empty texts have no evidence and go by their site; copies are
+    judged alike; without labels of both kinds all documents stay.  Columns
+    named like the classifier's own keep their values.
+    """
+    plain, moved = _aside(docs, ("evidence", "site_rate", "posterior", "accepted"))
+    return _back(quality.classify(plain, read_table(spark, sf_dir, "labels")).filter("accepted"), docs.columns, moved)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that many sources repeat; documents of nothing but such lines go."""
-    cleaned = line_dedup.dedup_lines(docs.drop("n_lines", "removed_lines"))
+    """Texts without lines that many sources repeat; documents of nothing but such lines go.
+
+    Null and empty texts stay as they are; ``n_chars`` follows a text that
+    changed; of rows without an id none is a line's first.  Columns named like
+    the operator's own keep their values.
+    """
+    plain, moved = _aside(docs, ("n_lines", "removed_lines"))
+    cleaned = line_dedup.dedup_lines(plain)
     left = cleaned.filter((F.col("removed_lines") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     sized = left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return sized.select(*docs.columns)
+    return _back(sized, docs.columns, moved)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Null and empty texts are near nothing and stay, as do rows without an id;
+    rows that repeat an id are one document, and stay or go together.
+    """
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("row_id").alias("__np_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__np_id")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, to the nearest whole copy."""
+    """Documents as often as the mixture takes them, to the nearest whole copy.
+
+    Null and blank texts have no words and are not taken; a null source is one
+    of its own.
+    """
     return mixing.take_copies(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in windows of 2048 ids."""
+    """Pieces of documents and their places in windows of 2048 ids; a null or empty text is its end id alone."""
     packed = packing.pack(docs, tokenizer_path())
     return packed.select(F.col("row_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
