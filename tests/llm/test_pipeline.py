@@ -147,3 +147,25 @@ def test_stages_take_nulls(spark, stages):
     for _, stage in cp.STAGES[:3]:
         assert stage(spark, odd, folder).count() >= 3
     assert cp.mix_sources(spark, odd, folder).count() >= 1 and cp.pack_windows(spark, odd, folder).count() == 4
+
+
+def test_columns_named_like_an_operators_own_keep_their_values(spark, stages):
+    folder, _, frames = stages
+    names = ["evidence", "accepted", "n_lines", "removed_lines", "posterior", "site_rate", "own_n_lines", "taken", "row_id", "h", "size"]
+    clashing = frames[0].select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, clashing, folder)
+        assert out.columns == clashing.columns
+        assert out.filter(" OR ".join(f"{n} <> concat('{n} ', doc_id)" for n in names)).count() == 0 < out.count()
+
+
+def test_long_texts_go_through_all_stages(spark, stages, tmp_path):
+    folder, _, frames = stages
+    rng = random.Random(3)
+    long = "\n".join(" ".join(rng.choices([f"word{k}" for k in range(800)], k=30)) for _ in range(1500))
+    docs = frames[0].unionByName(spark.createDataFrame([(9000, long, "en", "site1", len(long)), (9001, long + " end", "en", "site2", len(long) + 4)], SCHEMA))
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, folder)
+        docs.write.mode("overwrite").parquet(str(tmp_path / f"{_}"))
+        docs = spark.read.parquet(str(tmp_path / f"{_}"))
+    assert [(r["doc_id"], r["text"]) for r in docs.filter("doc_id >= 9000").distinct().collect()] in ([(9000, long)], [])
