@@ -204,6 +204,29 @@ WITH RECURSIVE docs AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(copies * size + sign(missing) * greatest(0, least(room, abs(missing) - passed)) AS BIGINT) AS taken
 FROM placed
+""",
+    "op7_shards": r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))
+), docs AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS src, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+         md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS h,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+  FROM documents
+), summed AS (
+  SELECT doc_id, src, size, h, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM docs, crc_table
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY src ORDER BY h, crc, size, doc_id)
+             - (CAST('0x' || substr(md5('7|' || src), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY src) AS frac
+  FROM summed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY frac, src, h, crc, size, doc_id) - 1 AS place, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(place * 8 // n AS INTEGER) AS shard,
+       place - (place * 8 // n * n + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
 """,
     "op9_near_dedup": r"""
 WITH RECURSIVE split AS (
