@@ -160,8 +160,9 @@ def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compared(by_signature: bool):
     """Pairs in a run of equal keys, from different components, whose sizes and sketches may be similar enough.
 
-    Rows come sorted by key.  In a bucket of which this task has the blocks
-    ``side`` and another, only pairs across them count.  With ``by_signature``
+    Rows come sorted by key and size, so a row's partners end where the sizes
+    are too far apart.  In a bucket of which this task has the blocks ``side``
+    and another, only pairs across them count.  With ``by_signature``
     the keys are those of ``keys``, and a pair counts under its first one;
     otherwise they are shingles, of which ``own`` lists those of a class.
     """
@@ -185,8 +186,11 @@ def _compared(by_signature: bool):
             if not len(i):
                 break
             j = i + d
-            size_i, size_j = x["n_shingles"][i], x["n_shingles"][j]
-            may = (x["root"][i] != x["root"][j]) & (100 * np.minimum(size_i, size_j) >= PERCENT * np.maximum(size_i, size_j)) & (~x["cross"][i] | (x["side"][i] != x["side"][j]))
+            close = 100 * x["n_shingles"][i] >= PERCENT * x["n_shingles"][j]
+            i, j = i[close], j[close]
+            if not len(i):
+                break
+            may = (x["root"][i] != x["root"][j]) & (~x["cross"][i] | (x["side"][i] != x["side"][j]))
             i, j = i[may], j[may]
             odd = np.bitwise_count(x["odd"][i] ^ x["odd"][j]).sum(axis=1, dtype=np.int64) <= odd_limit(x["n_shingles"][i] + x["n_shingles"][j])
             i, j = i[odd], j[odd]
@@ -212,7 +216,7 @@ def _compared(by_signature: bool):
             if not by_signature:
                 rows["shingle"] = batch.column(len(names) + 1).to_numpy()
                 rows["own"] = np.empty(batch.num_rows, object)
-                rows["own"][:] = [None if v is None else np.frombuffer(v, ">i8") for v in batch.column(len(names) + 2).to_pylist()]
+                rows["own"][:] = [v.values.to_numpy() if v.is_valid else None for v in batch.column(len(names) + 2)]
             held = rows if held is None else {n: np.concatenate([held[n], v]) for n, v in rows.items()}
             last = int(np.searchsorted(held["key"], held["key"][-1]))  # where the run that may go on begins
             if last:
@@ -225,7 +229,7 @@ def _compared(by_signature: bool):
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame, by_signature: bool) -> DataFrame:
-    """Distinct (a, b) from buckets (key, rep, root, n) by comparing signatures inside each; shingles also have ``own``."""
+    """Distinct (a, b) from buckets (key, rep, root, n) by comparing signatures inside each; classes of shingle lists also have ``own``."""
     more = [] if by_signature else ["shingle", "own"]
     buckets = buckets if by_signature else buckets.withColumn("shingle", F.col("key"))
     dealt = buckets.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")))
@@ -234,7 +238,7 @@ def _candidates(buckets: DataFrame, classes: DataFrame, by_signature: bool) -> D
         "key", F.when(F.col("parts") > 1, F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("key"))
     )
     full = dealt.join(classes, "rep").select("key", "rep", "root", "n_shingles", "cross", "side", "sig", *more)
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(by_signature), "a long, b long").distinct()
+    return full.repartition("key").sortWithinPartitions("key", "n_shingles").mapInArrow(_compared(by_signature), "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -282,7 +286,7 @@ def _summed(batches):
 
 
 def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, rep, own): the first quarter and one of each class's shingles, the rarest first, and all of these as bytes.
+    """(rep, front): the first quarter and one of each class's shingles in the order of rarity, as one sorted list.
 
     Shingles that no other class has are left out: they are nobody's partner.
     """
@@ -297,7 +301,7 @@ def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
 
     def fronts(batches):
         for batch in batches:
-            reps, found, packed = [], [np.zeros(0, np.int64)], []
+            reps, found = [], []
             for rep, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = np.frombuffer(own.as_py(), np.uint64)
                 if not len(grams):
@@ -305,13 +309,13 @@ def _prefixes(hot: DataFrame, texts: DataFrame) -> DataFrame:
                 rarity = table[_cells(grams)]
                 # Sets of similarity p share a shingle among the first n - ceil(p * n) + 1 of either in a common order.
                 first = np.lexsort((grams, rarity))[: len(grams) - -(-len(grams) * PERCENT // 100) + 1]
-                front = np.sort(grams[first[rarity[first] > 1]]).view(np.int64)
-                reps.append(np.full(len(front), rep))
-                found.append(front)
-                packed += [front.astype(">i8").tobytes() if len(front) <= LISTED else None] * len(front)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *reps])), pa.array(np.concatenate(found)), pa.array(packed, pa.binary())], ["rep", "key", "own"])
+                reps.append(rep)
+                found.append(np.sort(grams[first[rarity[first] > 1]].view(np.int64)))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), lists], ["rep", "front"])
 
-    return sets.mapInArrow(fronts, "rep long, key long, own binary")
+    return sets.mapInArrow(fronts, "rep long, front array<long>")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,9 +348,11 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = _candidates(mixed.filter(F.col("n") <= BUCKET), classes, by_signature=True)
     hot = materialise(mixed.filter(F.col("n") > BUCKET).select("rep").distinct(), "hot")
     if not hot.isEmpty():
-        prefixes = materialise(_prefixes(hot, texts), "prefixes")
+        fronts = materialise(_prefixes(hot, texts), "fronts")
+        prefixes = fronts.select("rep", F.explode("front").alias("key"))
         lists = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        near = near.unionByName(_candidates(_mixed(prefixes.join(lists, "key"), roots), classes, by_signature=False)).distinct()
+        listed = classes.join(fronts.select("rep", F.when(F.size("front") <= LISTED, F.col("front")).alias("own")), "rep")
+        near = near.unionByName(_candidates(_mixed(prefixes.join(lists, "key"), roots), listed, by_signature=False)).distinct()
     more = _confirm(near, texts, members)
     if not more.isEmpty():
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
