@@ -80,6 +80,20 @@ def _note_head(owner: str, size: int, tag: int) -> str:
     return (head + name + bytes(-len(name) % 4)).hex()
 
 
+def packed(text: Column) -> Column:
+    """An identifier as bytes, for tables that are dealt or kept: half as long where it is lower-case hex, and itself otherwise.
+
+    A leading byte tells which, so ``unpacked`` gives back any text.
+    """
+    raw = F.unhex(text)
+    return F.when(F.lower(F.hex(raw)) == text, F.concat(F.unhex(F.lit("00")), raw)).otherwise(F.concat(F.unhex(F.lit("01")), text.cast("binary")))
+
+
+def unpacked(value: Column) -> Column:
+    rest = F.substring(value, F.lit(2), F.octet_length(value))
+    return F.when(F.substring(value, F.lit(1), F.lit(1)) == F.unhex(F.lit("00")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def embedded_note(sha1_bom: Column, sha256_bom: Column, owner: str) -> Column:
     """The payload of an object file's note section of ``owner``: one entry for each algorithm that has an id."""
 

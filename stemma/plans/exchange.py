@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stemma.functions import ident, text
 from stemma.operators import cvedb, dag, matching, merkle, processes
 from stemma.plans.queries import _EDGES_SQL, _g, _gt, _named, _order_edges, _part_status, _t, query
-from stemma.plans.storage import materialise, scratch
+from stemma.plans.storage import lean_writes, materialise, scratch
 from stemma.sources import commands, rawlog, readers, sinks
 from stemma.streaming import pipelines
 
@@ -49,13 +49,18 @@ def _tail(c: str, sep: str = "/"):
 # ---- logs
 
 
-def _records(spark, sf_dir) -> DataFrame:
+def _records(spark, sf_dir, *, in_order: bool = False) -> DataFrame:
     """Orders as build records: parts are inputs, even ones carry a hint, and suppliers are libraries."""
     none = F.array().cast("array<string>")
-    hint = lambda r: F.when(F.col("l_partkey") % 5 == r, F.array(_c("CVE-2020-", F.col("l_partkey") % 50 + 1000))).otherwise(none)
-    infile = F.struct(F.col("l_partkey").cast("int").alias("pos"), _named("part", "l_partkey").alias("blob"), _c("/src/a b/p", F.col("l_partkey"), ".c").alias("path"), hint(0).alias("has_cve"), hint(1).alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg"))
-    dynlib = F.struct(F.col("l_suppkey").cast("int").alias("pos"), _named("supplier", "l_suppkey").alias("blob"), _c("/lib/s", F.col("l_suppkey"), ".so").alias("path"))
-    own = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(infile)).alias("infiles"), F.array_sort(F.collect_set(dynlib)).alias("dynlibs"))
+    hint = lambda k, r: F.when(k % 5 == r, F.array(_c("CVE-2020-", k % 50 + 1000))).otherwise(none)
+    infile = lambda k: F.struct(k.cast("int").alias("pos"), _named("part", k.cast("string")).alias("blob"), _c("/src/a b/p", k, ".c").alias("path"), hint(k, 0).alias("has_cve"), hint(k, 1).alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg"))
+    dynlib = lambda k: F.struct(k.cast("int").alias("pos"), _named("supplier", k.cast("string")).alias("blob"), _c("/lib/s", k, ".so").alias("path"))
+    # Only keys are dealt; what is made of them is made where it is used.
+    keys = lambda c: F.array_sort(F.collect_set(F.struct(F.col(c).alias("k"))))
+    own = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(keys("l_partkey").alias("parts"), keys("l_suppkey").alias("suppliers"))
+    if in_order:
+        own = own.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").sortWithinPartitions("l_orderkey")
+    own = own.select("l_orderkey", F.transform("parts", lambda s: infile(s["k"])).alias("infiles"), F.transform("suppliers", lambda s: dynlib(s["k"])).alias("dynlibs"))
     blank = lambda c: F.lit(None).cast("string").alias(c)
     key = F.col("l_orderkey")
     return own.select(
@@ -72,7 +77,7 @@ libs AS (SELECT DISTINCT l_orderkey AS o, {_g('supplier', 'l_suppkey')} AS blob,
 
 def _log(spark, sf_dir) -> DataFrame:
     folder = scratch(spark, "log")
-    rawlog.write_raw_log(_records(spark, sf_dir), folder)
+    rawlog.write_raw_log(_records(spark, sf_dir, in_order=True), folder, in_order=True, compression="gzip")
     return rawlog.read_raw_log(spark, folder)
 
 
@@ -210,7 +215,7 @@ def node_entries(spark, sf_dir):
 @query(f"WITH {_EDGES_SQL}, d AS (SELECT out_blob, 'gitoid:blob:sha1' || chr(10) || string_agg('blob ' || in_blob, chr(10) ORDER BY in_blob) || chr(10) AS doc FROM order_edges GROUP BY out_blob) SELECT DISTINCT {_gt('doc')} AS bom_id, doc FROM d")
 def doc_store_table(spark, sf_dir):
     """A store that is written to twice has each document once."""
-    docs = materialise(merkle.identify(_order_edges(spark, sf_dir), reuse_unary=False), "docs")
+    docs = merkle.identify(_order_edges(spark, sf_dir), reuse_unary=False)
     folder = scratch(spark, "store")
     sinks.write_doc_store(docs.filter("bom_id < '8'"), folder)
     sinks.write_doc_store(docs, folder)
@@ -675,9 +680,10 @@ def watched_commands(spark, sf_dir):
 def ingested_edges(spark, sf_dir):
     """A folder of logs, taken in two goes: the second reads what is new only."""
     folder, out, at = (scratch(spark, t) for t in ("logs", "ingested", "progress"))
-    records = materialise(_records(spark, sf_dir), "records")
+    records = _records(spark, sf_dir)
     for n in (0, 1):
-        records.filter(F.col("seq") % 2 == n).select(rawlog.stanza_text().alias("value")).write.mode("append").text(folder)
+        with lean_writes(spark):
+            records.filter(F.col("seq") % 2 == n).select(rawlog.stanza_text().alias("value")).write.mode("append").text(folder, compression="gzip")
         pipelines.ingest(spark, folder, out, at).awaitTermination()
     return spark.read.schema("out_blob string, in_blob string, seq long, pos int").parquet(f"{out}/edges/*").select("out_blob", "in_blob")
 

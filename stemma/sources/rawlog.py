@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemma.functions.ident import packed, unpacked
+from stemma.plans.storage import lean_writes
 from stemma.sources import schemas
 
 #: Fixed value: how a stanza ends.
@@ -28,16 +30,21 @@ def read_raw_log(spark: SparkSession, path: str, *, strict: bool = False) -> Dat
 
 
 def number_stanzas(placed: DataFrame) -> DataFrame:
-    """(seq, value): stanzas numbered in file order.
+    """(seq, value): stanzas (value, f, b, i) numbered in file order.
 
     Numbers are those of the blocks' sums plus the place in a block, so that no
-    task holds a whole log.
+    task holds a whole log.  A block's rows lie together in one task, so a place
+    is what ``i`` (``monotonically_increasing_id``) is above the block's first,
+    and no text is dealt.  Should a second reading cut the files otherwise, some
+    place falls outside of its block, and the job fails.
     """
-    own = placed.withColumn("n", F.row_number().over(Window.partitionBy("f", "b").orderBy("i")))
-    blocks = own.groupBy("f", "b").agg(F.max("n").alias("rows"))
+    blocks = placed.groupBy("f", "b").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("f", "b", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    return own.join(starts, ["f", "b"]).select((F.col("start") + F.col("n")).alias("seq"), "value")
+    starts = blocks.select("f", "b", "first", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    place = F.col("i") - F.col("first")
+    seq = F.when((place >= 0) & (place < F.col("rows")), F.col("start") + place + 1).otherwise(F.raise_error(F.lit("log blocks changed between two readings")))
+    # One row for each block of a file.
+    return placed.join(F.broadcast(starts), ["f", "b"], "left").select(seq.cast("long").alias("seq"), "value")
 
 
 def _lines(value: Column) -> Column:
@@ -116,18 +123,25 @@ def stanza_text(*, end: str = "this process") -> Column:
     )
 
 
-def write_raw_log(records: DataFrame, path: str) -> None:
-    """A folder of part files, in log order from one part to the next."""
-    records.repartitionByRange("seq").sortWithinPartitions("seq").select(stanza_text().alias("value")).write.text(path)
+def write_raw_log(records: DataFrame, path: str, *, in_order: bool = False, compression: str | None = None) -> None:
+    """A folder of part files, in log order from one part to the next.
+
+    ``in_order`` says that the records lie in log order already, and are not
+    dealt again.  Packed parts (``gzip``) are read back as they are, each by one task.
+    """
+    ordered = records if in_order else records.repartitionByRange("seq").sortWithinPartitions("seq")
+    with lean_writes(records.sparkSession):
+        ordered.select(stanza_text().alias("value")).write.text(path, compression=compression)
 
 
 def file_set(records: DataFrame, *, with_dynlibs: bool = True) -> DataFrame:
     """Distinct (blob, path) of all files a log names."""
-    files = records.select(F.col("out_blob").alias("blob"), F.col("out_path").alias("path"))
-    files = files.union(records.select(F.explode("infiles").alias("f")).select("f.blob", "f.path"))
-    if with_dynlibs:
-        files = files.union(records.select(F.explode("dynlibs").alias("f")).select("f.blob", "f.path"))
-    return files.filter("path IS NOT NULL").distinct()
+    own = F.array(F.struct(F.col("out_blob").alias("blob"), F.col("out_path").alias("path")))
+    listed = lambda c: F.coalesce(F.transform(c, lambda f: F.struct(f["blob"].alias("blob"), f["path"].alias("path"))), F.array().cast("array<struct<blob:string,path:string>>"))
+    # All files of a record at once: the log is read and parsed once.
+    files = records.select(F.explode(F.concat(own, listed("infiles"), *([listed("dynlibs")] if with_dynlibs else []))).alias("f")).filter("f.path IS NOT NULL")
+    once = files.select(packed(F.col("f.blob")).alias("blob"), F.col("f.path").alias("path")).distinct()
+    return once.select(unpacked(F.col("blob")).alias("blob"), "path")
 
 
 def annotate(records: DataFrame, blob_package: DataFrame) -> DataFrame:
