@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.plans.storage import broadcast_if_small, compacted, discard, materialise, union_all
+from stemma.functions.ident import packed, unpacked
+from stemma.plans.storage import compacted, discard, lean_writes, materialise, union_all
 
 
 #: Rows of a round that are sent to all tasks, so that what was found before is not dealt again for them.
@@ -18,35 +19,43 @@ SMALL = 200_000
 
 
 def _unseen(step: DataFrame, seen: DataFrame) -> DataFrame:
-    """The rows of a round that were not found before.
+    """The rows of a round that were not found before, as a table.
 
     A small round is looked up where the found rows lie; only its own hits are
     then taken from it.
     """
     step = materialise(step, "step")
-    asked = broadcast_if_small(step.select("root", "blob"), SMALL)
-    return step.join(seen.join(asked, ["root", "blob"], "left_semi"), ["root", "blob"], "left_anti")
+    if step.limit(SMALL + 1).count() <= SMALL:
+        seen = seen.join(F.broadcast(step.select("root", "blob")), ["root", "blob"], "left_semi")
+    fresh = materialise(step.join(seen, ["root", "blob"], "left_anti"), "frontier")
+    discard(step)
+    return fresh
 
 
 def closure(edge: DataFrame, roots: DataFrame, *, include_roots: bool = True) -> DataFrame:
     """(root, blob, depth): everything under each root of ``roots(root)`` with its least depth."""
-    links = materialise(edge.select(F.col("out_blob").alias("blob"), F.col("in_blob").alias("child")).distinct(), "links")
-    start = roots.select("root").distinct().select("root", F.col("root").alias("blob"), F.lit(0).alias("depth"))
-    frontier = materialise(start, "frontier")
-    found = [frontier]
-    while not frontier.isEmpty():
-        seen = union_all([part.select("root", "blob") for part in found])
-        step = frontier.join(links, "blob").select("root", F.col("child").alias("blob"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = materialise(_unseen(step, seen), "frontier")
-        # The frontier stays a table of its own while the next round reads it.
-        found = [*compacted(found), frontier]
-    out = union_all(found)
+    with lean_writes(edge.sparkSession):
+        dealt = edge.select(packed(F.col("out_blob")).alias("blob"), packed(F.col("in_blob")).alias("child")).repartition("blob")
+        links = materialise(dealt.dropDuplicates(["blob", "child"]), "links")
+        start = roots.select(packed(F.col("root")).alias("root")).distinct().select("root", F.col("root").alias("blob"), F.lit(0).alias("depth"))
+        frontier = materialise(start, "frontier")
+        found = [frontier]
+        while not frontier.isEmpty():
+            seen = union_all([part.select("root", "blob") for part in found])
+            step = frontier.join(links, "blob").select("root", F.col("child").alias("blob"), (F.col("depth") + 1).alias("depth")).distinct()
+            frontier = _unseen(step, seen)
+            # The frontier stays a table of its own while the next round reads it.
+            found = [*compacted(found), frontier]
+        discard(links)
+    out = union_all(found).select(unpacked(F.col("root")).alias("root"), unpacked(F.col("blob")).alias("blob"), "depth")
     return out if include_roots else out.filter("depth > 0")
 
 
 def leaves(closed: DataFrame, edge: DataFrame) -> DataFrame:
     """The rows of a closure whose artifact is made of nothing."""
-    return closed.join(edge.select(F.col("out_blob").alias("blob")).distinct(), "blob", "left_anti").select("root", "blob", "depth")
+    own = closed.select(packed(F.col("root")).alias("root"), packed(F.col("blob")).alias("blob"), "depth")
+    left = own.join(edge.select(packed(F.col("out_blob")).alias("blob")).distinct(), "blob", "left_anti")
+    return left.select(unpacked(F.col("root")).alias("root"), unpacked(F.col("blob")).alias("blob"), "depth")
 
 
 def parents(edge: DataFrame, targets: DataFrame) -> DataFrame:
