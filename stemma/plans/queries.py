@@ -714,7 +714,7 @@ def rawlog_round_trip(spark, sf_dir):
 @query(f"WITH {_EDGES_SQL} SELECT in_blob AS blob, count(DISTINCT out_blob) AS n_docs FROM order_edges GROUP BY in_blob")
 def docs_with_blob(spark, sf_dir):
     ids = merkle.identify(_order_edges(spark, sf_dir), reuse_unary=False)
-    lines = readers.doc_lines(ids.filter("doc IS NOT NULL").select(F.concat_ws("@", "bom_id", "blob").alias("bom_id"), "doc"))
+    lines = readers.doc_lines(ids.filter("doc IS NOT NULL").select(F.col("blob").alias("bom_id"), "doc"))
     return readers.docs_with(lines, lines.select("blob")).groupBy("blob").agg(F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -74,7 +74,9 @@ def doc_lines(docs: DataFrame) -> DataFrame:
 
 def docs_with(lines: DataFrame, blobs: DataFrame) -> DataFrame:
     """(blob, bom_id): the documents that mention each of ``blobs(blob)``."""
-    return lines.join(blobs.select("blob").distinct(), "blob", "left_semi").select("blob", "bom_id").distinct()
+    told = lines.select(ident.packed(F.col("blob")).alias("blob"), ident.packed(F.col("bom_id")).alias("bom_id")).repartition("blob").dropDuplicates(["blob", "bom_id"])
+    asked = blobs.select(ident.packed(F.col("blob")).alias("blob")).distinct()
+    return told.join(asked, "blob", "left_semi").select(ident.unpacked(F.col("blob")).alias("blob"), ident.unpacked(F.col("bom_id")).alias("bom_id"))
 
 
 def bare_docs(docs: DataFrame) -> DataFrame:
