@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import ident, text
+from stemma.functions.ident import packed, unpacked
 from stemma.plans.storage import compacted, materialise, union_all
 
 #: Statuses and the names of their lists in exported files.
@@ -211,7 +212,8 @@ def attach_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def hint_rows(infiles: DataFrame) -> DataFrame:
     """Statuses that a build log hints at, from inputs (blob, path, has_cve, fixed_cve)."""
-    of = lambda c, s: infiles.select("blob", F.col("path").alias("file_path"), F.explode(c).alias("cve"), F.lit(s).alias("status"))
-    return of("has_cve", "hint_cve").unionByName(of("fixed_cve", "hint_fixed")).distinct()
+    of = lambda c, s: F.coalesce(F.transform(c, lambda x: F.struct(x.alias("cve"), F.lit(s).alias("status"))), F.array().cast("array<struct<cve:string,status:string>>"))
+    rows = infiles.select(packed(F.col("blob")).alias("blob"), F.col("path").alias("file_path"), F.explode(F.concat(of("has_cve", "hint_cve"), of("fixed_cve", "hint_fixed"))).alias("h"))
+    return rows.select("blob", "file_path", "h.cve", "h.status").distinct().withColumn("blob", unpacked(F.col("blob")))
 
 
