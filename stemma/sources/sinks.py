@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators import cvedb
-from stemma.plans.storage import materialise
+from stemma.plans.storage import lean_writes
 
 
 def promoted(names, singular: str, plural: str):
@@ -57,14 +57,16 @@ def write_doc_store(docs: DataFrame, path: str) -> None:
     """
     from pyspark.errors import AnalysisException
 
-    once = docs.filter("doc IS NOT NULL").dropDuplicates(["bom_id"]).select("bom_id", "doc", F.substring("bom_id", 1, 2).alias("prefix"))
+    rows = docs.filter("doc IS NOT NULL").select("bom_id", "doc", F.lit(False).alias("known"))
     try:
-        known = docs.sparkSession.read.parquet(path).select("bom_id")
+        rows = rows.unionByName(docs.sparkSession.read.parquet(path).select("bom_id", F.lit(None).cast("string").alias("doc"), F.lit(True).alias("known")))
     except AnalysisException:
-        known = None
-    if known is not None:
-        once = materialise(once.join(known, "bom_id", "left_anti"), "documents")
-    once.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+        pass  # no store yet
+    # Texts are dealt once, to where they are told apart and written.
+    dealt = rows.withColumn("prefix", F.substring("bom_id", 1, 2)).repartition("prefix")
+    once = dealt.groupBy("prefix", "bom_id").agg(F.max("doc").alias("doc"), F.max("known").alias("known")).filter("NOT known")
+    with lean_writes(docs.sparkSession):
+        once.select("bom_id", "doc", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def bom_history(boms: DataFrame) -> DataFrame:
