@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stemma.operators import dag
+from stemma.plans.storage import lean_writes
 from stemma.sources import rawlog, schemas
 
 
@@ -33,9 +34,10 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> Strea
     """
 
     def batch(stanzas: DataFrame, number: int) -> None:
-        batch_records(stanzas, number).write.mode("overwrite").parquet(f"{out}/records/batch={number}")
-        kept = spark.read.schema(schemas.RECORD).parquet(f"{out}/records/batch={number}")
-        dag.edges(kept).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+        with lean_writes(stanzas.sparkSession), lean_writes(spark):
+            batch_records(stanzas, number).write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+            kept = spark.read.schema(schemas.RECORD).parquet(f"{out}/records/batch={number}")
+            dag.edges(kept).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
 
     return stream_stanzas(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
