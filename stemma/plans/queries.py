@@ -110,6 +110,12 @@ def _ids(df):
     return df.select("blob", "bom_id")
 
 
+def _last_ids(ids):
+    """What a log read to its end leaves; identifiers are dealt as bytes."""
+    last = ids.groupBy(ident.packed(F.col("blob")).alias("blob")).agg(F.max_by(ident.packed(F.col("bom_id")), "seq").alias("bom_id"))
+    return last.select(ident.unpacked(F.col("blob")).alias("blob"), ident.unpacked(F.col("bom_id")).alias("bom_id"))
+
+
 @query(_MERKLE_SQL.format(bare="b.bom", reuse=_doc_sql(_FULL_LINE)))
 def merkle_customer(spark, sf_dir):
     return _ids(merkle.identify(_graph(spark, sf_dir), reuse_unary=False))
@@ -133,7 +139,7 @@ def merkle_log_order(spark, sf_dir):
     orders = _order_edges(spark, sf_dir).withColumn("seq", F.lit(1).cast("long"))
     log = orders.unionByName(_customer_edges(spark, sf_dir).withColumn("seq", F.lit(2).cast("long")))
     ids = merkle.identify_in_log_order(log, reuse_unary=False)
-    return ids.groupBy("blob").agg(F.max_by("bom_id", "seq").alias("bom_id"))
+    return _last_ids(ids)
 
 
 @query(
@@ -146,7 +152,7 @@ def merkle_log_late(spark, sf_dir):
     """The same log the other way round: no input is known yet when it is used."""
     log = _customer_edges(spark, sf_dir).withColumn("seq", F.lit(1).cast("long")).unionByName(_order_edges(spark, sf_dir).withColumn("seq", F.lit(2).cast("long")))
     ids = merkle.identify_in_log_order(log, reuse_unary=False)
-    return ids.groupBy("blob").agg(F.max_by("bom_id", "seq").alias("bom_id"))
+    return _last_ids(ids)
 
 
 @query(

@@ -106,21 +106,94 @@ def lean_writes(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def parted(df: DataFrame, flag: str, tag: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` as two tables written in one job, that can be discarded one by one: where ``flag`` holds, and where not."""
+class Stored:
+    """A table in folders of the shared one, which several of the same columns can be read as; its folders go when it is dropped."""
+
+    def __init__(self, spark: SparkSession, schema, folders: list[str]):
+        self.spark, self.schema, self.folders = spark, schema, folders
+
+    @classmethod
+    def write(cls, df: DataFrame, tag: str) -> Stored:
+        folder = scratch(df.sparkSession, tag)
+        df.write.parquet(folder)
+        return cls(df.sparkSession, df.schema, [folder])
+
+    @classmethod
+    def together(cls, tables: list[Stored]) -> Stored:
+        return cls(tables[0].spark, tables[0].schema, [folder for table in tables for folder in table.folders])
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.folders)
+
+    def drop(self) -> None:
+        for folder in self.folders:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.delete(path, True)
+            # The last part of a table takes its folder along.
+            if "=" in path.getName() and not any(f.isDirectory() for f in files.listStatus(path.getParent())):
+                files.delete(path.getParent(), True)
+
+
+def parted(df: DataFrame, flag: str, tag: str) -> tuple[Stored, Stored]:
+    """``df`` as two tables written in one job, that can be dropped one by one: where ``flag`` holds, and where not."""
     spark = df.sparkSession
     top = scratch(spark, tag)
     df.write.partitionBy(flag).parquet(top)
     schema = df.drop(flag).schema
 
-    def part(value: str) -> DataFrame:
+    def part(value: str) -> Stored:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/{flag}={value}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-        return spark.read.schema(schema).parquet(path.toString())
+        return Stored(spark, schema, [f"{top}/{flag}={value}"])
 
     return part("true"), part("false")
 
 
+#: Into how many slices a large table is dealt, one after another, and how many rows in each make it large.
+SLICES = 8
+SLICE_ROWS = 250_000
+
+
+def slice_of(key):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(key), F.lit(SLICES)).cast("int")
+
+
+def within(part: range, key):
+    """Whether a key is in ``part``, one slice or all, as a column."""
+    from pyspark.sql import functions as F
+
+    return F.lit(True) if len(part) == SLICES else slice_of(key) == part.start
+
+
+def slices(*, large: bool) -> list[range]:
+    """The slices that a table is worked off in, one after another: all at once where it is not large."""
+    return [range(k, k + 1) for k in range(SLICES)] if large else [range(SLICES)]
+
+
+def sliced(rows: DataFrame, key, tag: str) -> list[tuple[range, Stored]]:
+    """``rows`` written once, dealt by the slice of a key: a table for each, or one where they are not large."""
+    spark = rows.sparkSession
+    top, name = scratch(spark, tag), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SLICES))
+    try:
+        # As many files are open in a task: small blocks bound their memory.
+        rows.withColumn("slice", slice_of(key)).write.option("parquet.block.size", str(16 << 20)).partitionBy("slice").parquet(top)
+    finally:
+        spark.conf.set(name, before)
+    tables = []
+    for k in range(SLICES):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/slice={k}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+        tables.append(Stored(spark, rows.schema, [f"{top}/slice={k}"]))
+    one = Stored.together(tables)
+    large = one.read().count() > SLICES * SLICE_ROWS
+    return list(zip(slices(large=True), tables)) if large else [(slices(large=False)[0], one)]
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Within this, Python workers get at most ``rows`` rows at a time: for jobs whose rows are whole texts or sets."""
