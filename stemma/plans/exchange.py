@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stemma.functions import ident, text
 from stemma.operators import cvedb, dag, matching, merkle, processes
 from stemma.plans.queries import _EDGES_SQL, _g, _gt, _named, _order_edges, _part_status, _t, query
-from stemma.plans.storage import lean_writes, materialise, scratch
+from stemma.plans.storage import SLICES, Stored, gathered, lean_writes, materialise, read_slices, scratch, within
 from stemma.sources import commands, rawlog, readers, sinks
 from stemma.streaming import pipelines
 
@@ -49,15 +49,15 @@ def _tail(c: str, sep: str = "/"):
 # ---- logs
 
 
-def _records(spark, sf_dir, *, in_order: bool = False) -> DataFrame:
-    """Orders as build records: parts are inputs, even ones carry a hint, and suppliers are libraries."""
+def _records(spark, sf_dir, *, in_order: bool = False, part: range = range(SLICES)) -> DataFrame:
+    """Orders (of some slices) as build records: parts are inputs, even ones carry a hint, and suppliers are libraries."""
     none = F.array().cast("array<string>")
     hint = lambda k, r: F.when(k % 5 == r, F.array(_c("CVE-2020-", k % 50 + 1000))).otherwise(none)
     infile = lambda k: F.struct(k.cast("int").alias("pos"), _named("part", k.cast("string")).alias("blob"), _c("/src/a b/p", k, ".c").alias("path"), hint(k, 0).alias("has_cve"), hint(k, 1).alias("fixed_cve"), F.lit(None).cast("string").alias("prov_pkg"))
     dynlib = lambda k: F.struct(k.cast("int").alias("pos"), _named("supplier", k.cast("string")).alias("blob"), _c("/lib/s", k, ".so").alias("path"))
     # Only keys are dealt; what is made of them is made where it is used.
     keys = lambda c: F.array_sort(F.collect_set(F.struct(F.col(c).alias("k"))))
-    own = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(keys("l_partkey").alias("parts"), keys("l_suppkey").alias("suppliers"))
+    own = _t(spark, sf_dir, "lineitem").filter(within(part, F.col("l_orderkey"))).groupBy("l_orderkey").agg(keys("l_partkey").alias("parts"), keys("l_suppkey").alias("suppliers"))
     if in_order:
         own = own.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").sortWithinPartitions("l_orderkey")
     own = own.select("l_orderkey", F.transform("parts", lambda s: infile(s["k"])).alias("infiles"), F.transform("suppliers", lambda s: dynlib(s["k"])).alias("dynlibs"))
@@ -75,9 +75,9 @@ libs AS (SELECT DISTINCT l_orderkey AS o, {_g('supplier', 'l_suppkey')} AS blob,
 """
 
 
-def _log(spark, sf_dir) -> DataFrame:
-    folder = scratch(spark, "log")
-    rawlog.write_raw_log(_records(spark, sf_dir, in_order=True), folder, in_order=True, compression="gzip")
+def _log(spark, sf_dir, *, part: range = range(SLICES), folder: str | None = None) -> DataFrame:
+    folder = folder or scratch(spark, "log")
+    rawlog.write_raw_log(_records(spark, sf_dir, in_order=True, part=part), folder, in_order=True, compression="gzip")
     return rawlog.read_raw_log(spark, folder)
 
 
@@ -87,8 +87,20 @@ def _log(spark, sf_dir) -> DataFrame:
       string_agg(in_blob || ' ' || path, ',' ORDER BY p) AS inputs, count(*) AS n_inputs, max(n) AS n_libs FROM ins JOIN n USING (o) GROUP BY o, out_blob"""
 )
 def rawlog_file(spark, sf_dir):
-    listed = F.array_join(F.transform("infiles", lambda f: F.concat_ws(" ", f["blob"], f["path"])), ",")
-    return _log(spark, sf_dir).select("out_blob", "out_path", "pid", "build_cmd", "pkg_info", "ignore", listed.alias("inputs"), F.size("infiles").cast("long").alias("n_inputs"), F.size("dynlibs").cast("long").alias("n_libs"))
+    """A large log is written and read as one for each slice of the orders, and goes once its records are kept, with identifiers as bytes."""
+    plain = ["out_path", "pid", "build_cmd", "pkg_info", "ignore"]
+
+    def kept():
+        for part in read_slices(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey")):
+            folder = scratch(spark, "log")
+            files = F.transform("infiles", lambda f: F.struct(ident.packed(f["blob"]).alias("blob"), f["path"].alias("path")))
+            yield _log(spark, sf_dir, part=part, folder=folder).select(ident.packed(F.col("out_blob")).alias("out_blob"), *plain, files.alias("infiles"), F.size("dynlibs").cast("long").alias("n_libs"))
+            Stored(spark, None, [folder]).drop()
+
+    with lean_writes(spark):
+        records = gathered(kept(), "records")
+    listed = F.array_join(F.transform("infiles", lambda f: F.concat_ws(" ", ident.unpacked(f["blob"]), f["path"])), ",")
+    return records.select(ident.unpacked(F.col("out_blob")).alias("out_blob"), *plain, listed.alias("inputs"), F.size("infiles").cast("long").alias("n_inputs"), "n_libs")
 
 
 @query(f"WITH {_LOG_SQL} SELECT DISTINCT out_blob AS blob, '/out/o' || o || '.o' AS path FROM ins UNION SELECT in_blob, path FROM ins UNION SELECT blob, path FROM libs")
